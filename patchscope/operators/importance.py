@@ -17,6 +17,7 @@ from patchscope.operators.resampling import cell_scores, replicate_ids
 # Whiskers and quartiles of the importance boxes.
 BOX = (0.05, 0.25, 0.5, 0.75, 0.95)
 PERM_DIGITS = 1
+NOISE_DIGITS = 12
 
 
 def permutations(
@@ -122,10 +123,11 @@ def permutation_bands(scores: DataFrame, keys, metrics: Sequence[str] = ("AUC",
     """Band of every permutation: ``bottom`` at or under the low quantile, ``top`` at or over the high one, else ``middle``.
 
     Long form: keys, ``perm``, ``metric``, ``metric_value``, ``band``. When both quantiles
-    coincide a permutation can be in both bands.
+    coincide a permutation can be in both bands. Metrics are rounded to 12 digits, so that
+    summation noise cannot break ties.
     """
     keys = names(keys)
-    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("metric_value")) for m in metrics])
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.round(m, NOISE_DIGITS).alias("metric_value")) for m in metrics])
     long = scores.select(*keys, "perm", F.inline(values)).filter("metric_value IS NOT NULL")
     bounds = quantile_bounds(long, [*keys, "metric"], "metric_value", low, high)
     joined = keyed_join(long, bounds, [*keys, "metric"])

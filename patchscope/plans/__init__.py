@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("verification",)
+FAMILIES = ("verification", "resampling", "split")
 
 
 def all_queries():
