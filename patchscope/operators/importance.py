@@ -201,5 +201,5 @@ def in_both(a: DataFrame, b: DataFrame, on) -> DataFrame:
 
 def first_occurrence(df: DataFrame, keys, order: Sequence[str], payload: Sequence[str]) -> DataFrame:
     """Payload of the first row of each distinct key, as a map-side aggregate."""
-    first = F.min(F.struct(*order, *payload)).alias("__first")
+    first = F.min(F.struct(*dict.fromkeys([*order, *payload]))).alias("__first")
     return df.groupBy(*names(keys)).agg(first).select(*names(keys), *[F.col(f"__first.{c}") for c in payload])

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("verification", "resampling", "split")
+FAMILIES = ("verification", "resampling", "split", "patch")
 
 
 def all_queries():

@@ -10,6 +10,7 @@ from patchscope.operators import verification as V
 from patchscope.plans import views
 from patchscope.plans.catalog import BRIER_COLUMNS, SCALAR_COLUMNS, SCALAR_RAW, brier_sql, counts_sql, curve_sql, query, r
 from patchscope.plans.verification_queries import SWEEP_RAW, sweep_sql
+from patchscope.session import checkpointed
 
 KEYS = ["climate", "member"]
 K = "climate, member"
@@ -202,9 +203,11 @@ SELECT {group}, band, perm, orig_row_no FROM v_set s WHERE rn = 1 AND band IN ('
 
 
 def _cases(spark, sf, kind):
-    outcomes = _outcomes(spark, sf)
+    # rescoring is the expensive part and is read twice: for the bands and for the cases
+    outcomes = checkpointed(_outcomes(spark, sf))
     original = _original(spark, sf).withColumn("outcome", V.outcome_class())
-    return P.permutation_cases(outcomes, _bands(spark, sf), original, KEYS, kind)
+    bands = _bands(spark, sf, P.permutation_scores(outcomes, KEYS))
+    return P.permutation_cases(outcomes, bands, original, KEYS, kind)
 
 
 @query(_case_sql("fn", "tp"))
