@@ -7,26 +7,26 @@ are checkpointed so that lost executors do not restart the loop.
 * ``hyst``: connected pixels >= low that hold at least one pixel >= high.
 * ``ws``: every pixel >= low follows the steepest ascent to a local maximum; basins whose
   peak is >= high are kept.
-* ``ew``: peaks in descending order grow level by level up to a maximum area.
+* ``ew``: peaks in descending order grow by their strongest neighbour up to a maximum area.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patchscope.operators.relational import names
 from patchscope.session import checkpointed
 
-# Intensity thresholds (dBZ), object area limits (pixels), growth step.
+# Intensity thresholds (dBZ) and object area limits (pixels).
 LOW_DBZ, HIGH_DBZ = 20.0, 40.0
 MIN_AREA, MAX_AREA = 1, 100
-GROWTH_STEP = 1.0
 # Column stride inside a pixel id; any value above the widest grid.
 STRIDE = 1 << 20
 MAX_ROUNDS = 64
@@ -65,6 +65,13 @@ def _jump(df: DataFrame, keys: list[str], pointer: str) -> DataFrame:
     return df.join(targets, [*keys, pointer]).drop(pointer).withColumnRenamed("__next", pointer)
 
 
+def _settled(stepped: DataFrame) -> tuple[DataFrame, bool]:
+    """Materialise a round and tell whether it changed any label, in one job."""
+    seen = Observation()
+    table = checkpointed(stepped.observe(seen, F.count_if(F.col("obj") != F.col("__old")).alias("changed")))
+    return table.drop("__old"), seen.get["changed"] == 0
+
+
 def connected_components(pixels: DataFrame, keys: Iterable[str], connectivity: int = 8) -> DataFrame:
     """Adds ``obj``: the smallest pixel id of the component. Needs columns row, col, id, value.
 
@@ -72,17 +79,15 @@ def connected_components(pixels: DataFrame, keys: Iterable[str], connectivity: i
     label twice, so that the reach grows geometrically. Stops when a round changes nothing.
     """
     keys = names(keys)
-    labels = checkpointed(pixels.withColumn("obj", F.col("id")))
+    labels = pixels.withColumn("obj", F.col("id"))
     for _ in range(MAX_ROUNDS * MAX_ROUNDS):
         sent = _to_neighbours(labels, keys, connectivity, ["obj", "value"])
         lowest = sent.groupBy(*keys, "row", "col").agg(
             F.min("obj").alias("obj"), F.max(F.when(F.col("own"), F.col("value"))).alias("value"),
             F.max(F.when(F.col("own"), F.col("obj"))).alias("__old"),
         ).filter("__old IS NOT NULL").withColumn("id", pixel_id())
-        stepped = checkpointed(_jump(_jump(lowest, keys, "obj"), keys, "obj"))
-        changed = stepped.filter(F.col("obj") != F.col("__old")).limit(1).count()
-        labels = stepped.drop("__old")
-        if not changed:
+        labels, done = _settled(_jump(_jump(lowest, keys, "obj"), keys, "obj"))
+        if done:
             return labels
     raise RuntimeError("component labels did not settle")
 
@@ -96,13 +101,9 @@ def ascent_basins(pixels: DataFrame, keys: Iterable[str], connectivity: int = 8)
         best.alias("__best"), F.max(F.when(F.col("own"), F.col("value"))).alias("value")
     ).filter("value IS NOT NULL")
     pointers = pointers.select(*keys, "row", "col", "value", pixel_id().alias("id"), (-F.col("__best.n")).alias("obj"))
-    pointers = checkpointed(pointers)
     for _ in range(MAX_ROUNDS):
-        stepped = _jump(pointers.withColumn("__old", F.col("obj")), keys, "obj")
-        stepped = checkpointed(stepped)
-        changed = stepped.filter(F.col("obj") != F.col("__old")).limit(1).count()
-        pointers = stepped.drop("__old")
-        if not changed:
+        pointers, done = _settled(_jump(_jump(pointers.withColumn("__old", F.col("obj")), keys, "obj"), keys, "obj"))
+        if done:
             return pointers
     raise RuntimeError("ascent paths did not settle")
 
@@ -113,36 +114,33 @@ def _keep(labelled: DataFrame, keys: list[str], high: float, min_area: int) -> D
     return labelled.join(kept, [*keys, "obj"], "left_semi").select(*keys, "row", "col", "value", "obj")
 
 
-def _grow_slice(pixels: pd.DataFrame, high: float, low: float, step: float, max_area: int) -> np.ndarray:
+def _grow_slice(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, ids: np.ndarray, high: float, max_area: int) -> np.ndarray:
     """Object id of each pixel of one slice (-1: none)."""
-    position = {(r, c): i for i, (r, c) in enumerate(zip(pixels["row"], pixels["col"]))}
-    value, ids = pixels["value"].to_numpy(), pixels["id"].to_numpy()
-    owner = np.full(len(pixels), -1, dtype=np.int64)
-    for peak in np.lexsort((ids, -value)):
+    place = {cell: i for i, cell in enumerate(zip(rows.tolist(), cols.tolist()))}
+    around = _offsets(8, own=False)
+    owner = np.full(len(value), -1, dtype=np.int64)
+    for peak in np.lexsort((ids, -value)).tolist():
         if value[peak] < high:
             break
         if owner[peak] >= 0:
             continue
-        members, frontier, level = [peak], {peak}, value[peak]
-        owner[peak] = ids[peak]
-        while level >= low and len(members) < max_area:
-            ring = {
-                position.get((pixels["row"].iat[i] + r, pixels["col"].iat[i] + c)) for i in frontier for r, c in _offsets(8, own=False)
-            }
-            ring = [i for i in ring if i is not None and owner[i] < 0 and value[i] >= level]
-            if ring:
-                ring = sorted(ring, key=lambda i: (-value[i], ids[i]))[: max_area - len(members)]
-                owner[ring] = ids[peak]
-                members += ring
-                frontier = set(members)
-            else:
-                level -= step
+        area, border = 0, [(-value[peak], ids[peak], peak)]
+        while border and area < max_area:
+            pixel = heapq.heappop(border)[2]
+            if owner[pixel] >= 0:
+                continue
+            owner[pixel] = ids[peak]
+            area += 1
+            for r, c in around:
+                near = place.get((rows[pixel] + r, cols[pixel] + c))
+                if near is not None and owner[near] < 0:
+                    heapq.heappush(border, (-value[near], ids[near], near))
     return owner
 
 
 def storm_objects(
     df: DataFrame, keys: Iterable[str], method: str = "ws", value: str = "value", low: float = LOW_DBZ, high: float = HIGH_DBZ,
-    min_area: int = MIN_AREA, max_area: int = MAX_AREA, connectivity: int = 8, step: float = GROWTH_STEP,
+    min_area: int = MIN_AREA, max_area: int = MAX_AREA, connectivity: int = 8,
 ) -> DataFrame:
     """Labelled storm pixels: keys, ``row``, ``col``, ``value``, ``obj`` (unique inside its slice)."""
     keys = names(keys)
@@ -156,7 +154,8 @@ def storm_objects(
 
         # one slice per call: at most the pixels of one grid above the low threshold
         def grow(slice_pixels: pd.DataFrame) -> pd.DataFrame:
-            return slice_pixels.assign(obj=_grow_slice(slice_pixels, high, low, step, max_area))
+            columns = [slice_pixels[c].to_numpy() for c in ("row", "col", "value", "id")]
+            return slice_pixels.assign(obj=_grow_slice(*columns, high, max_area))
 
         grown = pixels.groupBy(*keys).applyInPandas(grow, schema).filter("obj >= 0")
         return _keep(grown, keys, high, min_area)

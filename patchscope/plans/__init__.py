@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("verification", "resampling", "split", "patch")
+FAMILIES = ("verification", "resampling", "split", "patch", "field")
 
 
 def all_queries():

@@ -289,9 +289,9 @@ HEXAGON = [(*_CORNERS[i], *_CORNERS[(i + 1) % 6]) for i in range(6)]
 
 POLYGONS_SQL = """
 v_edge AS (
-  SELECT poly_id, cx + r * ax AS x0, cy + r * ay AS y0, cx + r * bx AS x1, cy + r * by AS y1
+  SELECT poly_id, cx + r * h.ax AS x0, cy + r * h.ay AS y0, cx + r * h.cx2 AS x1, cy + r * h.cy2 AS y1
   FROM (SELECT s_suppkey AS poly_id, (('0x'||substr(md5('13:'||CAST(s_suppkey AS VARCHAR)),1,15))::BIGINT % 10000) / 100.0 AS cx,
                (('0x'||substr(md5('14:'||CAST(s_suppkey AS VARCHAR)),1,15))::BIGINT % 10000) / 100.0 AS cy,
                (('0x'||substr(md5('15:'||CAST(s_suppkey AS VARCHAR)),1,15))::BIGINT % 900) / 100.0 + 1.0 AS r
         FROM supplier),
-       (VALUES """ + ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for a, b, c, d in HEXAGON) + """) h(ax, ay, bx, by))"""
+       (VALUES """ + ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for a, b, c, d in HEXAGON) + """) h(ax, ay, cx2, cy2))"""
