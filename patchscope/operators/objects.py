@@ -30,6 +30,7 @@ MIN_AREA, MAX_AREA = 1, 100
 # Column stride inside a pixel id; any value above the widest grid.
 STRIDE = 1 << 20
 MAX_ROUNDS = 64
+OWN_COLUMNS = (("row", "int"), ("col", "int"), ("value", "double"), ("__old", "bigint"))
 
 
 def pixel_id(row="row", col="col"):
@@ -65,6 +66,11 @@ def _jump(df: DataFrame, keys: list[str], pointer: str) -> DataFrame:
     return df.join(targets, [*keys, pointer]).drop(pointer).withColumnRenamed("__next", pointer)
 
 
+def _grandparents(df: DataFrame, keys: list[str]) -> DataFrame:
+    parents = df.select(*keys, F.col("id").alias("obj"), F.col("obj").alias("__up"))
+    return df.join(parents, [*keys, "obj"])
+
+
 def _settled(stepped: DataFrame) -> tuple[DataFrame, bool]:
     """Materialise a round and tell whether it changed any label, in one job."""
     seen = Observation()
@@ -75,18 +81,28 @@ def _settled(stepped: DataFrame) -> tuple[DataFrame, bool]:
 def connected_components(pixels: DataFrame, keys: Iterable[str], connectivity: int = 8) -> DataFrame:
     """Adds ``obj``: the smallest pixel id of the component. Needs columns row, col, id, value.
 
-    A round takes the minimum label of the neighbourhood, then follows the label's own
-    label twice, so that the reach grows geometrically. Stops when a round changes nothing.
+    Every pixel points to a pixel of its component with a smaller or equal id. A round
+    takes the least grandparent of the neighbourhood and offers it both to the pixel and
+    to the pixel's parent, so whole trees hook onto each other and rounds grow with the
+    logarithm of the object size. Stops when a round changes nothing.
     """
     keys = names(keys)
     labels = pixels.withColumn("obj", F.col("id"))
-    for _ in range(MAX_ROUNDS * MAX_ROUNDS):
-        sent = _to_neighbours(labels, keys, connectivity, ["obj", "value"])
-        lowest = sent.groupBy(*keys, "row", "col").agg(
-            F.min("obj").alias("obj"), F.max(F.when(F.col("own"), F.col("value"))).alias("value"),
-            F.max(F.when(F.col("own"), F.col("obj"))).alias("__old"),
-        ).filter("__old IS NOT NULL").withColumn("id", pixel_id())
-        labels, done = _settled(_jump(_jump(lowest, keys, "obj"), keys, "obj"))
+    for turn in range(MAX_ROUNDS):
+        # all pixels are their own parents at first
+        up = _grandparents(labels, keys) if turn else labels.withColumn("__up", F.col("obj"))
+        sent = _to_neighbours(up, keys, connectivity, ["obj", "__up", "value"])
+        mine = lambda c: F.max(F.when(F.col("own"), F.col(c)))
+        least = sent.groupBy(*keys, "row", "col").agg(F.min("__up").alias("__least"), mine("obj").alias("__old"), mine("value").alias("value"))
+        least = least.filter("__old IS NOT NULL").withColumn("id", pixel_id())
+        offers = F.array(
+            F.struct("id", F.least("__least", "__old").alias("offer"), "row", "col", "value", "__old"),
+            F.struct(F.col("__old").alias("id"), F.col("__least").alias("offer"), *[F.lit(None).cast(t).alias(c) for c, t in OWN_COLUMNS]),
+        )
+        merged = least.select(*keys, F.inline(offers)).groupBy(*keys, "id").agg(
+            F.min("offer").alias("obj"), *[F.max(c).alias(c) for c, _ in OWN_COLUMNS]
+        )
+        labels, done = _settled(merged)
         if done:
             return labels
     raise RuntimeError("component labels did not settle")

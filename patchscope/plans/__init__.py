@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("verification", "resampling", "split", "patch", "field")
+FAMILIES = ("verification", "resampling", "split", "patch", "field", "model")
 
 
 def all_queries():

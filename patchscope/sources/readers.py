@@ -74,9 +74,9 @@ NAME_PARTS = {
 
 
 def read_metrics(spark: SparkSession, glob: str, schema: T.StructType) -> DataFrame:
-    """Stack metric CSV files; keys held in the file names become columns (NULL when absent)."""
+    """Stack metric CSV files; keys held in the last two parts of their paths become columns (NULL when absent)."""
     df = spark.read.schema(schema).csv(glob, header=True)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*/[^/]+)$", 1)
     found = lambda pattern: F.nullif(F.regexp_extract(name, pattern, 1), F.lit(""))
     keys = {key: found(pattern).cast(kind) for key, (pattern, kind) in NAME_PARTS.items() if key not in df.columns}
     return df.withColumns(keys)
