@@ -17,7 +17,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,10 +72,12 @@ def _grandparents(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _settled(stepped: DataFrame) -> tuple[DataFrame, bool]:
-    """Materialise a round and tell whether it changed any label, in one job."""
-    seen = Observation()
-    table = checkpointed(stepped.observe(seen, F.count_if(F.col("obj") != F.col("__old")).alias("changed")))
-    return table.drop("__old"), seen.get["changed"] == 0
+    """Materialise a round and tell whether it changed any label.
+
+    The flag column's file statistics let the check skip everything once nothing changes.
+    """
+    table = checkpointed(stepped.withColumn("__changed", F.col("obj") != F.col("__old")))
+    return table.drop("__old", "__changed"), not table.select("__changed").filter("__changed").take(1)
 
 
 def connected_components(pixels: DataFrame, keys: Iterable[str], connectivity: int = 8) -> DataFrame:

@@ -91,7 +91,8 @@ def bootstrap_median_interval(spark, sf):
 
 FEATURES = views.SCORED_FEATURES
 PERM = f"""WITH {views.FEATURE_ROWS_SQL},
-v_move AS (
+v_id AS MATERIALIZED (SELECT *, concat_ws(':', climate, member, row_no) AS gid FROM v_frows),
+v_move AS MATERIALIZED (
   SELECT climate, member, pfi_var, CAST(perm AS INT) AS perm, row_no AS orig_row_no,
          row_number() OVER (PARTITION BY climate, member, pfi_var, perm
                             ORDER BY md5(concat_ws(':', '0', pfi_var, perm, row_no)), row_no) - 1 AS row_no
@@ -99,9 +100,9 @@ v_move AS (
 v_perm AS (
   SELECT m.climate, m.member, m.pfi_var, m.perm, m.row_no, m.orig_row_no, b.row_key, b.label,
          {', '.join(f"CASE WHEN m.pfi_var = '{f}' THEN d.{f} ELSE b.{f} END AS {f}" for f in FEATURES)}
-  FROM v_move m JOIN v_frows b ON b.climate = m.climate AND b.member = m.member AND b.row_no = m.row_no
-  JOIN v_frows d ON d.climate = m.climate AND d.member = m.member AND d.row_no = m.orig_row_no),
-v_out AS (SELECT *, {views.SCORER_SQL} AS prob FROM v_perm),
+  FROM v_move m JOIN v_id b ON b.gid = concat_ws(':', m.climate, m.member, m.row_no)
+  JOIN v_id d ON d.gid = concat_ws(':', m.climate, m.member, m.orig_row_no)),
+v_out AS MATERIALIZED (SELECT *, {views.SCORER_SQL} AS prob FROM v_perm),
 v_orig AS (SELECT *, {views.SCORER_SQL} AS prob FROM v_frows)"""
 KP = "climate, member, pfi_var, perm"
 
@@ -221,10 +222,10 @@ def permutation_false_alarms(spark, sf):
     return _cases(spark, sf, "false_alarms")
 
 
-@query(f"""WITH c AS ({_case_sql('fn', 'tp')}), {views.FEATURE_ROWS_SQL}
+@query(f"""WITH c AS ({_case_sql('fn', 'tp')}), {views.FEATURE_ROWS_SQL},
+v_id AS MATERIALIZED (SELECT *, concat_ws(':', climate, member, row_no) AS gid FROM v_frows)
 SELECT c.climate, c.member, c.pfi_var, c.metric, c.band, c.row_no, c.perm, c.orig_row_no, {r('o.discount', 'discount_orig')}, {r('d.discount', 'discount_donor')}
-FROM c JOIN v_frows o ON o.climate = c.climate AND o.member = c.member AND o.row_no = c.row_no
-JOIN v_frows d ON d.climate = c.climate AND d.member = c.member AND d.row_no = c.orig_row_no""")
+FROM c JOIN v_id o ON o.gid = concat_ws(':', c.climate, c.member, c.row_no) JOIN v_id d ON d.gid = concat_ws(':', c.climate, c.member, c.orig_row_no)""")
 def permutation_case_rows(spark, sf):
     """The mined cases with their own and their donors' values."""
     rows = views.feature_rows(spark, sf)
