@@ -11,32 +11,34 @@ from patchscope.functions.expressions import clip_negative
 from patchscope.operators import verification as V
 from patchscope.operators.quantiles import percentiles_of_replicates
 from patchscope.operators.ranking import seeded_rank
-from patchscope.operators.relational import keyed_join, names
+from patchscope.operators.relational import keyed_join, names, spread
 from patchscope.operators.resampling import cell_scores, replicate_ids
 
 # Whiskers and quartiles of the importance boxes.
 BOX = (0.05, 0.25, 0.5, 0.75, 0.95)
-PERM_DIGITS = 1
+PERM_DIGITS = 2
 NOISE_DIGITS = 12
 
 
 def permutations(
-    df: DataFrame, keys, row_no: str, features: Sequence[str], reps: int, seed=0, first_rep: int = 1
+    df: DataFrame, keys, row_no: str, features: Sequence[str], reps: int, seed=0, first_rep: int = 1,
+    carry: bool = False, digits: int = PERM_DIGITS,
 ) -> DataFrame:
     """Donor of every row: keys, ``pfi_var``, ``perm``, ``row_no``, ``orig_row_no``.
 
     Row k takes the feature of the row that comes k-th in the seeded order of its
-    (key, feature, replicate). Only row numbers are ranked and shuffled here.
+    (key, feature, replicate). Only row numbers are ranked, unless ``carry`` lets each
+    donor bring its feature along as ``donated``.
     """
     keys = names(keys)
-    slim = df.select(*keys, F.col(row_no).alias("orig_row_no"))
-    each = slim.withColumn("pfi_var", F.explode(F.array(*[F.lit(f) for f in features])))
+    donated = lambda f: [F.col(f).alias("donated")] if carry else []
+    variants = F.array(*[F.struct(F.lit(f).alias("pfi_var"), *donated(f)) for f in features])
+    each = spread(df, [*keys, row_no]).select(*keys, F.col(row_no).alias("orig_row_no"), F.inline(variants))
     each = each.withColumn("perm", F.explode(replicate_ids(first_rep, reps)))
     order_seed = F.concat_ws(":", F.lit(str(seed)), "pfi_var", F.col("perm").cast("string"))
-    ranked = seeded_rank(
-        each, "orig_row_no", order_seed, by=[*keys, "pfi_var", "perm"], out="__rank", digits=PERM_DIGITS
-    )
-    return ranked.select(*keys, "pfi_var", "perm", (F.col("__rank") - 1).alias("row_no"), "orig_row_no")
+    ranked = seeded_rank(each, "orig_row_no", order_seed, by=[*keys, "pfi_var", "perm"], out="__rank", digits=digits)
+    kept = ["pfi_var", "perm", (F.col("__rank") - 1).alias("row_no"), "orig_row_no"]
+    return ranked.select(*keys, *kept, *(["donated"] if carry else []))
 
 
 def permute_features(
@@ -44,18 +46,15 @@ def permute_features(
 ) -> DataFrame:
     """Every (feature, replicate) copy of the rows, with that one feature replaced by its donor's.
 
-    The whole feature travels (a number or a patch array); donors meet slim rows first,
-    the other columns join last.
+    The whole feature travels with its donor (a number or a patch array) through the rank,
+    and the other columns join last, shuffled once for all copies.
     """
     keys = names(keys)
-    moves = permutations(df, keys, row_no, features, reps, seed, first_rep)
-    columns = F.array(*[F.struct(F.lit(f).alias("pfi_var"), F.col(f).alias("__donated")) for f in features])
-    donors = df.select(*keys, F.col(row_no).alias("orig_row_no"), F.inline(columns))
-    moved = keyed_join(moves, donors, [*keys, "orig_row_no", "pfi_var"])
+    moved = permutations(df, keys, row_no, features, reps, seed, first_rep, carry=True)
     base = df.withColumnRenamed(row_no, "row_no") if row_no != "row_no" else df
     joined = keyed_join(moved, base, [*keys, "row_no"])
-    replaced = {f: F.when(F.col("pfi_var") == f, F.col("__donated")).otherwise(F.col(f)) for f in features}
-    return joined.withColumns(replaced).drop("__donated")
+    replaced = {f: F.when(F.col("pfi_var") == f, F.col("donated")).otherwise(F.col(f)) for f in features}
+    return joined.withColumns(replaced).drop("donated")
 
 
 def permute_feature(df: DataFrame, keys, row_no: str, feature: str, seed=0, rep: int = 1) -> DataFrame:

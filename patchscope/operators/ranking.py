@@ -33,13 +33,16 @@ def seeded_rank(
 
     ``ids`` name the row uniquely inside its group. ``seed`` may be a column.
     ``size_out`` adds the group size. ``extend_sizes`` may add columns to the small table
-    of bucket sizes (``__g`` struct of the keys, ``__bucket``, ``__n``); every row gets them.
+    of bucket sizes (``__g`` struct of the keys, hex ``__bucket``, ``__n``); every row gets them.
     """
     ids, by = names(ids), names(by)
     staged = with_group(df, by).withColumn("__token", draw_token(seed, *ids))
-    staged = staged.withColumn("__bucket", F.conv(F.substring("__token", 1, digits), 16, 10).cast("int"))
+    staged = staged.withColumn("__bucket", F.substring("__token", 1, digits))
+    # a number in front of the true keys decides nearly all comparisons of the sort
+    staged = staged.withColumn("__cell", F.xxhash64(GROUP, "__bucket"))
+    cell = ["__cell", GROUP, "__bucket"]
 
-    sizes = staged.groupBy(GROUP, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = staged.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
     whole = Window.partitionBy(GROUP)
     below = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("__offset", F.coalesce(F.sum("__n").over(below), F.lit(0)))
@@ -48,10 +51,10 @@ def seeded_rank(
     if extend_sizes:
         sizes = extend_sizes(sizes)
 
-    inside = Window.partitionBy(GROUP, "__bucket").orderBy("__token", *ids)
-    ranked = staged.withColumn("__local", F.row_number().over(inside)).join(sizes, [GROUP, "__bucket"])
+    inside = Window.partitionBy(*cell).orderBy("__token", *ids)
+    ranked = staged.withColumn("__local", F.row_number().over(inside)).join(sizes, cell)
     ranked = ranked.withColumn(out, (F.col("__local") + F.col("__offset")).cast("bigint"))
-    return ranked.drop(GROUP, "__token", "__bucket", "__n", "__offset", "__local")
+    return ranked.drop(GROUP, "__cell", "__token", "__bucket", "__n", "__offset", "__local")
 
 
 def first_per(df: DataFrame, keys: str | Iterable[str], order: Iterable) -> DataFrame:

@@ -42,6 +42,16 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def spread(df: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """Spread a slim table evenly over all shuffle partitions before its rows multiply.
+
+    A forecast table fits in one file split; without this, one task would unfold every
+    replicate. The explicit count keeps adaptive execution from merging partitions again.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *names(keys))
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Materialise a table meant to be tiny; hint a broadcast only if its row count allows."""
     table = checkpointed(df)

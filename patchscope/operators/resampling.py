@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from patchscope.functions.hashing import draw_below
 from patchscope.operators import verification as V
 from patchscope.operators.quantiles import percentiles_of_replicates, split_points, with_value_bucket
-from patchscope.operators.relational import GROUP, group_keys, names, small_side, with_group
+from patchscope.operators.relational import GROUP, group_keys, names, small_side, spread, with_group
 
 # Interval reported by the median table.
 INTERVAL = (0.025, 0.975)
@@ -37,7 +37,7 @@ def bootstrap_weights(
     column that already holds n; otherwise the rows of each key are counted first.
     """
     keys = names(keys)
-    grouped = with_group(df, keys)
+    grouped = with_group(spread(df.select(*keys, row_no, *names(size)), [*keys, row_no]), keys)
     if size:
         sized = grouped.select(GROUP, F.col(row_no).alias("__slot"), F.col(size).alias("__n"))
     else:
