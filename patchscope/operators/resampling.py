@@ -40,6 +40,8 @@ def bootstrap_weights(
     grouped = with_group(spread(df.select(*keys, row_no, *names(size)), [*keys, row_no]), keys)
     if size:
         sized = grouped.select(GROUP, F.col(row_no).alias("__slot"), F.col(size).alias("__n"))
+    elif not keys:
+        sized = grouped.select(GROUP, F.col(row_no).alias("__slot"), F.lit(df.count()).alias("__n"))
     else:
         slots = grouped.select(GROUP, F.col(row_no).alias("__slot"))
         sized = slots.join(small_side(slots.groupBy(GROUP).agg(F.count(F.lit(1)).alias("__n"))), GROUP)
@@ -83,12 +85,11 @@ def bootstrap_scores(
 def cell_scores(df: DataFrame, keys, width: float, threshold: float, weight: str | None = None) -> DataFrame:
     """Scalar and Brier scores from one aggregate over (reliability bin, outcome) cells."""
     keys = names(keys)
-    last = V.reliability_bins(width) - 1
     p = F.nanvl(F.col("prob").cast("double"), F.lit(None).cast("double"))
     w = F.lit(1).cast("bigint") if weight is None else F.col(weight)
     cells = (
         df.withColumns({
-            "__b": F.least(F.floor(F.round(p / F.lit(width), 9)).cast("int"), F.lit(last)),
+            "__b": V.bin_index(p, width),
             "__o": V.outcome_class(threshold),
         })
         .filter("__b IS NOT NULL")

@@ -59,6 +59,10 @@ def _apply(df, scaler, features, keys, function, infinite):
     scaled = [f for f in features if f != MASK_FEATURE]
     for feature in set(infinite) & set(scaled):
         df = df.withColumn(feature, A.infinite_to_zero(feature))
+    if not keys:
+        # one row of statistics becomes constants: nothing to join
+        row = scaler_row(scaler, keys, scaled).first()
+        return df.withColumns({f: function(f, F.lit(row[f"{f}__mean"]), F.lit(row[f"{f}__std"])) for f in scaled})
     left = with_group(df, keys)
     right = small_side(with_group(scaler_row(scaler, keys, scaled), keys).drop(*keys))
     expressions = {f: function(f, f"{f}__mean", f"{f}__std") for f in scaled}

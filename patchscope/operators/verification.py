@@ -84,7 +84,8 @@ def sweep_index(prob: Column, n: int = SWEEP) -> Column:
     near = F.least(F.greatest(F.floor(prob * (n - 1)), F.lit(-1)), F.lit(n - 1))
     at = lambda k: _threshold(k, n, step)
     fixed = F.when((near < n - 1) & (prob >= at(near + 1)), near + 1).when((near >= 0) & (prob < at(near)), near - 1)
-    return fixed.otherwise(near).cast("int")
+    # least and greatest skip NULL, so a missing probability needs its own rule
+    return F.when(prob.isNotNull(), fixed.otherwise(near)).cast("int")
 
 
 def _threshold(k: Column, n: int, step: float) -> Column:
@@ -163,6 +164,12 @@ def reliability_bins(width: float = BIN_WIDTH) -> int:
     return int(-(-(BIN_RANGE - 1e-9) // width)) - 1
 
 
+def bin_index(prob: Column, width: float) -> Column:
+    """Integer bin of a probability; NULL stays NULL."""
+    bin_id = F.floor(F.round(prob / F.lit(width), 9)).cast("int")
+    return F.when(prob.isNotNull(), F.least(bin_id, F.lit(reliability_bins(width) - 1)))
+
+
 def reliability_frequencies(
     df: DataFrame, keys: str | Iterable[str] | None = None, width: float = BIN_WIDTH,
     prob: str = "prob", label: str = "label", weight: str | None = None,
@@ -175,10 +182,9 @@ def reliability_frequencies(
     keys = names(keys)
     last = reliability_bins(width)
     event, w = F.col(label) >= OBSERVED, _weight(weight)
-    bin_id = F.floor(F.round(_prob(prob) / F.lit(width), 9)).cast("int")
     counted = (
         with_group(df, keys)
-        .withColumn("__b", F.least(bin_id, F.lit(last - 1)))
+        .withColumn("__b", bin_index(_prob(prob), width))
         .filter("__b IS NOT NULL")
         .groupBy(GROUP, "__b")
         .agg(F.sum(w).cast("bigint").alias("__n"), _sum_if(event, w).alias("__pos"))
