@@ -12,7 +12,7 @@ from patchscope.operators import verification as V
 from patchscope.operators.quantiles import percentiles_of_replicates
 from patchscope.operators.ranking import seeded_rank
 from patchscope.operators.relational import keyed_join, names, spread
-from patchscope.operators.resampling import cell_scores, replicate_ids
+from patchscope.operators.resampling import replicate_ids
 
 # Whiskers and quartiles of the importance boxes.
 BOX = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -74,7 +74,7 @@ def permutation_outcomes(
 
 def permutation_scores(outcomes: DataFrame, keys, width: float = V.BIN_WIDTH, threshold: float = V.DECISION) -> DataFrame:
     """Scalar and Brier scores of every permutation."""
-    return cell_scores(outcomes, [*names(keys), "pfi_var", "perm"], width, threshold)
+    return V.evaluate(outcomes, [*names(keys), "pfi_var", "perm"], width, threshold)
 
 
 def skill_loss(original: DataFrame, permuted: DataFrame, keys, metrics: Sequence[str] = ("AUC", "CSI", "BSS")) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchscope.operators.relational import GROUP, group_keys, names, with_group
+from patchscope.session import checkpointed
 
 SPLITS = 128
 
@@ -64,9 +65,10 @@ def exact_percentiles(
     NULL and NaN are skipped. With ``weight`` each value counts that many times.
     """
     keys = names(keys)
+    # the only pass over the rows; everything below reads distinct values
+    counts = checkpointed(value_counts(df, keys, column, weight))
     if splits is None:
-        splits = split_points(df.filter(~F.isnan(F.col(column).cast("double"))), column)
-    counts = value_counts(df, keys, column, weight)
+        splits = split_points(counts, "__v")
     counts = with_value_bucket(counts, "__v", splits)
 
     cells = counts.groupBy(GROUP, "__bucket").agg(F.sum("__w").alias("__cell"))
@@ -154,8 +156,9 @@ def rank_auc(
         .groupBy(GROUP, "__v")
         .agg(F.count_if("__pos").alias("__np"), F.count_if(~F.col("__pos")).alias("__nn"))
     )
+    counts = checkpointed(counts)
     if splits is None:
-        splits = split_points(df, prob)
+        splits = split_points(counts, "__v")
     counts = with_value_bucket(counts, "__v", splits)
     cells = counts.groupBy(GROUP, "__bucket").agg(F.sum("__nn").alias("__cell"))
     below = Window.partitionBy(GROUP).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

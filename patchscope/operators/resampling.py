@@ -18,6 +18,7 @@ from patchscope.operators.relational import GROUP, group_keys, names, small_side
 
 # Interval reported by the median table.
 INTERVAL = (0.025, 0.975)
+SPLIT_SAMPLE = 0.1
 
 
 def replicate_ids(start: int, n: int):
@@ -79,48 +80,7 @@ def bootstrap_scores(
     """
     keys = names(keys)
     sample = bootstrap_forecasts(df, keys, row_no, reps, seed, first_rep, size)
-    return cell_scores(sample, [*keys, "rep"], width, threshold, weight="w")
-
-
-def cell_scores(df: DataFrame, keys, width: float, threshold: float, weight: str | None = None) -> DataFrame:
-    """Scalar and Brier scores from one aggregate over (reliability bin, outcome) cells."""
-    keys = names(keys)
-    p = F.nanvl(F.col("prob").cast("double"), F.lit(None).cast("double"))
-    w = F.lit(1).cast("bigint") if weight is None else F.col(weight)
-    cells = (
-        df.withColumns({
-            "__b": V.bin_index(p, width),
-            "__o": V.outcome_class(threshold),
-        })
-        .filter("__b IS NOT NULL")
-        .groupBy(*keys, "__b", "__o")
-        .agg(F.sum(w).cast("bigint").alias("__w"))
-    )
-    total = lambda *o: F.coalesce(F.sum(F.when(F.col("__o").isin(*o), F.col("__w"))), F.lit(0)).cast("bigint")
-    curve = cells.groupBy(*keys, "__b").agg(
-        total("tp").alias("TP"), total("fp").alias("FP"), total("fn").alias("FN"), total("tn").alias("TN"),
-        F.sum("__w").alias("Total_Freq"), total("tp", "fn").alias("Positive_Freq"),
-    )
-    center = F.col("__b") * F.lit(width) + F.lit(width / 2)
-    n, rate = F.col("Total_Freq"), F.col("Positive_Freq") / F.col("Total_Freq")
-    sums = curve.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in ("TP", "FP", "FN", "TN")],
-        F.sum(n * (center - rate) * (center - rate)).alias("__rel"), F.sum(n * rate * rate).alias("__oo"),
-        F.sum(n).alias("__n"), F.sum("Positive_Freq").alias("__p"),
-    )
-    scored = V.scalar_scores(sums, threshold)
-    climo = F.try_divide(F.col("__p").cast("double"), F.col("__n").cast("double"))
-    scored = scored.withColumns({
-        "climo": climo,
-        "reliability": F.try_divide(F.col("__rel"), F.col("__n").cast("double")),
-        "resolution": F.try_divide(F.col("__oo"), F.col("__n").cast("double")) - climo * climo,
-        "uncertainty": climo * (1 - climo),
-    })
-    scored = scored.withColumns({
-        "BS": F.col("reliability") - F.col("resolution") + F.col("uncertainty"),
-        "BSS": F.try_divide(F.col("resolution") - F.col("reliability"), F.col("uncertainty")),
-    })
-    return scored.drop("__rel", "__oo", "__n", "__p")
+    return V.evaluate(sample, [*keys, "rep"], width, threshold, weight="w")
 
 
 def bootstrap_sweep(df: DataFrame, keys, row_no: str, reps: int, seed=0, first_rep: int = 1, n: int = V.SWEEP, size: str | None = None) -> DataFrame:
@@ -151,7 +111,9 @@ def bootstrap_medians(
     pixels = patches.select(GROUP, row_no, F.explode(values).alias("__v"))
     pixels = pixels.withColumn("__v", F.nanvl(F.col("__v").cast("double"), missing)).filter("__v IS NOT NULL")
     if splits is None:
-        splits = split_points(pixels, "__v")
+        # any split points give the exact result, so a sample of patches is enough
+        few = patches.sample(SPLIT_SAMPLE, seed=0).select(F.explode(values).alias("__v"))
+        splits = split_points(few.filter(~F.isnan("__v")), "__v")
     pixels = with_value_bucket(pixels, "__v", splits)
     counted = pixels.groupBy(GROUP, row_no, "__bucket").agg(F.count(F.lit(1)).alias("__c"))
     weights = with_group(bootstrap_weights(df, keys, row_no, reps, seed, first_rep), keys).select(GROUP, row_no, "rep", "w")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchscope.functions.expressions import ratio, ratio_or_zero
-from patchscope.operators.relational import GROUP, group_keys, keyed_join, names, with_group
+from patchscope.operators.relational import GROUP, group_keys, names, with_group
 
 # Decision threshold, bin width, number of swept thresholds, confident cuts.
 DECISION = 0.5
@@ -262,9 +262,45 @@ def composite_groups(composed: DataFrame) -> DataFrame:
     return composed.withColumn("group", F.explode(groups))
 
 
-def evaluate(forecasts: DataFrame, keys: str | Iterable[str], width: float = BIN_WIDTH, threshold: float = DECISION, weight: str | None = None) -> DataFrame:
-    """Scalar scores and Brier parts of every member in one plan."""
+def evaluate(df: DataFrame, keys: str | Iterable[str], width: float = BIN_WIDTH, threshold: float = DECISION, weight: str | None = None) -> DataFrame:
+    """Scalar scores and Brier parts of every member, or replicate, in one pass.
+
+    Forecasts collapse to (reliability bin, outcome) cells, from which both the confusion
+    counts and the reliability curve follow.
+    """
     keys = names(keys)
-    scores = scalar_scores(confusion(forecasts, keys, threshold, weight=weight), threshold)
-    parts = brier_components(reliability_curve(forecasts, keys, width, weight=weight), keys)
-    return keyed_join(scores, parts, keys)
+    w = _weight(weight)
+    cells = (
+        df.withColumns({
+            "__b": bin_index(_prob("prob"), width),
+            "__o": outcome_class(threshold),
+        })
+        .filter("__b IS NOT NULL")
+        .groupBy(*keys, "__b", "__o")
+        .agg(F.sum(w).cast("bigint").alias("__w"))
+    )
+    total = lambda *o: F.coalesce(F.sum(F.when(F.col("__o").isin(*o), F.col("__w"))), F.lit(0)).cast("bigint")
+    curve = cells.groupBy(*keys, "__b").agg(
+        total("tp").alias("TP"), total("fp").alias("FP"), total("fn").alias("FN"), total("tn").alias("TN"),
+        F.sum("__w").alias("Total_Freq"), total("tp", "fn").alias("Positive_Freq"),
+    )
+    center = F.col("__b") * F.lit(width) + F.lit(width / 2)
+    n, rate = F.col("Total_Freq"), F.col("Positive_Freq") / F.col("Total_Freq")
+    sums = curve.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("TP", "FP", "FN", "TN")],
+        F.sum(n * (center - rate) * (center - rate)).alias("__rel"), F.sum(n * rate * rate).alias("__oo"),
+        F.sum(n).alias("__n"), F.sum("Positive_Freq").alias("__p"),
+    )
+    scored = scalar_scores(sums, threshold)
+    climo = ratio("__p", "__n")
+    scored = scored.withColumns({
+        "climo": climo,
+        "reliability": ratio("__rel", "__n"),
+        "resolution": ratio("__oo", "__n") - climo * climo,
+        "uncertainty": climo * (1 - climo),
+    })
+    scored = scored.withColumns({
+        "BS": F.col("reliability") - F.col("resolution") + F.col("uncertainty"),
+        "BSS": F.try_divide(F.col("resolution") - F.col("reliability"), F.col("uncertainty")),
+    })
+    return scored.drop("__rel", "__oo", "__n", "__p")

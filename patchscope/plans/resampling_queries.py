@@ -27,6 +27,11 @@ BOOT = f"WITH {views.FORECAST_ROWS_SQL}, {WEIGHTS}"
 KR = "climate, member, rep"
 
 
+def _forecasts(spark, sf):
+    """The numbered forecast table, stored once: draws and scores both read it."""
+    return checkpointed(views.forecast_rows(spark, sf).select(*KEYS, "row_no", "n_rows", "prob", "label"))
+
+
 @query(f"{BOOT} SELECT climate, member, rep, row_no, w FROM v_boot")
 def bootstrap_weights(spark, sf):
     rows = views.forecast_rows(spark, sf)
@@ -36,7 +41,7 @@ def bootstrap_weights(spark, sf):
 @query(f"""{BOOT} SELECT s.*, {BRIER_COLUMNS} FROM (SELECT {KR}, {SCALAR_COLUMNS} FROM ({counts_sql('v_boot', KR, weight='w')})) s
 JOIN ({brier_sql(curve_sql('v_boot', KR, weight='w'), KR)}) b USING ({KR})""")
 def bootstrap_scores(spark, sf):
-    return R.bootstrap_scores(views.forecast_rows(spark, sf), KEYS, "row_no", REPS, size="n_rows")
+    return R.bootstrap_scores(_forecasts(spark, sf), KEYS, "row_no", REPS, size="n_rows")
 
 
 WEIGHTED = "v_bw AS (SELECT climate, rep * 100 + member AS rep, prob, label FROM v_boot, range(0, w) t(i))"
@@ -46,21 +51,21 @@ WEIGHTED = "v_bw AS (SELECT climate, rep * 100 + member AS rep, prob, label FROM
   {r('min(POD)', 'POD_min')}, {r('max(POD)', 'POD_max')}
 FROM (SELECT climate, rep, Threshold, {SWEEP_RAW} FROM ({sweep_sql('v_bw', 'climate, rep', 1000)})) GROUP BY climate, Threshold""")
 def bootstrap_sweep_envelope(spark, sf):
-    sweep = R.bootstrap_sweep(views.forecast_rows(spark, sf), KEYS, "row_no", REPS, n=1000, size="n_rows")
+    sweep = R.bootstrap_sweep(_forecasts(spark, sf), KEYS, "row_no", REPS, n=1000, size="n_rows")
     return R.envelope(sweep, ["climate", "Threshold"], ["FAR", "POD"])
 
 
 @query(f"""{BOOT} SELECT climate, bin, {r('min(rate)', 'Positive_Relative_Freq_min')}, {r('max(rate)', 'Positive_Relative_Freq_max')}
 FROM ({curve_sql('v_boot', KR, weight='w')}) GROUP BY climate, bin""")
 def bootstrap_reliability_envelope(spark, sf):
-    curves = R.bootstrap_reliability(views.forecast_rows(spark, sf), KEYS, "row_no", REPS, size="n_rows")
+    curves = R.bootstrap_reliability(_forecasts(spark, sf), KEYS, "row_no", REPS, size="n_rows")
     return R.envelope(curves, ["climate", "bin"], ["Positive_Relative_Freq"])
 
 
 @query(f"""{BOOT} SELECT climate, {r('quantile_cont(CSI, 0.025)', 'CSI_low')}, {r('quantile_cont(CSI, 0.975)', 'CSI_high')}
 FROM (SELECT {KR}, {SCALAR_RAW} FROM ({counts_sql('v_boot', KR, weight='w')})) GROUP BY climate""")
 def bootstrap_score_interval(spark, sf):
-    scores = R.bootstrap_scores(views.forecast_rows(spark, sf), KEYS, "row_no", REPS, size="n_rows")
+    scores = R.bootstrap_scores(_forecasts(spark, sf), KEYS, "row_no", REPS, size="n_rows")
     return R.envelope(scores, ["climate"], ["CSI"], interval=R.INTERVAL)
 
 
@@ -107,22 +112,23 @@ v_orig AS (SELECT *, {views.SCORER_SQL} AS prob FROM v_frows)"""
 KP = "climate, member, pfi_var, perm"
 
 
-def _outcomes(spark, sf):
-    rows = views.feature_rows(spark, sf).select(*KEYS, "row_no", "label", *FEATURES)
-    return P.permutation_outcomes(rows, KEYS, "row_no", FEATURES, PERMS, views.linear_scorer)
+def _rows(spark, sf):
+    """The numbered feature table, stored once: donors, receivers and originals read it."""
+    return checkpointed(views.feature_rows(spark, sf).select(*KEYS, "row_no", "row_key", "label", *FEATURES))
 
 
-def _original(spark, sf):
-    return views.linear_scorer(views.feature_rows(spark, sf))
+def _outcomes(rows):
+    rows = rows.drop("row_key")
+    return P.permutation_outcomes(rows, KEYS, "row_no", FEATURES, PERMS, views.linear_scorer)
 
 
 def _scores(spark, sf):
-    return P.permutation_scores(_outcomes(spark, sf), KEYS)
+    return P.permutation_scores(_outcomes(_rows(spark, sf)), KEYS)
 
 
 @query(f"{PERM} SELECT climate, member, row_no, row_key, orig_row_no, {r('discount', 'discount')}, {r('tax', 'tax')} FROM v_perm WHERE pfi_var = 'discount' AND perm = 1")
 def permute_feature(spark, sf):
-    rows = views.feature_rows(spark, sf).select(*KEYS, "row_no", "row_key", "discount", "tax")
+    rows = _rows(spark, sf).select(*KEYS, "row_no", "row_key", "discount", "tax")
     return P.permute_feature(rows, KEYS, "row_no", "discount")
 
 
@@ -145,8 +151,9 @@ v_loss AS ({' UNION ALL '.join(f"SELECT p.climate, p.member, p.pfi_var, p.perm,
 
 
 def _loss(spark, sf):
-    original = V.evaluate(_original(spark, sf), KEYS)
-    permuted = _scores(spark, sf).select(*KEYS, "pfi_var", "perm", *METRICS)
+    rows = _rows(spark, sf)
+    original = V.evaluate(views.linear_scorer(rows), KEYS)
+    permuted = P.permutation_scores(_outcomes(rows), KEYS).select(*KEYS, "pfi_var", "perm", *METRICS)
     return P.skill_loss(original, permuted, ["climate"], METRICS)
 
 
@@ -174,19 +181,18 @@ v_band AS (SELECT *, 'bottom' AS band FROM v_q WHERE value <= lo UNION ALL SELEC
            UNION ALL SELECT *, 'middle' FROM v_q WHERE value > lo AND value < hi)"""
 
 
-def _bands(spark, sf, scores=None):
-    scores = _scores(spark, sf) if scores is None else scores
+def _bands(scores):
     return P.permutation_bands(scores, [*KEYS, "pfi_var"], METRICS, 0.2, 0.8)
 
 
 @query(f"{PERM}, {BANDS} SELECT climate, member, pfi_var, perm, metric, {r('value', 'metric_value')}, band FROM v_band")
 def permutation_bands(spark, sf):
-    return _bands(spark, sf)
+    return _bands(_scores(spark, sf))
 
 
 @query(f"{PERM}, {BANDS} SELECT climate, member, pfi_var, perm, metric, {r('value', 'metric_value')}, band FROM v_band WHERE band <> 'middle'")
 def tail_permutations(spark, sf):
-    return P.tail_permutations(_bands(spark, sf))
+    return P.tail_permutations(_bands(_scores(spark, sf)))
 
 
 def _case_sql(after: str, before: str) -> str:
@@ -203,23 +209,23 @@ SELECT {group}, band, perm, orig_row_no FROM v_set s WHERE rn = 1 AND band IN ('
   AND EXISTS (SELECT 1 FROM v_orig q WHERE q.climate = s.climate AND q.member = s.member AND q.row_no = s.row_no AND {yes_before})"""
 
 
-def _cases(spark, sf, kind):
+def _cases(rows, kind):
     # rescoring is the expensive part and is read twice: for the bands and for the cases
-    outcomes = checkpointed(_outcomes(spark, sf))
-    original = _original(spark, sf).withColumn("outcome", V.outcome_class())
-    bands = _bands(spark, sf, P.permutation_scores(outcomes, KEYS))
+    outcomes = checkpointed(_outcomes(rows))
+    original = views.linear_scorer(rows).withColumn("outcome", V.outcome_class())
+    bands = _bands(P.permutation_scores(outcomes, KEYS))
     return P.permutation_cases(outcomes, bands, original, KEYS, kind)
 
 
 @query(_case_sql("fn", "tp"))
 def permutation_misses(spark, sf):
     """Hits that turned into misses only in the best or only in the worst permutations."""
-    return _cases(spark, sf, "misses")
+    return _cases(_rows(spark, sf), "misses")
 
 
 @query(_case_sql("fp", "tn"))
 def permutation_false_alarms(spark, sf):
-    return _cases(spark, sf, "false_alarms")
+    return _cases(_rows(spark, sf), "false_alarms")
 
 
 @query(f"""WITH c AS ({_case_sql('fn', 'tp')}), {views.FEATURE_ROWS_SQL},
@@ -228,5 +234,5 @@ SELECT c.climate, c.member, c.pfi_var, c.metric, c.band, c.row_no, c.perm, c.ori
 FROM c JOIN v_id o ON o.gid = concat_ws(':', c.climate, c.member, c.row_no) JOIN v_id d ON d.gid = concat_ws(':', c.climate, c.member, c.orig_row_no)""")
 def permutation_case_rows(spark, sf):
     """The mined cases with their own and their donors' values."""
-    rows = views.feature_rows(spark, sf)
-    return P.case_patches(_cases(spark, sf, "misses"), rows, KEYS, ["discount"])
+    rows = _rows(spark, sf)
+    return P.case_patches(_cases(rows, "misses"), rows, KEYS, ["discount"])

@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_if_few_splits(df: DataFrame) -> DataFrame:
+    """Spread a table of fewer file splits than cores; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def blend(label: Column, key: Column) -> Column:
     """Probability in steps of 0.0001 that leans towards the label; integer arithmetic until the end."""
     u = draw_int(1, key) % 10001
@@ -33,10 +39,10 @@ BLEND_SQL = "(((('0x'||substr(md5('1:'||{key}),1,15))::BIGINT % 10001) * 7 + {la
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four scalar features with keys, one row per line item."""
-    li = table(spark, sf_dir, "lineitem")
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    li = spread_if_few_splits(table(spark, sf_dir, "lineitem"))
+    whole = lambda c: F.floor(c + 0.5).cast("string")
     key = F.concat_ws(
-        ":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("l_quantity").cast("bigint").cast("string"), cents.cast("string")
+        ":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", whole(F.col("l_quantity")), whole(F.col("l_extendedprice") * 100)
     )
     return li.select(
         key.alias("row_key"),
