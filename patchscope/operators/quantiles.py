@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from patchscope.operators.relational import GROUP, group_keys, names, with_group
 from patchscope.session import checkpointed
 
-SPLITS = 128
+SPLITS = 1024
 
 
 def split_points(df: DataFrame, column: str, n: int = SPLITS) -> list[float]:

@@ -19,6 +19,8 @@ from patchscope.operators.relational import GROUP, group_keys, names, small_side
 # Interval reported by the median table.
 INTERVAL = (0.025, 0.975)
 SPLIT_SAMPLE = 0.1
+# few, because every replicate meets each patch once per bucket it touches
+PATCH_SPLITS = 64
 
 
 def replicate_ids(start: int, n: int):
@@ -113,7 +115,7 @@ def bootstrap_medians(
     if splits is None:
         # any split points give the exact result, so a sample of patches is enough
         few = patches.sample(SPLIT_SAMPLE, seed=0).select(F.explode(values).alias("__v"))
-        splits = split_points(few.filter(~F.isnan("__v")), "__v")
+        splits = split_points(few.filter(~F.isnan("__v")), "__v", PATCH_SPLITS)
     pixels = with_value_bucket(pixels, "__v", splits)
     counted = pixels.groupBy(GROUP, row_no, "__bucket").agg(F.count(F.lit(1)).alias("__c"))
     weights = with_group(bootstrap_weights(df, keys, row_no, reps, seed, first_rep), keys).select(GROUP, row_no, "rep", "w")

@@ -24,6 +24,8 @@ CONFIDENT_YES = 0.99
 CONFIDENT_NO = 0.01
 BIN_RANGE = 1.1
 OBSERVED = 0.5
+# Half a unit of the ninth digit: floor after this is floor after rounding to nine digits.
+BIN_SLACK = 5e-10
 
 
 def _weight(weight: str | None) -> Column:
@@ -166,7 +168,7 @@ def reliability_bins(width: float = BIN_WIDTH) -> int:
 
 def bin_index(prob: Column, width: float) -> Column:
     """Integer bin of a probability; NULL stays NULL."""
-    bin_id = F.floor(F.round(prob / F.lit(width), 9)).cast("int")
+    bin_id = F.floor(prob / F.lit(width) + BIN_SLACK).cast("int")
     return F.when(prob.isNotNull(), F.least(bin_id, F.lit(reliability_bins(width) - 1)))
 
 
@@ -176,7 +178,7 @@ def reliability_frequencies(
 ) -> DataFrame:
     """Total and positive counts for every edge, empty ones included; one row more than the curve.
 
-    Bin ids are integers ``floor(round(prob / width, 9))``, so edges such as 0.15 are exact;
+    Bin ids are integers, ``prob / width`` rounded at the ninth digit and floored, so edges such as 0.15 are exact;
     the last curve bin is closed, so no forecast drops out.
     """
     keys = names(keys)
