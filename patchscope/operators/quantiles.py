@@ -18,13 +18,18 @@ from patchscope.operators.relational import GROUP, group_keys, names, with_group
 from patchscope.session import checkpointed
 
 SPLITS = 1024
+SAMPLE_ROWS = 1_000_000
 
 
 def split_points(df: DataFrame, column: str, n: int = SPLITS) -> list[float]:
     """About ``n`` increasing values that cut ``column`` into similar shares.
 
-    At most ``n`` numbers reach the driver, whatever the table size.
+    Works on a sample of bounded size, and at most ``n`` numbers reach the driver. ``df``
+    should be a stored table, whose row count is known from its files.
     """
+    rows = df.count()
+    if rows > SAMPLE_ROWS:
+        df = df.sample(SAMPLE_ROWS / rows, seed=0)
     probabilities = [i / n for i in range(1, n)]
     values = df.select(F.col(column).cast("double").alias(column))
     row = values.agg(F.percentile_approx(column, probabilities, F.lit(10 * n)).alias("q")).first()

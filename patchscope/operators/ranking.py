@@ -57,12 +57,6 @@ def seeded_rank(
     return ranked.drop(GROUP, "__cell", "__token", "__bucket", "__n", "__offset", "__local")
 
 
-def first_per(df: DataFrame, keys: str | Iterable[str], order: Iterable) -> DataFrame:
-    """The first row of each key in the given total order."""
-    w = Window.partitionBy(*names(keys)).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
-
-
 def head_n(df: DataFrame, keys: str | Iterable[str], n: int, order: Iterable) -> DataFrame:
     """First ``n`` rows of each key; Spark prunes to n per task before the shuffle."""
     w = Window.partitionBy(*names(keys)).orderBy(*order)

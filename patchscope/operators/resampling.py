@@ -18,7 +18,7 @@ from patchscope.operators.relational import GROUP, group_keys, names, small_side
 
 # Interval reported by the median table.
 INTERVAL = (0.025, 0.975)
-SPLIT_SAMPLE = 0.1
+SAMPLE_PATCHES = 1000
 # few, because every replicate meets each patch once per bucket it touches
 PATCH_SPLITS = 64
 
@@ -114,7 +114,8 @@ def bootstrap_medians(
     pixels = pixels.withColumn("__v", F.nanvl(F.col("__v").cast("double"), missing)).filter("__v IS NOT NULL")
     if splits is None:
         # any split points give the exact result, so a sample of patches is enough
-        few = patches.sample(SPLIT_SAMPLE, seed=0).select(F.explode(values).alias("__v"))
+        share = min(1.0, SAMPLE_PATCHES / max(df.count(), 1))
+        few = patches.sample(share, seed=0).select(F.explode(values).alias("__v"))
         splits = split_points(few.filter(~F.isnan("__v")), "__v", PATCH_SPLITS)
     pixels = with_value_bucket(pixels, "__v", splits)
     counted = pixels.groupBy(GROUP, row_no, "__bucket").agg(F.count(F.lit(1)).alias("__c"))

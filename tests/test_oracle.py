@@ -1,4 +1,4 @@
-"""Every query against its SQL in DuckDB."""
+"""Every query against its SQL in DuckDB, and its plan."""
 
 import decimal
 import math
@@ -19,9 +19,18 @@ def canonical(value):
     return str(value)
 
 
+def check_plan(df):
+    """No cross join, and a single partition holds aggregates only, never rows."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not any("CartesianProduct" in x or "BroadcastNestedLoopJoin" in x for x in lines)
+    for line, below in zip(lines, lines[1:]):
+        assert "Exchange SinglePartition" not in line or "HashAggregate" in below
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
     df = QUERIES[name](spark, SMALL)
+    check_plan(df)
     columns = sorted(df.columns)
     rows = sorted(tuple(canonical(r[c]) for c in columns) for r in df.collect())
     assert rows
