@@ -39,7 +39,7 @@ PREFIXES = (3, 4, 5)
 SAMPLE_ROWS = 6000
 FEATURES = 4096
 MIN_DOCS, MIN_LIFT = 3, 3.0
-PENALTY, STEPS = 2e-4, 400
+PENALTY, STEPS = 3e-5, 800
 THRESHOLD = 0.3
 
 
