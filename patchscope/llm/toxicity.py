@@ -61,7 +61,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 if text:
                     words.update(text.lower().split())
-                if len(words) > 300_000:
+                if len(words) > 100_000:
                     fold_words(words, fold)
         fold_words(words, fold)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
@@ -101,7 +101,7 @@ class Channel:
         for g, n in self.two.items():
             self.middle[g[0]] += n
 
-    @lru_cache(maxsize=200_000)
+    @lru_cache(maxsize=50_000)
     def log_p(self, a: str, b: str, c: str) -> float:
         """Log probability of c after a, b: trigram, bigram and single counts mixed."""
         p = (self.one.get(c, 0) + 0.5) / (self.total + 100.0)
@@ -154,7 +154,8 @@ class Features:
     def __init__(self, counts: dict[str, int], wanted: dict[str, int] | None = None):
         self.channel = Channel(counts)
         keep = (lambda names: tuple(dict.fromkeys(names))) if wanted is None else (lambda names: tuple({wanted[x] for x in names if x in wanted}))
-        self.pieces = Recent(lambda new: [keep(feature_names(plain_words(p, self.channel))) for p in new], 300_000)
+        # without a list of wanted features an entry holds all names of a piece
+        self.pieces = Recent(lambda new: [keep(feature_names(plain_words(p, self.channel))) for p in new], 150_000 if wanted is not None else 20_000)
 
     def of(self, text: str | None) -> set:
         """The distinct features of a whole text; letters written apart are joined first."""
@@ -166,7 +167,7 @@ class Features:
         return set().union(*(f for f in self.pieces.look_up(pieces) if f))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def features(lm: str, wanted: str | None = None) -> Features:
     return Features(json.loads(lm), {f: i for i, f in enumerate(json.loads(wanted))} if wanted is not None else None)
 
