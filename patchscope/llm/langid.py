@@ -7,6 +7,7 @@ every word of a text. The language of a text is that of most of its letters.
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 import unicodedata
@@ -42,9 +43,8 @@ FLOOR = 0.1
 UNKNOWN = "und"
 
 
+@lru_cache(maxsize=1 << 16)
 def script(letter: str) -> str:
-    import bisect
-
     return SCRIPTS[bisect.bisect_right(STARTS, ord(letter)) - 1][1]
 
 
@@ -106,27 +106,30 @@ class Model:
             for g, n in counts[lang].items():
                 if g[0] != "#":
                     raw.setdefault(g, np.zeros(k))[i] = n
-        self.weights: dict[str, np.ndarray] = {}
-        for g, row in raw.items():
-            p = np.log((row + FLOOR) / (totals["=" if g[0] == "=" and len(g) > 1 else len(g)] + 1.0))
-            self.weights[g] = p - p.mean()
+        self.place = {g: i for i, g in enumerate(raw)}
+        rows = [np.log((row + FLOOR) / (totals["=" if g[0] == "=" and len(g) > 1 else len(g)] + 1.0)) for g, row in raw.items()]
+        self.weights = np.array([p - p.mean() for p in rows]).reshape(-1, k)
         letters = {lang: {g[1:]: n for g, n in counts[lang].items() if g[0] == "#"} for lang in self.langs}
         self.scripts = {
             s: np.array([letters[lang].get(s, 0) >= SCRIPT_SHARE * sum(letters[lang].values()) and letters[lang].get(s, 0) > 0 for lang in self.langs])
             for s in {s for x in letters.values() for s in x}
         }
-        self.memo = Recent(lambda words: [self.score(w) for w in words], 300_000)
-
-    def score(self, word: str) -> tuple[float, ...]:
-        """One score per language; languages that the word's script rules out get a large negative one."""
-        found = [self.weights[g] for g in grams(word) if g in self.weights]
-        total = np.sum(found, axis=0) if found else np.zeros(len(self.langs))
-        total = np.clip(total - total.max(), -WORD_BOUND, 0.0) if len(total) else total
-        names = Counter(map(script, word))
-        allowed = self.scripts.get(names.most_common(1)[0][0])
-        if allowed is not None and allowed.any():
-            total = np.where(allowed, total, -4 * WORD_BOUND)
-        return tuple(total.tolist())
+        self.memo = Recent(self.scores, 200_000)
+
+    def scores(self, words: list[str]) -> list[bytes]:
+        """One 32-bit score per language for each word; languages that its script rules out get a large negative one."""
+        place, k = self.place, len(self.langs)
+        found = [[place[g] for g in grams(w) if g in place] for w in words]
+        word = np.repeat(np.arange(len(words)), [len(f) for f in found])
+        gram = np.array([g for f in found for g in f], np.int64)
+        total = np.column_stack([np.bincount(word, self.weights[gram, i], len(words)) for i in range(k)])
+        total = np.maximum(total - total.max(axis=1, keepdims=True), -WORD_BOUND)
+        for i, w in enumerate(words):
+            name = "Latin" if w.isascii() else Counter(map(script, w)).most_common(1)[0][0]
+            allowed = self.scripts.get(name)
+            if allowed is not None and not allowed.all():
+                total[i] = np.where(allowed, total[i], -4 * WORD_BOUND) if allowed.any() else total[i]
+        return [r.tobytes() for r in total.astype("<f4")]
 
     def decode(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The language number of each word of each text; all texts advance together, word by word.
@@ -137,7 +140,7 @@ class Model:
         k, order = len(self.langs), sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         lengths = np.array([len(texts[i]) for i in order], np.int64)
         offsets = np.concatenate([[0], np.cumsum(lengths)])
-        flat = np.array(self.memo.look_up([w for i in order for w in texts[i]]), np.float32).reshape(-1, k)
+        flat = np.frombuffer(b"".join([b"".join(self.memo.look_up(texts[i])) for i in order]), "<f4").reshape(-1, k)
         stay, top = np.zeros((len(flat), k), bool), np.zeros(len(flat), np.int16)
         steps = int(lengths[0]) if len(lengths) else 0
         alive = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right") if steps else []
@@ -177,7 +180,7 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(unicodedata.normalize("NFC", text).lower()) if text else []
 
 
-def identify(docs: DataFrame, table: str, spans: bool = False, block_words: int = 2_000_000) -> DataFrame:
+def identify(docs: DataFrame, table: str, spans: bool = False, block_words: int = 1_500_000) -> DataFrame:
     """doc_id, lang_pred and score of every row, with ``spans`` also lang_spans (array of lang, first word, words).
 
     lang_pred is the language of most letters, ties going to the first name; score is its
