@@ -43,43 +43,60 @@ PENALTY, STEPS = 3e-5, 800
 THRESHOLD = 0.3
 
 
-def trigram_counts(docs: DataFrame) -> DataFrame:
-    """(gram, n): character trigrams of all words of all rows, with ``^`` and ``$`` at word borders."""
+@lru_cache(maxsize=1)
+def letter_table() -> np.ndarray:
+    """True at the code points that are letters."""
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
+
+
+def count_trigrams(texts: list[str]) -> Counter:
+    """Trigrams of the words of texts, ``^`` before and ``$`` behind each word; the first letter also counts after ``^^``."""
+    total: Counter = Counter()
+    codes = np.frombuffer(("\n" + "\n".join(texts).lower() + "\n").encode("utf-32-le", "replace"), "<u4")
+    codes = np.where(letter_table()[codes], codes, 0)
+    present = np.flatnonzero(np.bincount(codes))
+    number = np.zeros(int(present[-1]) + 1, np.int64)
+    number[present] = np.arange(len(present))
+    ids, k = number[codes], len(present)
+    keys = (ids[:-2] * k + ids[1:-1]) * k + ids[2:]
+    if k**3 <= 1 << 24:
+        counts = np.bincount(keys)
+        keys = np.flatnonzero(counts)
+        counts = counts[keys]
+    else:
+        keys, counts = np.unique(keys, return_counts=True)
+    names = ["", *map(chr, present[1:].tolist())] if present[0] == 0 else list(map(chr, present.tolist()))
+    for key, n in zip(keys.tolist(), counts.tolist()):
+        a, b, c = names[key // (k * k)], names[key // k % k], names[key % k]
+        if b:
+            total[(a or "^") + b + (c or "$")] += n
+            if not a:
+                total["^^" + b] += n
+    return total
+
+
+def trigram_counts(docs: DataFrame, block_chars: int = 1 << 21) -> DataFrame:
+    """(gram, n): character trigrams of all words of all rows."""
 
     def count(batches):
-        words: Counter = Counter()
         total: Counter = Counter()
-
-        def fold():
-            for word, n in words.items():
-                text = f"^^{word}$"
-                for i in range(len(text) - 2):
-                    total[text[i : i + 3]] += n
-            words.clear()
-
+        held, size = [], 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if text:
-                    words.update(text.lower().split())
-                if len(words) > 100_000:
-                    fold_words(words, fold)
-        fold_words(words, fold)
+            for text in batch.column("text"):
+                value = text.as_py()
+                if value:
+                    held.append(value)
+                    size += len(value)
+                if size >= block_chars:
+                    total.update(count_trigrams(held))
+                    held, size = [], 0
+        if held:
+            total.update(count_trigrams(held))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
 
     return docs.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def fold_words(words: Counter, fold) -> None:
-    """Replace white-space separated pieces by their runs of letters, then fold them into trigrams."""
-    runs: Counter = Counter()
-    for piece, n in words.items():
-        for run in LETTERS.findall(piece):
-            runs[run] += n
-    words.clear()
-    words.update(runs)
-    fold()
-
-
 def language_model(docs: DataFrame) -> dict[str, int]:
     """The trigram table; its size is bounded by the alphabets, not by the rows, as rare trigrams are left out."""
     return {r["gram"]: r["n"] for r in trigram_counts(docs).where(F.col("n") >= MIN_COUNT).collect()}
@@ -134,6 +151,8 @@ class Channel:
 
 def plain_words(piece: str, channel: Channel) -> list[str]:
     """The words of a white-space separated piece: restored if it looks disguised, else its runs of letters."""
+    if piece.isalpha() and not REPEATED.search(piece):
+        return [piece]
     runs = LETTERS.findall(piece)
     if not runs and not any(c in LEET for c in piece):
         return []
@@ -149,13 +168,25 @@ def feature_names(words: list[str]) -> list[str]:
 
 
 class Features:
-    """Feature names of texts, each piece worked out once."""
+    """Features of texts, each white-space separated piece worked out once: their names, or the numbers of the wanted ones."""
 
     def __init__(self, counts: dict[str, int], wanted: dict[str, int] | None = None):
         self.channel = Channel(counts)
-        keep = (lambda names: tuple(dict.fromkeys(names))) if wanted is None else (lambda names: tuple({wanted[x] for x in names if x in wanted}))
-        # without a list of wanted features an entry holds all names of a piece
-        self.pieces = Recent(lambda new: [keep(feature_names(plain_words(p, self.channel))) for p in new], 150_000 if wanted is not None else 20_000)
+        self.words = {f[1:]: i for f, i in (wanted or {}).items() if f[0] == "="}
+        self.starts = {f[1:]: i for f, i in (wanted or {}).items() if f[0] == "^"}
+        # an entry without a list of wanted features holds all names of a piece
+        one, limit = (self.numbers, 200_000) if wanted is not None else (self.names, 20_000)
+        self.pieces = Recent(lambda new: [one(p) for p in new], limit)
+
+    def names(self, piece: str) -> tuple[str, ...]:
+        return tuple(dict.fromkeys(feature_names(plain_words(piece, self.channel))))
+
+    def numbers(self, piece: str) -> tuple[int, ...]:
+        words, starts = self.words, self.starts
+        found = {words.get(w) for w in (runs := plain_words(piece, self.channel))}
+        found.update(starts.get(w[:n]) for w in runs for n in PREFIXES if len(w) > n)
+        found.discard(None)
+        return tuple(found)
 
     def of(self, text: str | None) -> set:
         """The distinct features of a whole text; letters written apart are joined first."""
