@@ -182,8 +182,8 @@ class Features:
         return tuple(dict.fromkeys(feature_names(plain_words(piece, self.channel))))
 
     def numbers(self, piece: str) -> tuple[int, ...]:
-        words, starts = self.words, self.starts
-        found = {words.get(w) for w in (runs := plain_words(piece, self.channel))}
+        words, starts, runs = self.words, self.starts, plain_words(piece, self.channel)
+        found = {words.get(w) for w in runs}
         found.update(starts.get(w[:n]) for w in runs for n in PREFIXES if len(w) > n)
         found.discard(None)
         return tuple(found)
