@@ -12,14 +12,14 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from patchscope.llm.common import Recent
+from patchscope.llm.common import Recent, worker_state
 
 NEVER = 1 << 62
 #: White space as the rank files' pattern sees it (fixed values).
@@ -69,7 +69,7 @@ class Vocabulary:
         key = a << 32 | b
         known = self.borders.get(key)
         if known is None:
-            if len(self.borders) > 1_000_000:
+            if len(self.borders) > 400_000:
                 self.borders.clear()
             known = self.borders[key] = self._apart(a, b)
         return known
@@ -188,8 +188,8 @@ class Encoder:
         self.vocabulary = Vocabulary.read(path)
         # the pattern's \s in its plain reading, as SPACE has it
         split = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
-        words = Recent(lambda new: [np.array(self.vocabulary.encode_piece(w.encode()), "<u4").tobytes() for w in new], 300_000)
-        self.pieces = Recent(lambda new: [b"".join(words.look_up(split.findall(p))) for p in new], 300_000)
+        words = Recent(lambda new: [np.array(self.vocabulary.encode_piece(w.encode()), "<u4").tobytes() for w in new], 200_000)
+        self.pieces = Recent(lambda new: [b"".join(words.look_up(split.findall(p))) for p in new], 200_000)
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -199,9 +199,8 @@ class Encoder:
         return self.vocabulary.decode(np.frombuffer(packed, "<u4").tolist())
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+    return worker_state(("bpe", path, pattern), lambda: Encoder(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, digests: bool = False, text: str = "text") -> DataFrame:

@@ -49,6 +49,22 @@ class Recent:
         return [new[k] for k in keys]
 
 
+_state: list = [None, None]
+
+
+def worker_state(key: tuple, build: Callable[[], object]):
+    """What a Python worker keeps between tasks. One thing only: building another drops it, as workers serve all stages."""
+    if _state[0] != key:
+        release()
+        _state[:] = [key, build()]
+    return _state[1]
+
+
+def release() -> None:
+    """Drop what the worker keeps."""
+    _state[:] = [None, None]
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the rows no model learns from: crc32 of the id as text is 2 modulo 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -62,6 +78,7 @@ def arrow_map(df: DataFrame, function: Callable[[dict[str, list]], dict[str, lis
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             out = function({name: batch.column(name).to_pylist() for name in batch.schema.names})
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)

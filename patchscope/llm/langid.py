@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchscope.llm.common import Recent, held_out
+from patchscope.llm.common import Recent, held_out, worker_state
 
 #: First code points of scripts, and names (fixed values); what lies before the first is Latin.
 SCRIPTS = (
@@ -170,9 +170,8 @@ class Model:
         return out
 
 
-@lru_cache(maxsize=2)
 def model(table: str) -> Model:
-    return Model(table)
+    return worker_state(("langid", table), lambda: Model(table))
 
 
 def words_of(text: str | None) -> list[str]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchscope.llm.common import attach, components
+from patchscope.llm.common import attach, components, release
 from patchscope.session import checkpointed
 
 SHINGLE = 4
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every row; NULL text has no words."""
 
     def run(batches):
+        release()
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchscope.llm.common import Recent, held_out
+from patchscope.llm.common import Recent, held_out, release, worker_state
 from patchscope.session import checkpointed
 
 #: What a character may stand for besides itself (fixed values).
@@ -59,7 +59,7 @@ def count_trigrams(texts: list[str]) -> Counter:
     number[present] = np.arange(len(present))
     ids, k = number[codes], len(present)
     keys = (ids[:-2] * k + ids[1:-1]) * k + ids[2:]
-    if k**3 <= 1 << 24:
+    if k**3 <= 1 << 22:
         counts = np.bincount(keys)
         keys = np.flatnonzero(counts)
         counts = counts[keys]
@@ -79,6 +79,7 @@ def trigram_counts(docs: DataFrame, block_chars: int = 1 << 21) -> DataFrame:
     """(gram, n): character trigrams of all words of all rows."""
 
     def count(batches):
+        release()
         total: Counter = Counter()
         held, size = [], 0
         for batch in batches:
@@ -198,9 +199,9 @@ class Features:
         return set().union(*(f for f in self.pieces.look_up(pieces) if f))
 
 
-@lru_cache(maxsize=1)
 def features(lm: str, wanted: str | None = None) -> Features:
-    return Features(json.loads(lm), {f: i for i, f in enumerate(json.loads(wanted))} if wanted is not None else None)
+    numbers = lambda: {f: i for i, f in enumerate(json.loads(wanted))} if wanted is not None else None
+    return worker_state(("toxicity", lm, wanted), lambda: Features(json.loads(lm), numbers()))
 
 
 def logistic(rows: list[list[int]], labels: np.ndarray, k: int) -> tuple[np.ndarray, float]:

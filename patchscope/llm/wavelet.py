@@ -13,7 +13,6 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from patchscope.llm.common import Recent
+from patchscope.llm.common import Recent, worker_state
 from patchscope.session import shared_folder
 
 MAGIC = b"WVM1"
@@ -199,9 +198,8 @@ class PieceEncoder:
         return b"".join(self.pieces.look_up(data.split()))
 
 
-@lru_cache(maxsize=2)
 def piece_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+    return worker_state(("pieces", path), lambda: PieceEncoder(path))
 
 
 def write(docs: DataFrame, path: str, end_id: int = 1, folder: str | None = None, shard_tokens: int = SHARD_TOKENS) -> str:
