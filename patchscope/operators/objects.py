@@ -12,6 +12,7 @@ are checkpointed so that lost executors do not restart the loop.
 
 from __future__ import annotations
 
+import itertools
 import heapq
 from collections.abc import Iterable
 
@@ -29,7 +30,6 @@ LOW_DBZ, HIGH_DBZ = 20.0, 40.0
 MIN_AREA, MAX_AREA = 1, 100
 # Column stride inside a pixel id; any value above the widest grid.
 STRIDE = 1 << 20
-MAX_ROUNDS = 64
 OWN_COLUMNS = (("row", "int"), ("col", "int"), ("value", "double"), ("__old", "bigint"))
 
 
@@ -90,7 +90,7 @@ def connected_components(pixels: DataFrame, keys: Iterable[str], connectivity: i
     """
     keys = names(keys)
     labels = pixels.withColumn("obj", F.col("id"))
-    for turn in range(MAX_ROUNDS):
+    for turn in itertools.count():
         # all pixels are their own parents at first
         up = _grandparents(labels, keys) if turn else labels.withColumn("__up", F.col("obj"))
         sent = _to_neighbours(up, keys, connectivity, ["obj", "__up", "value"])
@@ -107,7 +107,6 @@ def connected_components(pixels: DataFrame, keys: Iterable[str], connectivity: i
         labels, done = _settled(merged)
         if done:
             return labels
-    raise RuntimeError("component labels did not settle")
 
 
 def ascent_basins(pixels: DataFrame, keys: Iterable[str], connectivity: int = 8) -> DataFrame:
@@ -119,11 +118,10 @@ def ascent_basins(pixels: DataFrame, keys: Iterable[str], connectivity: int = 8)
         best.alias("__best"), F.max(F.when(F.col("own"), F.col("value"))).alias("value")
     ).filter("value IS NOT NULL")
     pointers = pointers.select(*keys, "row", "col", "value", pixel_id().alias("id"), (-F.col("__best.n")).alias("obj"))
-    for _ in range(MAX_ROUNDS):
+    while True:
         pointers, done = _settled(_jump(_jump(pointers.withColumn("__old", F.col("obj")), keys, "obj"), keys, "obj"))
         if done:
             return pointers
-    raise RuntimeError("ascent paths did not settle")
 
 
 def _keep(labelled: DataFrame, keys: list[str], high: float, min_area: int) -> DataFrame:

@@ -161,9 +161,9 @@ def environment(pixels: DataFrame, fields: Mapping[str, DataFrame], on: Sequence
 
 
 def attach_levels(pixels: DataFrame, field: DataFrame, on: Sequence[str], levels: Sequence[int], prefix: str) -> DataFrame:
-    """Attach one state variable at several levels: columns ``<prefix>_<level>``."""
+    """Attach one state variable at several levels: columns ``<prefix>_<km>``, 1500 m being ``1p5``."""
     # the level list is a parameter, so this is a fixed-width pivot
-    columns = [F.max(F.when(F.col("level_m") == lev, F.col("value"))).alias(f"{prefix}_{lev // 1000}") for lev in levels]
+    columns = [F.max(F.when(F.col("level_m") == lev, F.col("value"))).alias(f"{prefix}_{lev / 1000:g}".replace(".", "p")) for lev in levels]
     wide = field.filter(F.col("level_m").isin(list(levels))).groupBy(*on).agg(*columns)
     return pixels.join(wide, list(on), "left")
 

@@ -53,15 +53,18 @@ def score(
 
 
 def fit_classifier(df: DataFrame, features: Sequence[str], label: str = "label", max_iter: int = 20) -> PipelineModel:
-    """Logistic regression on patch features, trained by distributed gradient sums."""
-    assembler = VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="skip")
+    """Logistic regression on patch features, trained by distributed gradient sums on the rows with all features and a label."""
+    df = df.dropna(subset=[*features, label])
+    assembler = VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="keep")
     model = LogisticRegression(featuresCol="__features", labelCol=label, maxIter=max_iter, regParam=0.01)
     return Pipeline(stages=[assembler, model]).fit(df.withColumn(label, F.col(label).cast("double")))
 
 
 def classify(model: PipelineModel, df: DataFrame, prob: str = "prob") -> DataFrame:
+    """Adds the probability; NULL where a feature is missing."""
     scored = model.transform(df)
-    return scored.withColumn(prob, vector_to_array("probability")[1]).drop("__features", "rawPrediction", "probability", "prediction")
+    p = vector_to_array("probability")[1]
+    return scored.withColumn(prob, F.when(~F.isnan(p), p)).drop("__features", "rawPrediction", "probability", "prediction")
 
 
 def calibrate_fit(df: DataFrame, prob: str = "prob", label: str = "label") -> IsotonicRegressionModel:

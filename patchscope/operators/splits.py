@@ -44,7 +44,8 @@ def split_balanced(
 ) -> DataFrame:
     """Train on equally many rows of both classes; test on the rest with population-like negatives.
 
-    Negatives beyond the test quota belong to neither set and are left out.
+    Negatives beyond the test quota belong to neither set and are left out. A key without
+    positives has no ratio to keep and fails.
     """
     ranked = _class_ranks(df, ids, label, by, seed)
     pos, neg = F.col("__n_pos"), F.col("__n_neg")
@@ -52,7 +53,8 @@ def split_balanced(
     cut = F.floor(pos * F.lit(p))
     last = F.floor(F.coalesce(F.try_divide(rest * neg, pos.cast("double")), F.lit(0.0)) + rest)
     split = F.when(F.col("__rank") <= cut, "train").when((F.col(label) == 1) | (F.col("__rank") <= last), "test")
-    return _drop_rank(ranked.withColumn("split", split).filter("split IS NOT NULL"))
+    empty = F.raise_error(F.lit("a key without positives cannot be balanced")).cast("string")
+    return _drop_rank(ranked.withColumn("split", F.when(pos == 0, empty).otherwise(split)).filter("split IS NOT NULL"))
 
 
 def split_stratified(

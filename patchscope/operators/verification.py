@@ -167,9 +167,9 @@ def reliability_bins(width: float = BIN_WIDTH) -> int:
 
 
 def bin_index(prob: Column, width: float) -> Column:
-    """Integer bin of a probability; NULL stays NULL."""
+    """Integer bin of a probability; NULL stays NULL, values outside the edges go to the first or last bin."""
     bin_id = F.floor(prob / F.lit(width) + BIN_SLACK).cast("int")
-    return F.when(prob.isNotNull(), F.least(bin_id, F.lit(reliability_bins(width) - 1)))
+    return F.when(prob.isNotNull(), F.greatest(F.least(bin_id, F.lit(reliability_bins(width) - 1)), F.lit(0)))
 
 
 def reliability_frequencies(
@@ -240,21 +240,23 @@ def brier_score(df: DataFrame, keys=None, prob="prob", label="label") -> DataFra
 
 
 def outcome_class(threshold: float = DECISION, prob: str = "prob", label: str = "label") -> Column:
+    """Class of a forecast; NULL if the probability or the label is missing."""
     yes, event = _prob(prob) >= threshold, F.col(label) >= OBSERVED
-    return F.when(yes & event, "tp").when(yes, "fp").when(event, "fn").otherwise("tn")
+    known = yes.isNotNull() & event.isNotNull()
+    return F.when(known, F.when(yes & event, "tp").when(yes, "fp").when(event, "fn").otherwise("tn"))
 
 
 def outcomes(df: DataFrame, threshold: float = DECISION, prob: str = "prob", label: str = "label") -> DataFrame:
-    """Adds ``outcome`` and ``confident`` (yes at 0.99 and more, no below 0.01)."""
+    """Adds ``outcome`` and ``confident`` (yes at 0.99 and more, no below 0.01); both NULL without a class."""
     outcome = outcome_class(threshold, prob, label)
     p = _prob(prob)
-    confident = F.when(outcome.isin("tp", "fp"), p >= CONFIDENT_YES).otherwise(p < CONFIDENT_NO)
+    confident = F.when(outcome.isin("tp", "fp"), p >= CONFIDENT_YES).when(outcome.isNotNull(), p < CONFIDENT_NO)
     return df.withColumns({"outcome": outcome, "confident": confident})
 
 
 def composites(forecasts: DataFrame, patches: DataFrame, on: str | Iterable[str] = "patch_id", threshold: float = DECISION) -> DataFrame:
     """Patch features of each outcome group; the confident subsets are a flag, not copies."""
-    return outcomes(forecasts, threshold).join(patches, names(on))
+    return outcomes(forecasts, threshold).where("outcome IS NOT NULL").join(patches, names(on))
 
 
 def composite_groups(composed: DataFrame) -> DataFrame:

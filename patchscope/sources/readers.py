@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
 from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -37,8 +39,11 @@ def read_field(
 
 
 def read_terrain(spark: SparkSession, path: str) -> DataFrame:
-    """Terrain height per grid cell, one row per cell of the fixed domain."""
-    return spark.read.schema(TERRAIN).parquet(path).dropDuplicates(["row", "col"])
+    """Terrain height per grid cell of the fixed domain; where a file repeats cells by time (``ts``), the first time counts."""
+    df = spark.read.parquet(path)
+    height = F.min_by("hgt_m", "ts") if "ts" in df.columns else F.min("hgt_m")
+    rows = df.groupBy("row", "col").agg(height.alias("hgt_m"))
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in TERRAIN])
 
 
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
@@ -74,9 +79,22 @@ NAME_PARTS = {
 
 
 def read_metrics(spark: SparkSession, glob: str, schema: T.StructType) -> DataFrame:
-    """Stack metric CSV files; keys held in the last two parts of their paths become columns (NULL when absent)."""
-    df = spark.read.schema(schema).csv(glob, header=True)
+    """Stack metric CSV files; keys held in the last two parts of their paths become columns (NULL when absent).
+
+    Columns are taken by the names in each file's own header, so their order does not matter,
+    further ones (a leading index) are passed over, and absent ones are NULL.
+    """
+    whole = spark.read.text(glob, wholetext=True)
+    heads = whole.select(F.trim(F.translate(F.substring_index("value", "\n", 1), '\r"', "")).alias("head"), F.col("_metadata.file_path").alias("path"))
+    layouts = heads.groupBy("head").agg(F.collect_list("path").alias("paths")).collect()  # file names only
+    parts = []
+    for layout in layouts:
+        columns = [c.strip() or f"__blank{i}" for i, c in enumerate(layout["head"].split(","))]
+        rows = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv([unquote(p) for p in layout["paths"]], header=True)
+        taken = [(F.col(f"`{f.name}`") if f.name in columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+        parts.append(rows.select(*taken, "_metadata"))
+    df = reduce(DataFrame.unionAll, parts)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*/[^/]+)$", 1)
     found = lambda pattern: F.nullif(F.regexp_extract(name, pattern, 1), F.lit(""))
     keys = {key: found(pattern).cast(kind) for key, (pattern, kind) in NAME_PARTS.items() if key not in df.columns}
-    return df.withColumns(keys)
+    return df.withColumns(keys).drop("_metadata")
