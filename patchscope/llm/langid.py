@@ -108,7 +108,7 @@ class Model:
                     raw.setdefault(g, np.zeros(k))[i] = n
         self.place = {g: i for i, g in enumerate(raw)}
         rows = [np.log((row + FLOOR) / (totals["=" if g[0] == "=" and len(g) > 1 else len(g)] + 1.0)) for g, row in raw.items()]
-        self.weights = np.array([p - p.mean() for p in rows]).reshape(-1, k)
+        self.weights = np.array([p - p.mean() for p in rows]).reshape(len(rows), k)
         letters = {lang: {g[1:]: n for g, n in counts[lang].items() if g[0] == "#"} for lang in self.langs}
         self.scripts = {
             s: np.array([letters[lang].get(s, 0) >= SCRIPT_SHARE * sum(letters[lang].values()) and letters[lang].get(s, 0) > 0 for lang in self.langs])
