@@ -7,6 +7,7 @@ over levels: level arithmetic there needs no shuffle at all, and is the layout t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patchscope.functions import arrays as A
-from patchscope.operators.relational import keyed_join, names
+from patchscope.operators.relational import keyed_join, names, small_side
 
 # Heights of the interpolated fields, grid spacing, helicity layers, gravity.
 HEIGHTS_M = (1000, 3000, 5000, 7000)
@@ -24,6 +25,10 @@ UH03 = (0.0, 3000.0)
 GRAVITY = 9.81
 OPTICAL_DEPTH = 1.0
 KELVIN = 273.15
+# Rows and columns of a helicity tile.
+TILE = 64
+# Terrain cells that may be broadcast: two ints and a double each, about 80 MB.
+TERRAIN_CELLS = 5_000_000
 
 
 def crop(df: DataFrame, row0: int, row1: int, col0: int, col1: int) -> DataFrame:
@@ -44,8 +49,11 @@ def to_columns(df: DataFrame, keys: Iterable[str], values: Sequence[str], level:
 
 
 def height_agl(df: DataFrame, terrain: DataFrame, height: str = "z", cell: Sequence[str] = ("row", "col")) -> DataFrame:
-    """Subtract terrain height. The terrain has one row per grid cell of a fixed domain."""
-    joined = keyed_join(df, terrain.select(*cell, "hgt_m"), list(cell))
+    """Subtract terrain height. The terrain has one row per grid cell of a fixed domain.
+
+    It is broadcast if it has at most TERRAIN_CELLS rows, so the field is not shuffled.
+    """
+    joined = keyed_join(df, small_side(terrain.select(*cell, "hgt_m"), TERRAIN_CELLS), list(cell))
     if isinstance(df.schema[height].dataType, T.ArrayType):
         lowered = F.transform(height, lambda z: z - F.col("hgt_m"))
     else:
@@ -64,6 +72,7 @@ def interp_levels(df: DataFrame, keys: Iterable[str], height: str, value: str, l
 
     The bracket is half-open, ``z <= h < z_next``; heights outside the column give NULL.
     Each pair of levels yields the heights it brackets, so levels never meet heights in a join.
+    Where heights do not rise all the way, the lowest bracket counts.
     """
     keys = names(keys)
     up = Window.partitionBy(*keys).orderBy(level)
@@ -71,12 +80,12 @@ def interp_levels(df: DataFrame, keys: Iterable[str], height: str, value: str, l
     pairs = df.withColumns({"__z1": z1, "__v1": F.lead(value).over(up)})
     wanted = F.array(*[F.lit(float(h)) for h in heights])
     pairs = pairs.withColumn("__h", F.filter(wanted, lambda h: (F.col(height) <= h) & (h < F.col("__z1"))))
-    hit = pairs.select(*keys, height, value, "__z1", "__v1", F.explode_outer("__h").alias("__at"))
+    hit = pairs.select(*keys, F.col(level).alias("__level"), height, value, "__z1", "__v1", F.explode_outer("__h").alias("__at"))
     fraction = (F.col("__at") - F.col(height)) / (F.col("__z1") - F.col(height))
     hit = hit.withColumn("__value", F.col(value) + (F.col("__v1") - F.col(value)) * fraction)
-    per_height = [F.max(F.when(F.col("__at") == float(h), F.col("__value"))).alias(f"h{int(h)}") for h in heights]
-    wide = hit.groupBy(*keys).agg(*per_height)
-    rows = F.array(*[F.struct(F.lit(int(h)).alias("level_m"), F.col(f"h{int(h)}").alias("value")) for h in heights])
+    lowest = lambda h: F.min(F.when(F.col("__at") == float(h), F.struct("__level", "__value")))
+    wide = hit.groupBy(*keys).agg(*[lowest(h).alias(f"h{int(h)}") for h in heights])
+    rows = F.array(*[F.struct(F.lit(int(h)).alias("level_m"), F.col(f"h{int(h)}.__value").alias("value")) for h in heights])
     return wide.select(*keys, F.inline(rows))
 
 
@@ -122,21 +131,37 @@ def stencil(df: DataFrame, keys: Iterable[str], weights: dict[tuple[int, int], f
     return sums.select(*keys, "row", "col", result.alias("value"))
 
 
+def gaussian_line(sigma: float = 1.0, truncate: float = 4.0) -> dict[int, float]:
+    """Normalised Gaussian weights along one axis."""
+    radius = int(truncate * sigma + 0.5)
+    line = {d: math.exp(-0.5 * (d / sigma) ** 2) for d in range(-radius, radius + 1)}
+    total = sum(line.values())
+    return {d: f / total for d, f in line.items()}
+
+
 def gaussian_weights(sigma: float = 1.0, truncate: float = 4.0) -> dict[tuple[int, int], float]:
     """Normalised Gaussian kernel for :func:`stencil`."""
-    import math
-
-    radius = int(truncate * sigma + 0.5)
-    line = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-radius, radius + 1)]
-    total = sum(line)
-    return {
-        (a - radius, b - radius): line[a] * line[b] / total**2 for a in range(2 * radius + 1) for b in range(2 * radius + 1)
-    }
+    line = gaussian_line(sigma, truncate)
+    return {(r, c): line[r] * line[c] for r in line for c in line}
 
 
 def gaussian_smooth(df: DataFrame, keys, sigma: float = 1.0, value: str = "value") -> DataFrame:
-    """Smoothed map; near the edge the kernel is rescaled to the cells present."""
-    return stencil(df, keys, gaussian_weights(sigma), value, partial=True)
+    """Smoothed map; near the edge the kernel is rescaled to the cells present.
+
+    Two passes along x and y: the weighted values and the weights of the cells present
+    are summed apart, so the quotient is that of the full kernel with any gaps.
+    """
+    keys = names(keys)
+    v = F.col(value).cast("double")
+    sums = df.select(
+        *keys, "row", "col", F.coalesce(v, F.lit(0.0)).alias("__wv"), v.isNotNull().cast("double").alias("__w"), F.lit(True).alias("__own"))
+    line = F.array(*[F.struct(F.lit(d).alias("__d"), F.lit(f).alias("__f")) for d, f in gaussian_line(sigma).items()])
+    for axis in ("col", "row"):
+        sent = sums.select("*", F.inline(line)).withColumns({
+            axis: F.col(axis) + F.col("__d"), "__wv": F.col("__wv") * F.col("__f"), "__w": F.col("__w") * F.col("__f"),
+            "__own": F.col("__own") & (F.col("__d") == 0)})
+        sums = sent.groupBy(*keys, "row", "col").agg(F.sum("__wv").alias("__wv"), F.sum("__w").alias("__w"), F.max("__own").alias("__own"))
+    return sums.filter("__own").select(*keys, "row", "col", F.try_divide("__wv", "__w").alias("value"))
 
 
 def vertical_vorticity(df: DataFrame, keys: Iterable[str], u: str = "u", v: str = "v", dx: float = GRID_SPACING_M, dy: float = GRID_SPACING_M, map_factor: str | None = None) -> DataFrame:
@@ -169,29 +194,34 @@ def vertical_vorticity(df: DataFrame, keys: Iterable[str], u: str = "u", v: str
     return sloped.withColumn("vort", vort).drop("__dvdx", "__dudy")
 
 
-def updraft_helicity(df: DataFrame, keys: Iterable[str], bottom: float = UH25[0], top: float = UH25[1], u="u", v="v", w="w", z="z", level: str = "level", dx: float = GRID_SPACING_M, dy: float = GRID_SPACING_M, by_slice: bool = True) -> DataFrame:
+def updraft_helicity(df: DataFrame, keys: Iterable[str], bottom: float = UH25[0], top: float = UH25[1], u="u", v="v", w="w", z="z", level: str = "level", dx: float = GRID_SPACING_M, dy: float = GRID_SPACING_M, tile: int = TILE) -> DataFrame:
     """Integral of w times vertical vorticity between two heights above ground (trapezoids, clipped at both ends).
 
     Long input: keys, ``level``, ``row``, ``col``, u, v, w, z. Output: keys, ``row``, ``col``, ``value``;
     NULL where the vorticity is undefined or the column does not reach the layer.
-    With ``by_slice`` the field is partitioned on the time keys alone. That one shuffle
-    serves all three windows (x, y, vertical); a slice is as large as the grid. Without it
-    each window shuffles on its own finer keys, which suits a few huge slices.
+    A slice is cut into tiles of ``tile`` x ``tile`` cells, each with the cells just outside
+    its edges. The one shuffle by slice and tile serves all three windows (x, y, vertical),
+    and no task needs a whole slice.
     """
     keys = names(keys)
-    if by_slice and keys:
-        df = df.repartition(*keys)
-    spun = vertical_vorticity(df, [*keys, level], u, v, dx, dy)
-    up = Window.partitionBy(*keys, "row", "col").orderBy(level)
+    place = lambda axis, shift=0: F.floor((F.col(axis) + shift) / tile)
+    homes = F.array_distinct(F.array(*[
+        F.struct(place("row", r).alias("__tr"), place("col", c).alias("__tc")) for r, c in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))
+    ]))
+    tiled = [*keys, "__tr", "__tc"]
+    cells = df.select(*keys, level, "row", "col", u, v, w, z, F.inline(homes)).repartition(*tiled)
+    spun = vertical_vorticity(cells, [*tiled, level], u, v, dx, dy)
+    spun = spun.filter((F.col("__tr") == place("row")) & (F.col("__tc") == place("col")))
+    up = Window.partitionBy(*tiled, "row", "col").orderBy(level)
     q = F.col(w) * F.col("vort")
-    pairs = spun.select(*keys, "row", "col", level, F.col(z).alias("__z0"), q.alias("__q0"))
+    pairs = spun.select(*tiled, "row", "col", level, F.col(z).alias("__z0"), q.alias("__q0"))
     pairs = pairs.withColumns({"__z1": F.lead("__z0").over(up), "__q1": F.lead("__q0").over(up)})
     lo = F.greatest(F.col("__z0"), F.lit(float(bottom)))
     hi = F.least(F.col("__z1"), F.lit(float(top)))
     slope = (F.col("__q1") - F.col("__q0")) / (F.col("__z1") - F.col("__z0"))
     at = lambda h: F.col("__q0") + slope * (h - F.col("__z0"))
     part = F.when((F.col("__z1") > F.col("__z0")) & (hi > lo), (at(lo) + at(hi)) * 0.5 * (hi - lo))
-    return pairs.groupBy(*keys, "row", "col").agg(F.sum(part).alias("value"))
+    return pairs.groupBy(*tiled, "row", "col").agg(F.sum(part).alias("value")).drop("__tr", "__tc")
 
 
 def cloud_top_temperature(

@@ -11,13 +11,15 @@ from patchscope.functions.expressions import clip_negative
 from patchscope.operators import verification as V
 from patchscope.operators.quantiles import percentiles_of_replicates
 from patchscope.operators.ranking import seeded_rank
-from patchscope.operators.relational import keyed_join, names, spread
+from patchscope.operators.relational import keyed_join, names, small_side, spread
 from patchscope.operators.resampling import replicate_ids
 
 # Whiskers and quartiles of the importance boxes.
 BOX = (0.05, 0.25, 0.5, 0.75, 0.95)
 PERM_DIGITS = 2
 NOISE_DIGITS = 12
+# Band rows that may be broadcast, under 100 bytes each.
+BAND_ROWS = 1_000_000
 
 
 def permutations(
@@ -166,7 +168,9 @@ def permutation_cases(
     hits = original.filter(F.col("outcome") == before).select(*keys, "row_no")
     wrong = outcomes.filter(F.col("outcome") == after).select(*keys, feature, "perm", "row_no", "orig_row_no")
     wrong = wrong.join(hits, [*keys, "row_no"], "left_semi")
-    placed = wrong.join(bands.select(*keys, feature, "perm", "metric", "band"), [*keys, feature, "perm"])
+    # few, huge keys: broadcast where the row count allows, so that no key lands in one task
+    marks = small_side(bands.select(*keys, feature, "perm", "metric", "band"), BAND_ROWS)
+    placed = wrong.join(marks, [*keys, feature, "perm"])
     group = [*keys, feature, "metric", "row_no"]
     # one aggregate replaces distinct, set difference and first-occurrence lookup
     per_row = placed.groupBy(*group).agg(

@@ -90,15 +90,23 @@ def with_hours(patches: DataFrame, hour: str = "hour_idx") -> DataFrame:
 def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: str, poly: str = "poly_id", band: float = 1.0) -> DataFrame:
     """(point, polygon) pairs with the point strictly inside.
 
-    Points have ``px, py``; edges ``x0, y0, x1, y1``. Edges are filed under the horizontal
-    bands they span, so a point meets only edges of its own band in an equi-join; crossings
-    to its right are counted, and points on an edge are removed.
+    Points have ``px, py``; edges ``x0, y0, x1, y1``. The box of each polygon is filed under
+    the square cells it touches, so a point meets only the polygons of its own cell; then it
+    meets their edges of its own horizontal band. Crossings to its right are counted, and
+    points on an edge are removed.
     """
     y_low, y_high = F.least("y0", "y1"), F.greatest("y0", "y1")
     band_of = lambda y: F.floor(y / F.lit(band)).cast("bigint")
+    bands = lambda low, high: F.explode(F.sequence(band_of(F.col(low)), band_of(F.col(high))))
+    boxes = edges.groupBy(poly).agg(
+        F.min(F.least("x0", "x1")).alias("__left"), F.max(F.greatest("x0", "x1")).alias("__right"),
+        F.min(y_low).alias("__bottom"), F.max(y_high).alias("__top"))
+    cells = boxes.select("*", bands("__left", "__right").alias("__column")).select("*", bands("__bottom", "__top").alias("__band"))
+    placed = points.select(point_id, "px", "py", band_of(F.col("px")).alias("__column"), band_of(F.col("py")).alias("__band"))
+    near = placed.join(cells, ["__column", "__band"])
+    near = near.filter(F.col("px").between(F.col("__left"), F.col("__right")) & F.col("py").between(F.col("__bottom"), F.col("__top")))
     filed = edges.select(poly, "x0", "y0", "x1", "y1", F.explode(F.sequence(band_of(y_low), band_of(y_high))).alias("__band"))
-    placed = points.select(point_id, "px", "py", band_of(F.col("py")).alias("__band"))
-    met = placed.join(filed, "__band")
+    met = keyed_join(near.select(point_id, "px", "py", poly, "__band"), filed, [poly, "__band"])
     py, px = F.col("py"), F.col("px")
     straddles = (F.col("y0") > py) != (F.col("y1") > py)
     cross = (F.col("x1") - F.col("x0")) * (py - F.col("y0")) - (px - F.col("x0")) * (F.col("y1") - F.col("y0"))

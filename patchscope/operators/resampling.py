@@ -37,17 +37,18 @@ def bootstrap_weights(
     ``row_no`` counts 0..n-1 inside a key. Row s of a key makes draw s of every replicate,
     so the draws are created where the rows are, and they shuffle once, on
     (key, row_no, rep). A draw is ``hash(seed, rep, keys, slot) mod n``. ``size`` names a
-    column that already holds n; otherwise the rows of each key are counted first.
+    column that already holds n; otherwise the rows of each key are counted first, and
+    numbers that do not end at n-1 fail.
     """
     keys = names(keys)
     grouped = with_group(spread(df.select(*keys, row_no, *names(size)), [*keys, row_no]), keys)
     if size:
         sized = grouped.select(GROUP, F.col(row_no).alias("__slot"), F.col(size).alias("__n"))
-    elif not keys:
-        sized = grouped.select(GROUP, F.col(row_no).alias("__slot"), F.lit(df.count()).alias("__n"))
     else:
         slots = grouped.select(GROUP, F.col(row_no).alias("__slot"))
-        sized = slots.join(small_side(slots.groupBy(GROUP).agg(F.count(F.lit(1)).alias("__n"))), GROUP)
+        n = F.count(F.lit(1))
+        gap = F.raise_error(F.lit("row numbers must count 0..n-1 inside each key")).cast("bigint")
+        sized = slots.join(small_side(slots.groupBy(GROUP).agg(F.when(F.max("__slot") == n - 1, n).otherwise(gap).alias("__n"))), GROUP)
     sized = sized.withColumn("rep", F.explode(replicate_ids(first_rep, reps)))
     parts = [F.col(f"{GROUP}.{k}") for k in keys]
     drawn = sized.select(GROUP, "rep", draw_below("__n", seed, "rep", *parts, "__slot").alias(row_no))

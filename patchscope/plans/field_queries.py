@@ -174,7 +174,7 @@ def updraft_helicity(spark, sf):
 
 @query(_uh(0, 3000))
 def updraft_helicity_low(spark, sf):
-    return O.updraft_helicity(views.levels(spark, sf), ["ts"], *O.UH03, by_slice=False)
+    return O.updraft_helicity(views.levels(spark, sf), ["ts"], *O.UH03, tile=2)
 
 
 CTT = """a AS (SELECT *, lag(p) OVER w AS pa, lag(tk) OVER w AS ta FROM v_lev WINDOW w AS (PARTITION BY ts, row, col ORDER BY level DESC)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from patchscope.operators import importance as P
 from patchscope.operators import resampling as R
 from patchscope.operators import verification as V
+from patchscope.operators.ranking import seeded_rank
 from patchscope.plans import views
 from patchscope.plans.catalog import BRIER_COLUMNS, SCALAR_COLUMNS, SCALAR_RAW, brier_sql, counts_sql, curve_sql, query, r
 from patchscope.plans.verification_queries import SWEEP_RAW, sweep_sql
@@ -70,15 +71,14 @@ def bootstrap_score_interval(spark, sf):
 
 
 MEDIAN_BOOT = f"""WITH {views.PATCHES_SQL},
-v_pr AS (SELECT patch_id, climate, vals, row_number() OVER (PARTITION BY climate ORDER BY patch_id) - 1 AS row_no, count(*) OVER (PARTITION BY climate) AS n FROM v_patch),
+v_pr AS (SELECT patch_id, climate, vals, row_number() OVER (PARTITION BY climate ORDER BY md5('0:'||patch_id), patch_id) - 1 AS row_no, count(*) OVER (PARTITION BY climate) AS n FROM v_patch),
 v_pd AS (SELECT climate, rep, ('0x'||substr(md5(concat_ws(':', '0', rep, climate, row_no)),1,15))::BIGINT % n AS row_no FROM v_pr, range(1, {REPS + 1}) t(rep)),
 v_med AS (SELECT d.climate, d.rep, median(x.v) AS median FROM v_pd d JOIN v_pr p USING (climate, row_no), unnest(p.vals) x(v) GROUP BY d.climate, d.rep)"""
 
 
 def _numbered_patches(spark, sf):
     p = views.patches(spark, sf).select("patch_id", "climate", "values")
-    # patch ids are dense, so the row number follows from the id without any ordering
-    return p.withColumn("row_no", F.floor(F.col("patch_id") / 2))
+    return seeded_rank(p, "patch_id", 0, by=["climate"], out="rk").withColumn("row_no", F.col("rk") - 1).drop("rk")
 
 
 @query(f"{MEDIAN_BOOT} SELECT climate, CAST(rep AS INT) AS rep, {r('median', 'median')} FROM v_med")

@@ -11,7 +11,12 @@ from patchscope.operators.ranking import seeded_rank
 
 
 def write_dataset(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """Parquet partitioned by keys. Only the partitions present in ``df`` are replaced, so a shard can be rerun."""
+    """Parquet partitioned by keys. Only the partitions present in ``df`` are replaced, so a shard can be rerun.
+
+    Rows are rebalanced by the keys first: small folders get one file, adaptive execution splits large ones.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchscope.operators import curves, patches, scoring, splits
+from patchscope.operators import curves, fields, patches, resampling, scoring, splits
 from patchscope.operators import verification as V
 from patchscope.sources import readers
 
@@ -57,3 +57,32 @@ def test_terrain_takes_the_first_time(spark, tmp_path):
     path = str(tmp_path / "terrain")
     spark.createDataFrame([(0, 0, 2, 7.0), (0, 0, 1, 5.0)], "row int, col int, ts int, hgt_m float").write.parquet(path)
     assert [r["hgt_m"] for r in readers.read_terrain(spark, path).collect()] == [5.0]
+
+
+def test_both_layouts_take_the_lowest_bracket(spark):
+    rows = [(1, k, z, v) for k, (z, v) in enumerate([(500.0, 0.0), (1500.0, 3.0), (800.0, 9.0), (1200.0, 7.0)])]
+    df = spark.createDataFrame(rows, "c int, level int, z double, v double")
+    long = fields.interp_levels(df, ["c"], "z", "v", heights=[1000.0]).first()["value"]
+    assert long == fields.to_columns(df, ["c"], ["z", "v"]).select(fields.interp_at("z", "v", 1000.0)).first()[0] == 1.5
+
+
+def test_bootstrap_refuses_gaps_in_row_numbers(spark):
+    df = spark.createDataFrame([("a", i * 3) for i in range(5)], "k string, row_no int")
+    for keys in (["k"], None):
+        with pytest.raises(Exception, match="row numbers must count"):
+            resampling.bootstrap_weights(df, keys, "row_no", 2).collect()
+
+
+def test_smoothing_passes_equal_the_full_kernel(spark):
+    cells = [(r, c, float(r * 7 % 5 + c) if (r + c) % 4 else None) for r in range(6) for c in range(5) if (r, c) != (2, 3)]
+    df = spark.createDataFrame(cells, "row int, col int, value double")
+    whole = {(x["row"], x["col"]): x["value"] for x in fields.stencil(df, None, fields.gaussian_weights(), partial=True).collect()}
+    passes = {(x["row"], x["col"]): x["value"] for x in fields.gaussian_smooth(df, None).collect()}
+    assert passes == pytest.approx(whole)
+
+
+def test_helicity_does_not_depend_on_tiles(spark):
+    cells = [(t, k, r, c, float(r * c % 7), float((r + 2 * c) % 5), 1.0 + k, 900.0 * k) for t in range(2) for k in range(5) for r in range(7) for c in range(6)]
+    df = spark.createDataFrame(cells, "ts int, level int, row int, col int, u double, v double, w double, z double")
+    got = [sorted(map(tuple, fields.updraft_helicity(df, ["ts"], tile=tile).select("ts", "row", "col", F.round("value", 9)).collect())) for tile in (2, 3, 64)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 84

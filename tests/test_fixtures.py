@@ -79,8 +79,8 @@ def test_helicity_of_uniform_column(spark):
         (0, k, r, c, -omega * r * d, omega * c * d, 5.0, 1000.0 * k) for k in range(8) for r in range(3) for c in range(3)
     ]
     df = spark.createDataFrame(cells, "ts int, level int, row int, col int, u double, v double, w double, z double")
-    for by_slice in (True, False):
-        centre = fields.updraft_helicity(df, ["ts"], by_slice=by_slice).filter("row = 1 and col = 1").first()
+    for tile in (1, 2, 64):
+        centre = fields.updraft_helicity(df, ["ts"], tile=tile).filter("row = 1 and col = 1").first()
         assert centre["value"] == pytest.approx(5.0 * 2 * omega * 3000.0)
 
 
