@@ -79,6 +79,16 @@ def permutation_scores(outcomes: DataFrame, keys, width: float = V.BIN_WIDTH, th
     return V.evaluate(outcomes, [*names(keys), "pfi_var", "perm"], width, threshold)
 
 
+def permutation_sweep(outcomes: DataFrame, keys, n: int = V.SWEEP) -> DataFrame:
+    """Contingency counts and scores of every permutation at every threshold."""
+    return V.threshold_sweep(outcomes, [*names(keys), "pfi_var", "perm"], n=n)
+
+
+def permutation_reliability(outcomes: DataFrame, keys, width: float = V.BIN_WIDTH) -> DataFrame:
+    """Reliability curve of every permutation."""
+    return V.reliability_curve(outcomes, [*names(keys), "pfi_var", "perm"], width)
+
+
 def skill_loss(original: DataFrame, permuted: DataFrame, keys, metrics: Sequence[str] = ("AUC", "CSI", "BSS")) -> DataFrame:
     """Mean original skill over members minus permuted skill, clipped at 0.
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from patchscope.operators import curves as C
 from patchscope.operators import importance as P
 from patchscope.operators import resampling as R
 from patchscope.operators import verification as V
 from patchscope.operators.ranking import seeded_rank
 from patchscope.plans import views
 from patchscope.plans.catalog import BRIER_COLUMNS, SCALAR_COLUMNS, SCALAR_RAW, brier_sql, counts_sql, curve_sql, query, r
-from patchscope.plans.verification_queries import SWEEP_RAW, sweep_sql
+from patchscope.plans.verification_queries import CURVE_COLUMNS, SWEEP_RAW, sweep_sql
 from patchscope.session import checkpointed
 
 KEYS = ["climate", "member"]
@@ -142,6 +143,17 @@ def permutation_scores(spark, sf):
     return _scores(spark, sf)
 
 
+@query(f"{PERM} SELECT {KP}, {r('max(CSI)', 'max_csi')} FROM (SELECT {KP}, Threshold, {SWEEP_RAW} FROM ({sweep_sql('v_out', KP)})) GROUP BY {KP}")
+def permutation_sweep(spark, sf):
+    """Best CSI over all thresholds of every permutation."""
+    return C.max_csi(P.permutation_sweep(_outcomes(_rows(spark, sf)), KEYS), [*KEYS, "pfi_var", "perm"])
+
+
+@query(f"{PERM} SELECT {KP}, {CURVE_COLUMNS} FROM ({curve_sql('v_out', KP)})")
+def permutation_reliability(spark, sf):
+    return P.permutation_reliability(_outcomes(_rows(spark, sf)), KEYS)
+
+
 ORIG_SCORES = f"""SELECT s.*, b.* EXCLUDE (climate, member) FROM (SELECT {K}, {SCALAR_RAW} FROM ({counts_sql('v_orig', K)})) s
 JOIN ({brier_sql(curve_sql('v_orig', K), K)}) b USING ({K})"""
 METRICS = ("AUC", "CSI", "BSS")
