@@ -30,6 +30,12 @@ PAIRS = tuple(itertools.combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS))
 TREE_SIZE = 2048
 #: (query, node) pairs looked at in one numpy step.
 FRONTIER = 1 << 20
+#: At a Jaccard similarity of 0.8 about 10 of 64 bits differ, with a deviation of about 3; this is far in the tail.
+WIDE_RADIUS = 24
+#: Documents sampled for common shingles, on average; how many of them hold a common one; how many are listed.
+SAMPLE_DOCS, COMMON_DOCS, COMMON = 20_000, 20, 100_000
+#: Ids of candidates that are broadcast at most.
+BROADCAST_IDS = 500_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -211,3 +217,161 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
     """The rows of ``docs`` that stay: of each component those with its smallest doc_id; rows with the same id stay together."""
     kept = near_groups(docs, shingle, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Distinct hashes of a text's runs of ``shingle`` words, ascending; a shorter text is one run, no words give none."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = (b" ".join(g) for g in zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64))
+
+
+def set_name(grams: np.ndarray) -> int:
+    """A name of a set of hashes, as a signed long; equal sets have one name."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63)
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles that many documents of a bounded sample hold; the choice steers the work and never changes the result."""
+    total = docs.count()
+
+    def run(batches):
+        release()
+        for batch in batches:
+            found = [shingles(t.as_py(), shingle) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["gram"])
+
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) * F.lit(float(total)) < float(SAMPLE_DOCS << 20)
+    counts = docs.select("doc_id", "text").where(drawn).select("text").mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n"))
+    rows = counts.where(F.col("n") >= COMMON_DOCS).orderBy(F.desc("n"), "gram").limit(COMMON).collect()
+    return np.sort(np.array([r["gram"] for r in rows], np.int64).view(np.uint64))
+
+
+def candidates(shared: DataFrame, similarity: float, radius: int, turn: int | None) -> DataFrame:
+    """Distinct pairs (a, b) of unlike labels that share a key, lie within the radius and have sizes that allow the similarity.
+
+    With a ``turn`` each member of a key meets only the first of its key, in the hash order of that turn.
+    """
+    partitions = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.xxhash64("node", F.lit(turn or 0))
+    dealt = shared.withColumn("__order", order).repartition(partitions, "key").sortWithinPartitions("key", "__order", "node").drop("__order")
+
+    def work(table: pa.Table) -> pa.RecordBatch:
+        key, node, fp, size, label = (table.column(c).to_numpy() for c in ("key", "node", "fp", "size", "label"))
+        fp = fp.view(np.uint64)
+        first = np.r_[True, key[1:] != key[:-1]]
+        group, starts = np.cumsum(first) - 1, np.flatnonzero(first)
+        if turn is not None:
+            found = [(np.arange(len(key)), starts[group])]
+        else:
+            # groups of one label have nothing to find
+            differs = np.logical_or.reduceat(label != label[starts[group]], starts)[group]
+            rows = np.flatnonzero(differs)
+            if not len(rows):
+                found = []
+            else:
+                forest = Forest(group[rows], fp[rows])
+                roots = np.zeros(len(starts), np.int64)
+                roots[group[rows][forest.roots]] = forest.roots
+                found = ((rows[q], rows[m]) for q, m in forest.search(fp[rows], roots[group[rows]], radius))
+        kept = []
+        for a, b in found:
+            small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+            fits = (label[a] != label[b]) & (small >= similarity * large - 1e-9) & (np.bitwise_count(fp[a] ^ fp[b]) <= radius)
+            a, b = node[a[fits]], node[b[fits]]
+            kept.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
+        pairs = np.unique(np.concatenate(kept), axis=0) if kept else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def run(batches):
+        release()
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            border = np.flatnonzero(key[1:] != key[:-1])
+            if held and len(key) and held[-1].column("key")[-1].as_py() != key[0]:
+                yield work(pa.Table.from_batches(held))
+                held = []
+            if len(border):  # the last key may go on in the next batch
+                cut = int(border[-1]) + 1
+                yield work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held, batch = [], batch.slice(cut)
+            if batch.num_rows:
+                held.append(batch)
+        if held:
+            yield work(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(docs: DataFrame, names: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles have the Jaccard similarity, counted exactly; sets are made again from the texts."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(names, "node")
+    ids = checkpointed(ids.select("node", F.col("first").alias("__id")))
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("__id")))
+
+    def run(batches):
+        release()
+        for batch in batches:
+            found = [(n, shingles(t.as_py(), shingle)) for n, t in zip(batch.column("node").to_pylist(), batch.column("text"))]
+            found = [(n, grams.view(np.int64)) for n, grams in found if set_name(grams) == n]  # several texts may have the id
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([g for _, g in found], pa.list_(pa.int64()))], ["node", "grams"])
+
+    sets = checkpointed(texts.select("node", "text").mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"]))
+    both = pairs.join(sets.toDF("a", "__a"), "a").join(sets.toDF("b", "__b"), "b")
+    least = F.ceil((F.size("__a") + F.size("__b")) * F.lit(similarity / (1 + similarity)) - 1e-9)
+    return both.where(F.size(F.array_intersect("__a", "__b")) >= least).select("a", "b")
+
+
+def similar_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, turns: int = 2) -> DataFrame:
+    """The rows of ``docs`` that stay if texts of a Jaccard similarity of ``similarity`` or more, on sets of shingles, are linked.
+
+    Of each component those with its smallest doc_id stay; rows with the same id stay together.
+    Two such sets share a member among the first (1 - similarity) n + 1 of each in any one
+    order, here hash order with common shingles last; so these key the shards of the BK-trees,
+    and only the radius can lose a pair. Fingerprints within the radius are candidates,
+    and each candidate is checked on the sets themselves. The first turns try one candidate a
+    member and key; what they join is not compared again, so groups of copies stay linear.
+    Texts without words are one set. NULL ids are as in ``near_groups``.
+    """
+    common = common_shingles(docs, shingle)
+
+    def run(batches):
+        release()
+        for batch in batches:
+            rows = []
+            for text in batch.column("text"):
+                grams = shingles(text.as_py(), shingle)
+                n = len(grams)
+                ones = np.unpackbits(grams.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) if n else np.zeros(64, np.int64)
+                fp = int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+                keys = grams[np.argsort(np.isin(grams, common), kind="stable")] if len(common) else grams
+                keys = keys[: n - int(np.ceil(similarity * n - 1e-9)) + 1] if n else keys
+                rows.append((set_name(grams), fp, n, keys.view(np.int64)))
+            node, fp, size, keys = zip(*rows) if rows else ((), (), (), ())
+            arrays = [pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "node", "fp", "size", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = checkpointed(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, fp long, size int, keys array<long>"))
+    names = checkpointed(made.groupBy("node").agg(F.min("doc_id").alias("first")))
+    keyed = made.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node", "fp", "size")
+    many = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("__key"))
+    shared = checkpointed(keyed.join(many, F.col("key") == F.col("__key"), "left_semi"))
+    joined = names.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    moved = components(joined)
+    for turn in [*range(turns), None]:
+        labelled = shared.join(moved.toDF("__node", "label"), F.col("node") == F.col("__node"), "left").drop("__node")
+        labelled = labelled.withColumn("label", F.coalesce("label", "node"))
+        pairs = checkpointed(candidates(labelled, similarity, radius, turn))
+        joined = joined.union(checkpointed(verified(docs, names, pairs, shingle, similarity)))
+        moved = checkpointed(components(joined))
+    labels = names.join(moved, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    kept = labels.groupBy("label").agg(F.min("first").alias("__id")).select("__id").distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")

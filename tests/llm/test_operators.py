@@ -147,3 +147,31 @@ def test_hosts_and_chat_on_odd_rows(spark):
     rows = {(r["speaker"], r["part"]): r for r in chat.rotate(turns).collect()}
     assert len(rows) == 4 and rows["ann", 1]["rendered"] == "<|im_start|>assistant\nbye<|im_end|>\n" and rows["unknown", 1]["spans"] == ""
     assert chat.rotate(turns.limit(0)).count() == 0
+
+
+def test_near_copies_of_the_pipeline_equal_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    texts = ["", None, "two words", "Two  words"]
+    for _ in range(30):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 200))]
+        texts.append(" ".join(base))
+        for changes in (1, 2, 3, 5, 9):
+            copy = list(base)
+            for _ in range(changes):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(texts)))
+    for _ in texts:
+        for a, b in itertools.combinations(range(len(texts)), 2):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                group[a] = group[b] = min(group[a], group[b])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == sorted(set(group)) and len(got) < len(texts) - 30
