@@ -1,9 +1,10 @@
 """Main text of web pages, with site templates removed.
 
 Pages are parsed into elements; every subtree is hashed, hashes are counted per host over all
-pages in Spark, and subtrees that recur across many pages of a host are deleted. Elements
-that are page furniture by name, role or class go as well. What is left of the article is
-its text.
+pages in Spark, and subtrees that recur across many pages of a host are deleted; inside the
+article they must be on most pages of the host. Elements that are page furniture by name,
+role or class go as well, but a class never takes the article, an h1 or most of the text.
+What is left of the article is its text.
 """
 
 from __future__ import annotations
@@ -45,16 +46,23 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)
 WORDS = re.compile(r"[a-z]+")
 WHITE = re.compile(r"\s+")
 
-#: A subtree is a template if it is on this many pages of a host and on this share of them.
+#: A subtree is a template if it is on this many pages of a host and on this share of them; hosts of fewer than twice as many pages need half of theirs, LEAST_PAGES at least.
 MIN_PAGES, MIN_SHARE = 10, 0.01
+LEAST_PAGES = 3
+#: The same inside an article, where copied passages recur too.
+INSIDE_PAGES, INSIDE_SHARE = 4, 0.8
+#: Kinds of candidates: outside the article, inside, and inside with a class that ends in a furniture word.
+OUTSIDE, INSIDE, MARKED = 0, 1, 2
 
 
 class Element:
-    __slots__ = ("name", "marks", "children", "parent")
+    __slots__ = ("name", "marks", "children", "parent", "size", "main")
 
     def __init__(self, name: str, marks: str, parent: Element | None):
         self.name, self.marks, self.parent = name, marks, parent
         self.children: list[Element | str] = []
+        #: Characters of text, and whether an article, a main or an h1 is held; set by ``weigh``.
+        self.size, self.main = -1, False
 
 
 def parse(page: str) -> Element:
@@ -150,6 +158,30 @@ def furniture(node: Element, in_article: bool) -> bool:
     return any(not MARKS.isdisjoint(WORDS.findall(t)) for t in tokens if ":" not in t)
 
 
+def marked(node: Element) -> bool:
+    """True if a class or id ends in a furniture word: it deletes nothing alone, the host's counts have to agree."""
+    return any(MARKS.intersection(WORDS.findall(t)[-1:]) for t in node.marks.split() if ":" not in t)
+
+
+def weigh(root: Element) -> None:
+    """Set size and main of all elements of a page."""
+    for node in reversed(list(flat(root))):
+        inner = [c for c in node.children if isinstance(c, Element)]
+        seen = node.name not in UNSEEN
+        node.size = sum(c.size for c in inner) + sum(len(WHITE.sub(" ", c).strip()) for c in node.children if isinstance(c, str)) if seen else 0
+        node.main = seen and (node.name in ("article", "main", "h1") or any(c.main for c in inner))
+
+
+def holds_main(node: Element) -> bool:
+    """True if an element holds an article, a main, an h1, or most of the page's text."""
+    root = node
+    while root.parent is not None:
+        root = root.parent
+    if root.size < 0:
+        weigh(root)
+    return node.main or 2 * node.size > root.size
+
+
 def flat(node: Element):
     """Nodes below, each before what it holds, with no recursion."""
     stack: list[Element] = [node]
@@ -183,45 +215,77 @@ def subtree_hashes(root: Element) -> dict[int, int]:
     return out
 
 
-def candidates(page: str | None) -> list[int]:
-    """Distinct hashes of the subtrees with text that may be templates: those outside the article."""
+def candidates(page: str | None) -> list[tuple[int, int, int]]:
+    """(hash, kind, hash of the articles, or 0 outside) of the distinct subtrees that may be templates; inside the article blocks with text, but for what holds an h1 or most of the text."""
     if not page:
         return []
     root = parse(page)
     main, hashes = main_nodes(root), subtree_hashes(root)
-    inside = {id(n) for m in main if m is not root for n in flat(m)}
+    tops = {id(m) for m in main if m is not root}
     around = set()
     for m in main:
         while m is not None:
             around.add(id(m))
             m = m.parent
-    wanted, stack = set(), [root]
+    wanted: set[tuple[int, int]] = set()
+    stack = [(root, False)]
     while stack:
-        node = stack.pop()
-        if id(node) in inside or node.name in UNSEEN:
+        node, inside = stack.pop()
+        if node.name in UNSEEN or node is not root and id(node) not in tops and inside and furniture(node, True):
             continue
-        if id(node) not in around:
-            wanted.add(hashes[id(node)])
-        stack += [c for c in node.children if isinstance(c, Element)]
-    return sorted(wanted)
-
-
-def main_text(page: str | None, templates=()) -> str:
-    """The text of the main part without templates and furniture: blocks joined by line feeds."""
+        if inside and node.name in BLOCKS and not holds_main(node) and node.size:
+            wanted.add((hashes[id(node)], INSIDE))
+            if marked(node):
+                wanted.add((hashes[id(node)], MARKED))
+        elif not inside and id(node) not in around:
+            wanted.add((hashes[id(node)], OUTSIDE))
+        inside = inside or id(node) in tops
+        stack += [(c, inside) for c in node.children if isinstance(c, Element)]
+    own = xxhash.xxh64_intdigest(",".join(str(hashes[id(m)]) for m in main)) - (1 << 63)
+    return sorted((h, kind, own if kind != OUTSIDE else 0) for h, kind in wanted)
+
+
+def main_text(page: str | None, templates=(), inside=()) -> str:
+    """The text of the main part without templates and furniture: blocks joined by line feeds.
+
+    ``templates`` go outside articles, ``inside`` within them. A page that these would leave
+    without any text, or without most of an article, is a copy of others and keeps them.
+    """
     if not page:
         return ""
-    root, templates = parse(page), set(templates or ())
-    hashes = subtree_hashes(root) if templates else {}
+    root, templates, inside = parse(page), set(templates or ()), set(inside or ())
+    hashes = subtree_hashes(root) if templates or inside else {}
+    main = main_nodes(root)
+    if inside:
+        weigh(root)
+        main_size, gone = sum(m.size for m in main), 0
+        stack = list(main)
+        while stack:
+            node = stack.pop()
+            if hashes[id(node)] in inside and not holds_main(node):
+                gone += node.size
+            else:
+                stack += [c for c in node.children if isinstance(c, Element)]
+        inside = inside if 2 * gone <= main_size else set()
+    text = _text(main, hashes, templates, inside)
+    return text or _text(main, {}, set(), set()) if templates else text
+
+
+def _text(mains: list[Element], hashes: dict[int, int], templates: set[int], inside: set[int]) -> str:
     blocks: list[str] = []
     line: list[str] = []
 
+    def template(node: Element, article: bool) -> bool:
+        known = inside if article else templates
+        return bool(known) and hashes[id(node)] in known and not (article and holds_main(node))
+
     def end():
         text = WHITE.sub(" ", "".join(line)).strip()
         if text:
             blocks.append(text)
         line.clear()
 
-    for main in main_nodes(root):
+    for main in mains:
         article = main.name == "article" or main.name == "main"
         stack: list[tuple[str, Element | str]] = [("open", main)]
         while stack:
@@ -232,7 +296,7 @@ def main_text(page: str | None, templates=()) -> str:
                 line.append(node)
             elif node.name == "br":
                 line.append(" ")
-            elif node is main or not (furniture(node, article) or not article and hashes.get(id(node)) in templates):
+            elif node is main or not (furniture(node, article) or template(node, article)):
                 block = node.name in BLOCKS
                 if block:
                     end()
@@ -243,40 +307,52 @@ def main_text(page: str | None, templates=()) -> str:
 
 
 def template_counts(pages: DataFrame) -> DataFrame:
-    """(host, hash, n_pages) of candidate subtrees over all pages; equal rows count each."""
+    """(host, hash, kind, n_pages) of candidate subtrees over all pages; equal rows count each, but equal articles once for what they hold."""
 
     def run(batches):
         for batch in batches:
             found = [candidates(p.as_py()) for p in batch.column("html")]
             hosts = [h for h, x in zip(batch.column("host").to_pylist(), found) for _ in x]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([h for x in found for h in x], pa.int64())], ["host", "hash"])
+            hashes, kinds, articles = ([c[k] for x in found for c in x] for k in (0, 1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(kinds, pa.int32()), pa.array(articles, pa.int64())], ["host", "hash", "kind", "article"])
 
-    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, hash long")
-    return rows.groupBy("host", "hash").agg(F.count("*").alias("n_pages"))
+    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, hash long, kind int, article long")
+    return rows.groupBy("host", "hash", "kind").agg(
+        F.count("*").alias("__all"), F.count_distinct("article").alias("__articles")).select(
+        "host", "hash", "kind", F.when(F.col("kind") == OUTSIDE, F.col("__all")).otherwise(F.col("__articles")).alias("n_pages"))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
-    Subtrees on at least ``min_pages`` pages and ``min_share`` of the pages of a host are
-    deleted, unless they lie inside an ``article`` or ``main`` element: passages that many
-    articles of a site share are text, not template. NULL or empty html gives empty text;
+    Subtrees on at least ``min_pages`` pages (half of the pages of a small host, see
+    LEAST_PAGES) and ``min_share`` of the pages of a host are deleted. Inside an ``article``
+    or ``main`` element it takes INSIDE_PAGES and INSIDE_SHARE, since passages that some
+    articles of a site share are text, not template, unless a class ends in a word of
+    furniture; an h1 or most of the text never goes. NULL or empty html gives empty text;
     pages without host share the empty host. Repeated rows stay and count each; an empty
     table gives none; other columns are not read.
     """
     sizes = pages.groupBy(host(F.col("url")).alias("host")).agg(F.count("*").alias("__rows"))
-    counts = template_counts(pages).where(F.col("n_pages") >= min_pages)
+    counts = template_counts(pages).where(F.col("n_pages") >= min(min_pages, LEAST_PAGES))
     # templates of a host: at most (subtrees of a page) / min_share
-    lists = counts.join(sizes, "host").where(F.col("n_pages") >= F.col("__rows") * min_share)
-    lists = lists.groupBy("host").agg(F.collect_list("hash").alias("__templates"), F.first("__rows").alias("__rows"))
+    n, rows = F.col("n_pages"), F.col("__rows")
+    enough = F.greatest(F.least(F.lit(min_pages), F.ceil(rows / 2)), F.lit(min(min_pages, LEAST_PAGES)))
+    often = (n >= enough) & (n >= rows * min_share)
+    within = (n >= INSIDE_PAGES) & (n >= rows * INSIDE_SHARE)
+    kind = F.col("kind")
+    lists = counts.join(sizes, "host").where(F.when(kind == INSIDE, within).otherwise(often))
+    lists = lists.groupBy("host").agg(
+        F.collect_list(F.when(kind == OUTSIDE, F.col("hash"))).alias("__templates"),
+        F.collect_set(F.when(kind != OUTSIDE, F.col("hash"))).alias("__inside"), F.first("__rows").alias("__rows"))
     lists = checkpointed(lists)
     rows = pages.select("page_id", "url", "html").withColumn("__host", host(F.col("url")))
     rows = attach(rows, lists.withColumnRenamed("host", "__host"), ["__host"], "__rows", "page_id")
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(p.as_py(), t.as_py()) for p, t in zip(batch.column("html"), batch.column("__templates"))]
+            texts = [main_text(p.as_py(), t.as_py(), i.as_py()) for p, t, i in zip(batch.column("html"), batch.column("__templates"), batch.column("__inside"))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.select("page_id", "url", "html", "__templates").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "__templates", "__inside").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -175,3 +175,15 @@ def test_near_copies_of_the_pipeline_equal_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
     assert got == sorted(set(group)) and len(got) < len(texts) - 30
+
+
+def test_templates_inside_articles_go(spark):
+    box = "<div>Read us daily</div>"
+    rows = [(i, f"http://h.example/{i}", f"<article><h1>T{i}</h1><p>Own text number {i} of this page</p>{box if i != 3 else ''}</article>") for i in range(6)]
+    rows += [(10 + i, f"http://s.example/{i}", f"<div>Same here</div><p>Text {i}</p>") for i in range(4)]
+    rows += [(20 + i, f"http://c.example/{i}", "<article><p>A copy</p><p>of one page</p></article>") for i in range(5)]
+    rows += [(30 + i, f"http://p.example/{i}", f"<article><p>{'A shared passage' if i < 3 else 'Else'}</p><p>Much more text of page {i}</p></article>") for i in range(6)]
+    rows += [(40 + i, f"http://m.example/{i}", f"<article><p>{'Other text' * 9} {i}</p>{'<div class=post-share>On X</div>' if i % 2 else ''}</article>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"T{i}\nOwn text number {i} of this page" for i in range(6)) and all(got[10 + i] == f"Text {i}" for i in range(4))
+    assert all(got[20 + i] == "A copy\nof one page" for i in range(5)) and got[30].startswith("A shared passage") and "On X" not in got[41]
