@@ -155,7 +155,7 @@ def furniture(node: Element, in_article: bool) -> bool:
     tokens = node.marks.split()
     if "hidden:" in tokens or any(t.startswith("role:") and t[5:] in ROLES for t in tokens):
         return True
-    return any(not MARKS.isdisjoint(WORDS.findall(t)) for t in tokens if ":" not in t)
+    return any(t in MARKS for t in tokens) and not holds_main(node)
 
 
 def marked(node: Element) -> bool:

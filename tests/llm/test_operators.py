@@ -187,3 +187,9 @@ def test_templates_inside_articles_go(spark):
     got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"T{i}\nOwn text number {i} of this page" for i in range(6)) and all(got[10 + i] == f"Text {i}" for i in range(4))
     assert all(got[20 + i] == "A copy\nof one page" for i in range(5)) and got[30].startswith("A shared passage") and "On X" not in got[41]
+
+
+def test_class_words_take_no_main_text():
+    assert html.main_text("<article><div class='article-header'><h1>Title</h1></div><div class='header'><h1>Two</h1></div><p>Text</p></article>") == "Title\nTwo\nText"
+    assert html.main_text("<div class='content with-sidebar'><p>All of it</p></div>") == html.main_text("<div class='sidebar'><article>All of it</article></div>") == "All of it"
+    assert html.main_text("<article><p>A long text</p><p class='ad'>Buy</p></article>") == "A long text"
