@@ -31,7 +31,6 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 INSIDE = re.compile(r"[^\W\d_].*[\d@$!|+*._~'·•-].*[^\W\d_]|^[\d@$!|+*].*[^\W\d_]|[^\W\d_].*[\d@$|*]$")
-LONGEST = 40
 #: Trigrams seen less often are left out of the model.
 MIN_COUNT = 3
 PREFIXES = (3, 4, 5)
@@ -128,8 +127,8 @@ class Channel:
 
     def restore(self, word: str) -> str:
         """The likeliest plain word; characters that stand for nothing are dropped at a cost."""
-        word = word[:LONGEST] if len(word) > 4 * LONGEST else word
-        states: dict[tuple[str, str], tuple[float, str]] = {("^", "^"): (0.0, "")}
+        # a path is a chain of (path before, letter), so that states share what they have in common
+        states: dict[tuple[str, str], tuple[float, tuple | None]] = {("^", "^"): (0.0, None)}
         for at, c in enumerate(word):
             options: list[tuple[str, float]] = []
             if c.isalpha():
@@ -139,15 +138,20 @@ class Channel:
             options += [(x, LEET_COST) for x in LEET.get(c, "")]
             if c in SEPARATORS or not options:
                 options.append(("", SEPARATOR_COST))
-            new: dict[tuple[str, str], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
+            new: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in states.items():
                 for x, cost in options:
                     key = (b, x) if x else (a, b)
                     value = score - cost + (self.log_p(a, b, x) if x else 0.0)
                     if key not in new or value > new[key][0]:
-                        new[key] = (value, text + x)
+                        new[key] = (value, (path, x) if x else path)
             states = new
-        return max(((s + self.log_p(a, b, "$"), t) for (a, b), (s, t) in states.items()), default=(0.0, ""))[1]
+        path = max(((s + self.log_p(a, b, "$"), p) for (a, b), (s, p) in states.items()), key=lambda v: v[0])[1]
+        letters = []
+        while path is not None:
+            path, x = path
+            letters.append(x)
+        return "".join(reversed(letters))
 
 
 def plain_words(piece: str, channel: Channel) -> list[str]:

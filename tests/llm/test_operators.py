@@ -193,3 +193,8 @@ def test_class_words_take_no_main_text():
     assert html.main_text("<article><div class='article-header'><h1>Title</h1></div><div class='header'><h1>Two</h1></div><p>Text</p></article>") == "Title\nTwo\nText"
     assert html.main_text("<div class='content with-sidebar'><p>All of it</p></div>") == html.main_text("<div class='sidebar'><article>All of it</article></div>") == "All of it"
     assert html.main_text("<article><p>A long text</p><p class='ad'>Buy</p></article>") == "A long text"
+
+
+def test_long_pieces_are_decoded_whole():
+    channel = toxicity.Channel(toxicity.count_trigrams(["you stupid idiot, the stupid dog is an idiot"] * 50))
+    assert channel.restore(".".join(["st.up1d"] * 40)).replace(" ", "") == "stupid" * 40
