@@ -1,8 +1,8 @@
 """Toxicity of texts, after undoing disguises.
 
 Disguised words are restored by a noisy-channel model: a lattice of what each written
-character may stand for (leetspeak, separators between letters, repeated letters) is decoded
-by Viterbi under a character trigram model of the corpus. The restored words, and how words
+character may stand for (leetspeak, separators or single spaces between letters or words,
+repeated letters) is decoded by Viterbi under a character trigram model of the corpus. The restored words, and how words
 begin, are the features of a logistic model.
 """
 
@@ -25,11 +25,11 @@ from patchscope.session import checkpointed
 #: What a character may stand for besides itself (fixed values).
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou"}
 SEPARATORS = frozenset(".-_~*'·•")
-#: Log-costs of the channel: reading a character as another, dropping a separator, dropping a repeated letter.
-LEET_COST, SEPARATOR_COST, REPEAT_COST = 1.0, 0.5, 0.5
+#: Log-costs of the channel: reading a character as another, dropping a separator, dropping a repeated letter, dropping one of just two, reading a separator as a word border.
+LEET_COST, SEPARATOR_COST, REPEAT_COST, DOUBLE_COST, BORDER_COST = 1.0, 0.5, 0.5, 2.0, 0.5
 LETTERS = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
-REPEATED = re.compile(r"([^\W\d_])\1\1")
+REPEATED = re.compile(r"([^\W\d_])\1")
 INSIDE = re.compile(r"[^\W\d_].*[\d@$!|+*._~'·•-].*[^\W\d_]|^[\d@$!|+*].*[^\W\d_]|[^\W\d_].*[\d@$|*]$")
 #: Trigrams seen less often are left out of the model.
 MIN_COUNT = 3
@@ -126,23 +126,29 @@ class Channel:
         return math.log((self.three.get(a + b + c, 0) + 5 * p) / (self.before.get(a + b, 0) + 5))
 
     def restore(self, word: str) -> str:
-        """The likeliest plain word; characters that stand for nothing are dropped at a cost."""
+        """The likeliest plain words, spaces between; characters that stand for nothing are dropped at a cost."""
         # a path is a chain of (path before, letter), so that states share what they have in common
         states: dict[tuple[str, str], tuple[float, tuple | None]] = {("^", "^"): (0.0, None)}
         for at, c in enumerate(word):
             options: list[tuple[str, float]] = []
             if c.isalpha():
                 options.append((c, 0.0))
-                if at and word[at - 1] == c and (at > 1 and word[at - 2] == c or at + 1 < len(word) and word[at + 1] == c):
-                    options.append(("", REPEAT_COST))
+                if at and word[at - 1] == c:
+                    more = at > 1 and word[at - 2] == c or at + 1 < len(word) and word[at + 1] == c
+                    options.append(("", REPEAT_COST if more else DOUBLE_COST))
             options += [(x, LEET_COST) for x in LEET.get(c, "")]
-            if c in SEPARATORS or not options:
-                options.append(("", SEPARATOR_COST))
+            if c in SEPARATORS or c.isspace() or not options:
+                options += [("", SEPARATOR_COST), (" ", BORDER_COST)]
             new: dict[tuple[str, str], tuple[float, tuple | None]] = {}
             for (a, b), (score, path) in states.items():
                 for x, cost in options:
-                    key = (b, x) if x else (a, b)
-                    value = score - cost + (self.log_p(a, b, x) if x else 0.0)
+                    if x == " ":
+                        if b == "^":
+                            continue  # no empty words
+                        key, value = ("^", "^"), score - cost + self.log_p(a, b, "$")
+                    else:
+                        key = (b, x) if x else (a, b)
+                        value = score - cost + (self.log_p(a, b, x) if x else 0.0)
                     if key not in new or value > new[key][0]:
                         new[key] = (value, (path, x) if x else path)
             states = new
@@ -155,16 +161,17 @@ class Channel:
 
 
 def plain_words(piece: str, channel: Channel) -> list[str]:
-    """The words of a white-space separated piece: restored if it looks disguised, else its runs of letters."""
+    """The words of a white-space separated piece, or of letters written apart: restored if it looks disguised, and its runs of letters."""
+    if " " in piece or "\t" in piece:
+        return channel.restore(piece).split()
     if piece.isalpha() and not REPEATED.search(piece):
         return [piece]
     runs = LETTERS.findall(piece)
-    if not runs and not any(c in LEET for c in piece):
-        return []
     core = piece.strip("\"'()[]{}<>,;:?#%&.…")
-    if len(core) >= 3 and runs and (INSIDE.search(core) or REPEATED.search(core)):
-        restored = channel.restore(core)
-        return [restored, *runs] if restored else runs
+    if not runs and not (all(c in LEET or c in SEPARATORS for c in core) and any(c in LEET for c in core)):
+        return []
+    if len(core) >= 3 and (not runs or INSIDE.search(core) or REPEATED.search(core)):
+        return list(dict.fromkeys([*channel.restore(core).split(), *runs]))
     return runs
 
 
@@ -194,12 +201,12 @@ class Features:
         return tuple(found)
 
     def of(self, text: str | None) -> set:
-        """The distinct features of a whole text; letters written apart are joined first."""
+        """The distinct features of a whole text; runs of letters written apart are decoded too."""
         if not text:
             return set()
         text = text.lower()
         pieces = list(dict.fromkeys(text.split()))
-        pieces += ["".join(m.split()) for m in SPACED.findall(text)]
+        pieces += SPACED.findall(text)
         return set().union(*(f for f in self.pieces.look_up(pieces) if f))
 
 

@@ -198,3 +198,11 @@ def test_class_words_take_no_main_text():
 def test_long_pieces_are_decoded_whole():
     channel = toxicity.Channel(toxicity.count_trigrams(["you stupid idiot, the stupid dog is an idiot"] * 50))
     assert channel.restore(".".join(["st.up1d"] * 40)).replace(" ", "") == "stupid" * 40
+
+
+def test_disguised_words_beside_others_are_restored():
+    counts = toxicity.count_trigrams(["you stupid idiot, such a total ass; the stupid dog is an idiot"] * 50)
+    own = toxicity.Features(counts)
+    for text in ("such a i d i o t", "y o u i d i o t", "total-1d10t", "you_1d10t", "s t u p 1 d i d i o t"):
+        assert "=idiot" in own.of(text), text
+    assert "=stupid" in own.of("stuupid") and "=ass" in own.of("a 455") and "=you" in own.of("y o u i d i o t")
