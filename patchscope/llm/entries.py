@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchscope.llm import bpe, chat, fingerprint, hosts, html, langid, seeds, simhash, toxicity, wavelet
+from patchscope.llm import bpe, chat, clusters, fingerprint, hosts, html, langid, merkle, ranked, seeds, simhash, toxicity, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,18 @@ def op10_polynomial_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_rotated_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+def op13_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,8 +84,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_byte_bpe, op2_chat_perspectives, op3_spaced_seeds, op4_language_spans, op5_wavelet_shards, op6_template_removal, op7_simhash_bktree,
-        op8_noisy_channel_toxicity, op9_host_reputation, op10_polynomial_fingerprints, pipeline)
+        op8_noisy_channel_toxicity, op9_host_reputation, op10_polynomial_fingerprints, op11_rotated_centroids, op12_merkle_fingerprints, op13_hybrid_search,
+        pipeline)
 }
 ORACLES = {
     "op2_chat_perspectives": chat.SQL, "op3_spaced_seeds": seeds.SQL, "op9_host_reputation": hosts.SQL, "op10_polynomial_fingerprints": fingerprint.SQL,
+    "op11_rotated_centroids": clusters.SQL, "op13_hybrid_search": ranked.SQL,
 }
