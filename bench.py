@@ -20,7 +20,7 @@ HEADLINE = [
     "skill_table", "threshold_sweep", "rank_auc", "reliability_curve", "outcome_rows", "top_percentile",
     "split_balanced", "split_kfold", "evaluation_members", "fit_scaler", "standardise", "tabular_features",
     "storm_extremes", "feature_medians", "exceed_map", "composite_groups", "bootstrap_scores",
-    "bootstrap_median_interval", "permutation_scores", "permutation_misses", "storm_counts", "mean_of_monthly_means",
+    "bootstrap_median_interval", "bootstrap_gather", "permutation_scores", "permutation_misses", "storm_counts", "mean_of_monthly_means",
     "interpolated_levels", "updraft_helicity", "cloud_top_temperature", "storm_objects_hysteresis",
     "storm_objects_watershed", "extract_patches", "points_in_polygons", "scored_rows", "calibrated_rows",
 ]

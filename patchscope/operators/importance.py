@@ -4,43 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchscope.functions.expressions import clip_negative
+from patchscope.functions.hashing import draw_int
+from patchscope.functions.mixing import PRIME, combined, text_seed, with_grid, with_permutation
 from patchscope.operators import verification as V
 from patchscope.operators.quantiles import percentiles_of_replicates
-from patchscope.operators.ranking import seeded_rank
-from patchscope.operators.relational import keyed_join, names, small_side, spread
+from patchscope.operators.relational import GROUP, group_keys, hashed_side, keyed_join, names, small_side, spread, with_group
 from patchscope.operators.resampling import replicate_ids
+from patchscope.session import checkpointed
 
 # Whiskers and quartiles of the importance boxes.
 BOX = (0.05, 0.25, 0.5, 0.75, 0.95)
-PERM_DIGITS = 2
 NOISE_DIGITS = 12
 # Band rows that may be broadcast, under 100 bytes each.
 BAND_ROWS = 1_000_000
 
 
 def permutations(
-    df: DataFrame, keys, row_no: str, features: Sequence[str], reps: int, seed=0, first_rep: int = 1,
-    carry: bool = False, digits: int = PERM_DIGITS,
+    df: DataFrame, keys, row_no: str, features: Sequence[str], reps: int, seed=0, first_rep: int = 1, carry: bool = False,
 ) -> DataFrame:
-    """Donor of every row: keys, ``pfi_var``, ``perm``, ``row_no``, ``orig_row_no``.
+    """Receiver of every donor: keys, ``pfi_var``, ``perm``, ``row_no``, ``orig_row_no``.
 
-    Row k takes the feature of the row that comes k-th in the seeded order of its
-    (key, feature, replicate). Only row numbers are ranked, unless ``carry`` lets each
-    donor bring its feature along as ``donated``.
+    ``row_no`` must count 0..n-1 inside a key. Row d gives its feature to the row that a
+    bijection of 0..n-1 names, one for each (key, feature, replicate); it is worked out from
+    the row number, so nothing is ranked or sorted. ``carry`` lets each donor bring its
+    feature along as ``donated``.
     """
     keys = names(keys)
+    grouped = with_group(spread(df, [*keys, row_no]), keys)
+    n = F.count(F.lit(1))
+    gap = F.raise_error(F.lit("row numbers must count 0..n-1 inside each key")).cast("bigint")
+    sizes = grouped.groupBy(GROUP).agg(F.when(F.max(row_no) == n - 1, n).otherwise(gap).alias("__n"))
+    parts = [F.col(f"{GROUP}.{k}") for k in keys]
+    sizes = with_grid(sizes, "__n").withColumn("__key_seed", draw_int(seed, *parts) % PRIME)
     donated = lambda f: [F.col(f).alias("donated")] if carry else []
-    variants = F.array(*[F.struct(F.lit(f).alias("pfi_var"), *donated(f)) for f in features])
-    each = spread(df, [*keys, row_no]).select(*keys, F.col(row_no).alias("orig_row_no"), F.inline(variants))
+    variants = F.array(*[F.struct(F.lit(f).alias("pfi_var"), F.lit(text_seed(seed, f)).cast("bigint").alias("__seed"), *donated(f)) for f in features])
+    # few, huge keys: broadcast where their number allows, so that no key lands in one task
+    each = grouped.select(GROUP, F.col(row_no).cast("bigint").alias("orig_row_no"), *(features if carry else [])).join(small_side(sizes), GROUP)
+    each = each.select(GROUP, "orig_row_no", "__key_seed", "__wide", "__high", "__last", F.inline(variants))
     each = each.withColumn("perm", F.explode(replicate_ids(first_rep, reps)))
-    order_seed = F.concat_ws(":", F.lit(str(seed)), "pfi_var", F.col("perm").cast("string"))
-    ranked = seeded_rank(each, "orig_row_no", order_seed, by=[*keys, "pfi_var", "perm"], out="__rank", digits=digits)
-    kept = ["pfi_var", "perm", (F.col("__rank") - 1).alias("row_no"), "orig_row_no"]
-    return ranked.select(*keys, *kept, *(["donated"] if carry else []))
+    each = each.withColumn("__seed", combined((F.col("__seed") + F.col("__key_seed")) % PRIME, F.col("perm").cast("bigint")))
+    moved = with_permutation(each, "orig_row_no", "__seed", "row_no")
+    return moved.select(*group_keys(keys), "pfi_var", "perm", "row_no", "orig_row_no", *(["donated"] if carry else []))
 
 
 def permute_features(
@@ -48,13 +56,14 @@ def permute_features(
 ) -> DataFrame:
     """Every (feature, replicate) copy of the rows, with that one feature replaced by its donor's.
 
-    The whole feature travels with its donor (a number or a patch array) through the rank,
-    and the other columns join last, shuffled once for all copies.
+    The feature travels with its donor (a number or a whole patch array) to the receiver, and
+    the receiver's other columns meet it there: broadcast if they are small, else hashed, each once
+    for all copies.
     """
     keys = names(keys)
     moved = permutations(df, keys, row_no, features, reps, seed, first_rep, carry=True)
     base = df.withColumnRenamed(row_no, "row_no") if row_no != "row_no" else df
-    joined = keyed_join(moved, base, [*keys, "row_no"])
+    joined = keyed_join(moved, hashed_side(base), [*keys, "row_no"])
     replaced = {f: F.when(F.col("pfi_var") == f, F.col("donated")).otherwise(F.col(f)) for f in features}
     return joined.withColumns(replaced).drop("donated")
 
@@ -163,6 +172,22 @@ def tail_permutations(bands: DataFrame) -> DataFrame:
 CASE_KINDS = {"misses": ("fn", "tp"), "false_alarms": ("fp", "tn")}
 
 
+WORD = 64
+
+
+def row_words(df: DataFrame, groups: Sequence[str], row_no: str = "row_no", **flags: Column) -> DataFrame:
+    """Sets of row numbers as bits: groups, ``word`` (row_no div 64) and a 64-bit number per flag, its rows' bits set."""
+    bit = F.expr(f"shiftleft(1L, cast({row_no} % {WORD} as int))")
+    return df.groupBy(*groups, F.expr(f"{row_no} div {WORD}").alias("word")).agg(
+        *[F.coalesce(F.bit_or(F.when(flag, bit)), F.lit(0).cast("bigint")).alias(name) for name, flag in flags.items()])
+
+
+def rows_of_words(df: DataFrame, bits: str, row_no: str = "row_no") -> DataFrame:
+    """One row per set bit, in place of ``word`` and the bits."""
+    places = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda k: F.col(bits).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), k)) != 0)
+    return df.withColumn("__place", F.explode(places)).withColumn(row_no, F.col("word") * WORD + F.col("__place")).drop("word", "__place", bits)
+
+
 def permutation_cases(
     outcomes: DataFrame, bands: DataFrame, original: DataFrame, keys, kind: str = "misses", feature: str = "pfi_var"
 ) -> DataFrame:
@@ -172,22 +197,28 @@ def permutation_cases(
     correct negatives that became false alarms. Each case keeps the donor of its first
     occurrence, ordered by (perm, row_no). ``original`` has keys, ``row_no``, ``outcome``.
     Returns keys, feature, ``metric``, ``band``, ``row_no``, ``perm``, ``orig_row_no``.
+
+    Sets of rows are 64-bit words, so what is shuffled for difference and intersection is one
+    row per word that a task has seen; only the rows that are left look up their donors.
+    ``outcomes`` is read twice: store it.
     """
     keys = names(keys)
     after, before = CASE_KINDS[kind]
-    hits = original.filter(F.col("outcome") == before).select(*keys, "row_no")
+    hits = row_words(original.filter(F.col("outcome") == before), keys, __before=F.lit(True))
     wrong = outcomes.filter(F.col("outcome") == after).select(*keys, feature, "perm", "row_no", "orig_row_no")
-    wrong = wrong.join(hits, [*keys, "row_no"], "left_semi")
     # few, huge keys: broadcast where the row count allows, so that no key lands in one task
     marks = small_side(bands.select(*keys, feature, "perm", "metric", "band"), BAND_ROWS)
     placed = wrong.join(marks, [*keys, feature, "perm"])
-    group = [*keys, feature, "metric", "row_no"]
-    # one aggregate replaces distinct, set difference and first-occurrence lookup
-    per_row = placed.groupBy(*group).agg(
-        F.collect_set("band").alias("__bands"), F.min(F.struct("perm", "orig_row_no")).alias("__first")
-    )
-    alone = per_row.filter((F.size("__bands") == 1) & (F.col("__bands")[0] != "middle"))
-    return alone.select(*group, F.col("__bands")[0].alias("band"), "__first.perm", "__first.orig_row_no")
+    sets = row_words(placed, [*keys, feature, "metric"], **{f"__{b}": F.col("band") == b for b in ("top", "bottom", "middle")})
+    sets = sets.join(hits, [*keys, "word"])
+    top, bottom, middle = (F.col(f"__{b}") for b in ("top", "bottom", "middle"))
+    without = lambda a, b: a.bitwiseAND(F.bitwise_not(b.bitwiseOR(middle))).bitwiseAND(F.col("__before"))
+    both = F.array(*[F.struct(F.lit(b).alias("band"), without(x, y).alias("__alone")) for b, x, y in (("top", top, bottom), ("bottom", bottom, top))])
+    alone = sets.select(*keys, feature, "metric", "word", F.inline(F.filter(both, lambda s: s["__alone"] != 0)))
+    alone = checkpointed(rows_of_words(alone, "__alone"))
+    marked = wrong.join(hashed_side(alone), [*keys, feature, "row_no"]).join(marks, [*keys, feature, "perm", "metric", "band"], "left_semi")
+    first = marked.groupBy(*keys, feature, "metric", "row_no", "band").agg(F.min(F.struct("perm", "orig_row_no")).alias("__first"))
+    return first.select(*keys, feature, "metric", "row_no", "band", "__first.perm", "__first.orig_row_no")
 
 
 def case_patches(cases: DataFrame, patches: DataFrame, keys, columns: Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from patchscope.session import checkpointed
 
 GROUP = "__g"
 BROADCAST_ROWS = 10_000
+BROADCAST_BYTES = 32 << 20
 
 
 def names(keys: str | Iterable[str] | None) -> list[str]:
@@ -37,7 +38,7 @@ def group_keys(keys: list[str]) -> list[Column]:
 def keyed_join(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "inner") -> DataFrame:
     """Equi-join in which a NULL key equals a NULL key; the keys of ``left`` are kept."""
     keys = names(keys)
-    renamed = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
@@ -56,3 +57,13 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Materialise a table meant to be tiny; hint a broadcast only if its row count allows."""
     table = checkpointed(df)
     return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table
+
+
+def hashed_side(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint how the side that is not multiplied joins one that is: the large side is never sorted.
+
+    Broadcast if the planner's size (that of the files, for a stored table) allows, otherwise
+    hashed partition by partition; its keys must be spread, so that its partitions are small.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= max_bytes else df.hint("shuffle_hash")

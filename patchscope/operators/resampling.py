@@ -11,13 +11,17 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchscope.functions.hashing import draw_below
+from patchscope.functions.hashing import draw_below, draw_int
+from patchscope.functions.mixing import PRIME, combined, with_closed, with_draw
 from patchscope.operators import verification as V
 from patchscope.operators.quantiles import percentiles_of_replicates, split_points, with_value_bucket
 from patchscope.operators.relational import GROUP, group_keys, names, small_side, spread, with_group
 
-# Interval reported by the median table.
+# Interval reported by the median table, replicates of the published results.
 INTERVAL = (0.025, 0.975)
+PUBLISHED_REPS = 1000
+# draws made by one row of work
+STRETCH = 1 << 16
 SAMPLE_PATCHES = 1000
 # few, because every replicate meets each patch once per bucket it touches
 PATCH_SPLITS = 64
@@ -98,6 +102,60 @@ def bootstrap_reliability(df: DataFrame, keys, row_no: str, reps: int, seed=0, f
     return V.reliability_curve(bootstrap_forecasts(df, keys, row_no, reps, seed, first_rep, size), [*keys, "rep"], width, weight="w")
 
 
+def drawn_cells(cells: DataFrame, keys, reps: int, n_cells: int, seed=0, first_rep: int = 1) -> DataFrame:
+    """Bootstrap on counted rows: how often each cell is drawn in each replicate, keys, ``rep``, ``cell``, ``w``.
+
+    ``cells`` has keys, ``cell`` in [0, n_cells) and ``w``, its rows. Rows are thought of as
+    numbered cell by cell, so each cell is one range of numbers, and a draw below n finds its
+    cell by binary search in the running sums. What is spread is one row per (key, replicate,
+    stretch of draws), draws are counted where they are made, and nothing is joined.
+    """
+    keys = names(keys)
+    below = Window.partitionBy(GROUP).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    summed = with_group(cells, keys).withColumn("__upto", F.sum("w").over(below))
+    counted = summed.groupBy(GROUP).agg(F.sort_array(F.collect_list(F.struct("cell", "__upto"))).alias("__cells"))
+    counted = counted.select(GROUP, F.col("__cells.cell").alias("__names"), F.col("__cells.__upto").alias("__upto"))
+    parts = [F.col(f"{GROUP}.{k}") for k in keys]
+    counted = counted.withColumns({"__n": F.element_at("__upto", -1), "__key_seed": draw_int(seed, *parts) % PRIME})
+    each = counted.withColumn("rep", F.explode(replicate_ids(first_rep, reps)))
+    each = each.withColumn("__seed", combined(F.col("__key_seed"), F.col("rep").cast("bigint")))
+    each = each.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1, F.lit(STRETCH).cast("bigint"))))
+    partitions = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = each.repartition(partitions, GROUP, "rep", "__from")
+    each = each.withColumn("__slot", F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + STRETCH, F.col("__n")) - 1)))
+    each = with_draw(each, "__slot", "__seed", "__n", "__draw").withColumn("__p0", F.lit(0))
+    turn, step = 0, 1 << max(n_cells.bit_length() - 1, 0)
+    while step:
+        place = F.col(f"__p{turn}")
+        above = F.coalesce(F.get("__upto", place + (step - 1)) <= F.col("__draw"), F.lit(False))
+        turn, step, each = turn + 1, step // 2, each.withColumn(f"__p{turn + 1}", F.when(above, place + step).otherwise(place))
+    drawn = with_closed(each, "cell", F.get("__names", F.col(f"__p{turn}"))).groupBy(GROUP, "rep", "cell").agg(F.count(F.lit(1)).alias("w"))
+    return drawn.select(*group_keys(keys), "rep", "cell", "w")
+
+
+def cell_bootstrap_scores(
+    df: DataFrame, keys, reps: int = PUBLISHED_REPS, seed=0, first_rep: int = 1, width: float = V.BIN_WIDTH, threshold: float = V.DECISION,
+) -> DataFrame:
+    """Scalar and Brier scores of every replicate, drawn on (bin, outcome) cells."""
+    keys = names(keys)
+    cells = V.forecast_cells(df, keys, width, threshold)
+    drawn = drawn_cells(cells, keys, reps, V.reliability_bins(width) * len(V.OUTCOMES), seed, first_rep)
+    return V.evaluate_cells(drawn, [*keys, "rep"], width, threshold)
+
+
+def cell_bootstrap_reliability(df: DataFrame, keys, reps: int = PUBLISHED_REPS, seed=0, first_rep: int = 1, width: float = V.BIN_WIDTH) -> DataFrame:
+    """Reliability curve of every replicate, drawn on (bin, outcome) cells."""
+    keys = names(keys)
+    drawn = drawn_cells(V.forecast_cells(df, keys, width), keys, reps, V.reliability_bins(width) * len(V.OUTCOMES), seed, first_rep)
+    return V.reliability_of_cells(drawn, [*keys, "rep"], width)
+
+
+def cell_bootstrap_sweep(df: DataFrame, keys, reps: int = PUBLISHED_REPS, seed=0, first_rep: int = 1, n: int = V.SWEEP) -> DataFrame:
+    """Threshold sweep of every replicate, drawn on (threshold index, event) cells."""
+    keys = names(keys)
+    return V.sweep_of_cells(drawn_cells(V.sweep_cells(df, keys, n), keys, reps, 2 * n + 2, seed, first_rep), [*keys, "rep"], n)
+
+
 def bootstrap_medians(
     df: DataFrame, keys, row_no: str, values: str, reps: int, seed=0, first_rep: int = 1,
     splits: Sequence[float] | None = None,

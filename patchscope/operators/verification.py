@@ -121,6 +121,11 @@ def threshold_sweep(
         .groupBy(GROUP, "__k")
         .agg(_sum_if(event, w).alias("__pos"), _sum_if(~event, w).alias("__neg"))
     )
+    return _sweep_of_cells(cells, keys, n)
+
+
+def _sweep_of_cells(cells: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """Counts and scores at all thresholds from events (``__pos``) and non-events (``__neg``) per threshold index ``__k``."""
     group = Window.partitionBy(GROUP)
     down = group.orderBy(F.col("__k").desc())
     running = down.rowsBetween(Window.unboundedPreceding, 0)
@@ -152,6 +157,21 @@ def threshold_sweep(
     })
 
 
+def sweep_cells(df: DataFrame, keys: str | Iterable[str], n: int = SWEEP) -> DataFrame:
+    """Rows per (threshold index, event): keys, ``cell`` (2 * (index + 1) + event), ``w``. Needs probability and label."""
+    cell = (sweep_index(_prob("prob"), n) + 1) * 2 + (F.col("label") >= OBSERVED).cast("int")
+    return df.withColumn("cell", cell).filter("cell IS NOT NULL").groupBy(*names(keys), "cell").agg(F.count(F.lit(1)).alias("w"))
+
+
+def sweep_of_cells(cells: DataFrame, keys: str | Iterable[str], n: int = SWEEP) -> DataFrame:
+    """The threshold sweep from the cells of ``sweep_cells``."""
+    keys = names(keys)
+    event = F.col("cell") % 2 == 1
+    index = (F.expr("cell div 2") - 1).cast("int")
+    summed = with_group(cells, keys).groupBy(GROUP, index.alias("__k")).agg(_sum_if(event, F.col("w")).alias("__pos"), _sum_if(~event, F.col("w")).alias("__neg"))
+    return _sweep_of_cells(summed, keys, n)
+
+
 def contingency(df: DataFrame, keys: str | Iterable[str] | None = None, threshold: float = DECISION, prob: str = "prob", label: str = "label") -> DataFrame:
     """2x2 matrix: one row per observed class, a column per forecast class."""
     classes = df.withColumns({"observed": F.col(label).cast("int"), "__yes": (_prob(prob) >= threshold).cast("int")})
@@ -179,7 +199,7 @@ def reliability_frequencies(
     """Total and positive counts for every edge, empty ones included; one row more than the curve.
 
     Bin ids are integers, ``prob / width`` rounded at the ninth digit and floored, so edges such as 0.15 are exact;
-    the last curve bin is closed, so no forecast drops out.
+    the last curve bin is closed, so no forecast drops out. Rows without probability or label do not count.
     """
     keys = names(keys)
     last = reliability_bins(width)
@@ -187,7 +207,7 @@ def reliability_frequencies(
     counted = (
         with_group(df, keys)
         .withColumn("__b", bin_index(_prob(prob), width))
-        .filter("__b IS NOT NULL")
+        .filter(F.col("__b").isNotNull() & F.col(label).isNotNull())
         .groupBy(GROUP, "__b")
         .agg(F.sum(w).cast("bigint").alias("__n"), _sum_if(event, w).alias("__pos"))
     )
@@ -203,6 +223,13 @@ def reliability_frequencies(
     )
 
 
+def reliability_of_cells(cells: DataFrame, keys: str | Iterable[str], width: float = BIN_WIDTH) -> DataFrame:
+    """The reliability curve from the cells of ``forecast_cells``."""
+    centre = F.expr(f"cell div {len(OUTCOMES)}") * F.lit(width) + F.lit(width / 2)
+    event = (F.col("cell") % len(OUTCOMES)).isin(OUTCOMES.index("tp"), OUTCOMES.index("fn")).cast("int")
+    return reliability_curve(cells.select(*names(keys), centre.alias("prob"), event.alias("label"), "w"), keys, width, weight="w")
+
+
 def reliability_curve(df: DataFrame, keys=None, width: float = BIN_WIDTH, prob="prob", label="label", weight: str | None = None) -> DataFrame:
     """Observed relative frequency per probability bin, NULL for an empty bin."""
     rows = reliability_frequencies(df, keys, width, prob, label, weight).filter(F.col("bin") < reliability_bins(width))
@@ -266,27 +293,39 @@ def composite_groups(composed: DataFrame) -> DataFrame:
     return composed.withColumn("group", F.explode(groups))
 
 
-def evaluate(df: DataFrame, keys: str | Iterable[str], width: float = BIN_WIDTH, threshold: float = DECISION, weight: str | None = None) -> DataFrame:
-    """Scalar scores and Brier parts of every member, or replicate, in one pass.
+#: Outcomes in the order of their cell numbers.
+OUTCOMES = ("tp", "fp", "fn", "tn")
+
 
-    Forecasts collapse to (reliability bin, outcome) cells, from which both the confusion
-    counts and the reliability curve follow.
+def forecast_cell(width: float = BIN_WIDTH, threshold: float = DECISION) -> Column:
+    """Reliability bin * 4 + place of the outcome in OUTCOMES; NULL without probability or label."""
+    outcome = F.array_position(F.array(*[F.lit(o) for o in OUTCOMES]), outcome_class(threshold)).cast("int") - 1
+    return bin_index(_prob("prob"), width) * len(OUTCOMES) + outcome
+
+
+def forecast_cells(df: DataFrame, keys: str | Iterable[str], width: float = BIN_WIDTH, threshold: float = DECISION, weight: str | None = None) -> DataFrame:
+    """Rows per (reliability bin, outcome): keys, ``cell``, ``w``.
+
+    Confusion counts, curve and Brier parts all follow from these cells. Rows without
+    probability or label do not count.
     """
+    cells = df.withColumn("cell", forecast_cell(width, threshold)).filter("cell IS NOT NULL")
+    return cells.groupBy(*names(keys), "cell").agg(F.sum(_weight(weight)).cast("bigint").alias("w"))
+
+
+def evaluate(df: DataFrame, keys: str | Iterable[str], width: float = BIN_WIDTH, threshold: float = DECISION, weight: str | None = None) -> DataFrame:
+    """Scalar scores and Brier parts of every member, or replicate, in one pass over the forecasts."""
+    return evaluate_cells(forecast_cells(df, keys, width, threshold, weight), keys, width, threshold)
+
+
+def evaluate_cells(cells: DataFrame, keys: str | Iterable[str], width: float = BIN_WIDTH, threshold: float = DECISION) -> DataFrame:
+    """Scores and Brier parts from the cells of ``forecast_cells``."""
     keys = names(keys)
-    w = _weight(weight)
-    cells = (
-        df.withColumns({
-            "__b": bin_index(_prob("prob"), width),
-            "__o": outcome_class(threshold),
-        })
-        .filter("__b IS NOT NULL")
-        .groupBy(*keys, "__b", "__o")
-        .agg(F.sum(w).cast("bigint").alias("__w"))
-    )
-    total = lambda *o: F.coalesce(F.sum(F.when(F.col("__o").isin(*o), F.col("__w"))), F.lit(0)).cast("bigint")
-    curve = cells.groupBy(*keys, "__b").agg(
+    place = F.col("cell") % len(OUTCOMES)
+    total = lambda *o: F.coalesce(F.sum(F.when(place.isin(*[OUTCOMES.index(x) for x in o]), F.col("w"))), F.lit(0)).cast("bigint")
+    curve = cells.groupBy(*keys, F.expr(f"cell div {len(OUTCOMES)}").alias("__b")).agg(
         total("tp").alias("TP"), total("fp").alias("FP"), total("fn").alias("FN"), total("tn").alias("TN"),
-        F.sum("__w").alias("Total_Freq"), total("tp", "fn").alias("Positive_Freq"),
+        F.sum("w").alias("Total_Freq"), total("tp", "fn").alias("Positive_Freq"),
     )
     center = F.col("__b") * F.lit(width) + F.lit(width / 2)
     n, rate = F.col("Total_Freq"), F.col("Positive_Freq") / F.col("Total_Freq")

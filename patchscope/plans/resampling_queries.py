@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from patchscope.functions.mixing import ADD, OTHER, PRIME, ROUNDS, SPREAD, SQUARE, text_seed
 from patchscope.operators import curves as C
 from patchscope.operators import importance as P
 from patchscope.operators import resampling as R
@@ -16,64 +17,112 @@ from patchscope.session import checkpointed
 
 KEYS = ["climate", "member"]
 K = "climate, member"
-REPS = 5
+#: Replicates of the registered queries: on cells, on threshold cells, gathered row by row. The operators default to the published 1 000.
+REPS, SWEPT, GATHERED = 100, 20, 5
+#: Permutations of the registered queries.
 PERMS = 8
 
-# draws: hash(seed : rep : climate : member : slot) mod n
+# draws of rows: hash(seed : rep : climate : member : slot) mod n
 WEIGHTS = f"""v_draw AS (
   SELECT climate, member, rep, ('0x'||substr(md5(concat_ws(':', '0', rep, climate, member, row_no)),1,15))::BIGINT % n_rows AS row_no
-  FROM v_rows, range(1, {REPS + 1}) t(rep)),
+  FROM v_rows, range(1, {GATHERED + 1}) t(rep)),
 v_weight AS (SELECT climate, member, rep, row_no, count(*) AS w FROM v_draw GROUP BY ALL),
-v_boot AS (SELECT f.climate, f.member, CAST(w.rep AS INT) AS rep, f.row_no, f.prob, f.label, w.w FROM v_rows f JOIN v_weight w USING (climate, member, row_no))"""
-BOOT = f"WITH {views.FORECAST_ROWS_SQL}, {WEIGHTS}"
+v_gather AS (SELECT f.climate, f.member, CAST(w.rep AS INT) AS rep, f.row_no, f.prob, f.label, w.w FROM v_rows f JOIN v_weight w USING (climate, member, row_no))"""
+GATHER = f"WITH {views.FORECAST_ROWS_SQL}, {WEIGHTS}"
 KR = "climate, member, rep"
 
 
-def _forecasts(spark, sf):
-    """The numbered forecast table, stored once: draws and scores both read it."""
-    return checkpointed(views.forecast_rows(spark, sf).select(*KEYS, "row_no", "n_rows", "prob", "label"))
+def mixed_sql(t: str) -> str:
+    return f"(((({t}) * ({t})) % {PRIME}) * {SQUARE} + {ADD}) % {PRIME}"
 
 
-@query(f"{BOOT} SELECT climate, member, rep, row_no, w FROM v_boot")
+def cell_boot_sql(cell: str, prob: str, label: str, reps: int) -> str:
+    """Draws on numbered cells: v_boot has climate, member, rep, cell, w, and prob and label of the cell."""
+    draws = f"""SELECT *, unnest(range(total)) AS slot FROM (
+      SELECT *, {mixed_sql(f"({mixed_sql('ks')} + rep * {SPREAD}) % {PRIME}")} AS s
+      FROM (SELECT DISTINCT climate, member, total, ('0x'||substr(md5(concat_ws(':', '0', climate, member)),1,15))::BIGINT % {PRIME} AS ks FROM v_cum), range(1, {reps + 1}) t(rep))"""
+    draws = f"SELECT *, (slot % {PRIME} * {SPREAD} + s + {OTHER}) % {PRIME} AS h, (slot % {PRIME} * {OTHER} + s + {2 * OTHER}) % {PRIME} AS l FROM ({draws})"
+    for _ in range(2):
+        draws = f"SELECT * REPLACE ({mixed_sql('h')} AS h, {mixed_sql('l')} AS l) FROM ({draws})"
+    return f"""WITH {views.FORECAST_SQL},
+v_cells AS (SELECT climate, member, {cell} AS cell, count(*) AS n FROM v_forecast GROUP BY ALL),
+v_cum AS (SELECT climate, member, cell, CAST(sum(n) OVER (PARTITION BY climate, member ORDER BY cell) AS BIGINT) - n AS lo,
+                 CAST(sum(n) OVER (PARTITION BY climate, member) AS BIGINT) AS total FROM v_cells),
+v_drawn AS (SELECT climate, member, rep, (h * {1 << 31} + l) % total AS draw FROM ({draws})),
+v_boot AS MATERIALIZED (SELECT *, {prob} AS prob, {label} AS label FROM (
+  SELECT d.climate, d.member, CAST(d.rep AS INT) AS rep, c.cell, count(*) AS w
+  FROM v_drawn d ASOF JOIN v_cum c ON d.climate = c.climate AND d.member = c.member AND d.draw >= c.lo GROUP BY ALL))"""
+
+
+# cells: reliability bin * 4 + outcome (tp, fp, fn, tn)
+BOOT = cell_boot_sql(
+    "least(CAST(floor(round(prob / 0.05::DOUBLE, 9)) AS INT), 20) * 4 + CASE WHEN prob >= 0.5 THEN 1 - label ELSE 3 - label END",
+    "(cell // 4) * 0.05::DOUBLE + 0.025::DOUBLE", "CAST(cell % 4 IN (0, 2) AS INT)", REPS)
+
+
+def _threshold_cell_sql(n: int) -> str:
+    """Cells: (index of the largest threshold not above the probability + 1) * 2 + event."""
+    at = lambda k: f"(CASE WHEN {k} = {n - 1} THEN 1.0::DOUBLE ELSE ({k}) * (1.0::DOUBLE / {n - 1}) END)"
+    near = f"CAST(floor(prob * {n - 1}) AS INT)"
+    index = f"CASE WHEN {near} < {n - 1} AND prob >= {at(near + ' + 1')} THEN {near} + 1 WHEN prob < {at(near)} THEN {near} - 1 ELSE {near} END"
+    return f"(({index}) + 1) * 2 + label"
+
+
+SWEEP_BOOT = cell_boot_sql(
+    _threshold_cell_sql(V.SWEEP), f"CASE WHEN cell // 2 = {V.SWEEP} THEN 1.0::DOUBLE ELSE (cell // 2 - 1) * (1.0::DOUBLE / {V.SWEEP - 1}) END", "CAST(cell % 2 AS INT)", SWEPT)
+
+
+def _cells(spark, sf):
+    return views.forecast(spark, sf).select(*KEYS, "prob", "label")
+
+
+@query(f"{GATHER} SELECT climate, member, rep, row_no, w FROM v_gather")
 def bootstrap_weights(spark, sf):
     rows = views.forecast_rows(spark, sf)
-    return R.bootstrap_weights(rows, KEYS, "row_no", REPS, size="n_rows")
+    return R.bootstrap_weights(rows, KEYS, "row_no", GATHERED, size="n_rows")
+
+
+@query(f"""{GATHER} SELECT climate, member, rep, {SCALAR_COLUMNS} FROM ({counts_sql('v_gather', KR, weight='w')})""")
+def bootstrap_gather(spark, sf):
+    """Scores of replicates whose rows are gathered by number, as patches would be."""
+    rows = checkpointed(views.forecast_rows(spark, sf).select(*KEYS, "row_no", "n_rows", "prob", "label"))
+    return V.scalar_scores(V.confusion(R.bootstrap_forecasts(rows, KEYS, "row_no", GATHERED, size="n_rows"), [*KEYS, "rep"], weight="w"))
 
 
 @query(f"""{BOOT} SELECT s.*, {BRIER_COLUMNS} FROM (SELECT {KR}, {SCALAR_COLUMNS} FROM ({counts_sql('v_boot', KR, weight='w')})) s
 JOIN ({brier_sql(curve_sql('v_boot', KR, weight='w'), KR)}) b USING ({KR})""")
-def bootstrap_scores(spark, sf):
-    return R.bootstrap_scores(_forecasts(spark, sf), KEYS, "row_no", REPS, size="n_rows")
+def bootstrap_scores(spark, sf, reps=REPS):
+    return R.cell_bootstrap_scores(_cells(spark, sf), KEYS, reps)
 
 
 WEIGHTED = "v_bw AS (SELECT climate, rep * 100 + member AS rep, prob, label FROM v_boot, range(0, w) t(i))"
 
 
-@query(f"""{BOOT}, {WEIGHTED} SELECT climate, {r('Threshold', 'Threshold')}, {r('min(FAR)', 'FAR_min')}, {r('max(FAR)', 'FAR_max')},
+@query(f"""{SWEEP_BOOT}, {WEIGHTED} SELECT climate, {r('Threshold', 'Threshold')}, {r('min(FAR)', 'FAR_min')}, {r('max(FAR)', 'FAR_max')},
   {r('min(POD)', 'POD_min')}, {r('max(POD)', 'POD_max')}
-FROM (SELECT climate, rep, Threshold, {SWEEP_RAW} FROM ({sweep_sql('v_bw', 'climate, rep', 1000)})) GROUP BY climate, Threshold""")
-def bootstrap_sweep_envelope(spark, sf):
-    sweep = R.bootstrap_sweep(_forecasts(spark, sf), KEYS, "row_no", REPS, n=1000, size="n_rows")
+FROM (SELECT climate, rep, Threshold, {SWEEP_RAW} FROM ({sweep_sql('v_bw', 'climate, rep')})) GROUP BY climate, Threshold""")
+def bootstrap_sweep_envelope(spark, sf, reps=SWEPT):
+    sweep = R.cell_bootstrap_sweep(_cells(spark, sf), KEYS, reps)
     return R.envelope(sweep, ["climate", "Threshold"], ["FAR", "POD"])
 
 
 @query(f"""{BOOT} SELECT climate, bin, {r('min(rate)', 'Positive_Relative_Freq_min')}, {r('max(rate)', 'Positive_Relative_Freq_max')}
 FROM ({curve_sql('v_boot', KR, weight='w')}) GROUP BY climate, bin""")
-def bootstrap_reliability_envelope(spark, sf):
-    curves = R.bootstrap_reliability(_forecasts(spark, sf), KEYS, "row_no", REPS, size="n_rows")
+def bootstrap_reliability_envelope(spark, sf, reps=REPS):
+    curves = R.cell_bootstrap_reliability(_cells(spark, sf), KEYS, reps)
     return R.envelope(curves, ["climate", "bin"], ["Positive_Relative_Freq"])
 
 
 @query(f"""{BOOT} SELECT climate, {r('quantile_cont(CSI, 0.025)', 'CSI_low')}, {r('quantile_cont(CSI, 0.975)', 'CSI_high')}
 FROM (SELECT {KR}, {SCALAR_RAW} FROM ({counts_sql('v_boot', KR, weight='w')})) GROUP BY climate""")
-def bootstrap_score_interval(spark, sf):
-    scores = R.bootstrap_scores(_forecasts(spark, sf), KEYS, "row_no", REPS, size="n_rows")
+def bootstrap_score_interval(spark, sf, reps=REPS):
+    scores = R.cell_bootstrap_scores(_cells(spark, sf), KEYS, reps)
     return R.envelope(scores, ["climate"], ["CSI"], interval=R.INTERVAL)
 
 
 MEDIAN_BOOT = f"""WITH {views.PATCHES_SQL},
 v_pr AS (SELECT patch_id, climate, vals, row_number() OVER (PARTITION BY climate ORDER BY md5('0:'||patch_id), patch_id) - 1 AS row_no, count(*) OVER (PARTITION BY climate) AS n FROM v_patch),
-v_pd AS (SELECT climate, rep, ('0x'||substr(md5(concat_ws(':', '0', rep, climate, row_no)),1,15))::BIGINT % n AS row_no FROM v_pr, range(1, {REPS + 1}) t(rep)),
+v_pd AS (SELECT climate, rep, ('0x'||substr(md5(concat_ws(':', '0', rep, climate, row_no)),1,15))::BIGINT % n AS row_no FROM v_pr, range(1, {GATHERED + 1}) t(rep)),
 v_med AS (SELECT d.climate, d.rep, median(x.v) AS median FROM v_pd d JOIN v_pr p USING (climate, row_no), unnest(p.vals) x(v) GROUP BY d.climate, d.rep)"""
 
 
@@ -85,24 +134,43 @@ def _numbered_patches(spark, sf):
 @query(f"{MEDIAN_BOOT} SELECT climate, CAST(rep AS INT) AS rep, {r('median', 'median')} FROM v_med")
 def bootstrap_medians(spark, sf):
     """Median over all pixels of the resampled patches, per replicate."""
-    return R.bootstrap_medians(_numbered_patches(spark, sf), ["climate"], "row_no", "values", REPS)
+    return R.bootstrap_medians(_numbered_patches(spark, sf), ["climate"], "row_no", "values", GATHERED)
 
 
 @query(f"{MEDIAN_BOOT} SELECT climate, {r('quantile_cont(median, 0.025)', 'q2_5')}, {r('quantile_cont(median, 0.975)', 'q97_5')} FROM v_med GROUP BY climate")
 def bootstrap_median_interval(spark, sf):
-    return R.bootstrap_median_interval(_numbered_patches(spark, sf), ["climate"], "row_no", "values", REPS)
+    return R.bootstrap_median_interval(_numbered_patches(spark, sf), ["climate"], "row_no", "values", GATHERED)
 
 
 # --- permutation importance ---------------------------------------------------------------
 
+
+def permuted_sql(out: str, source: str) -> str:
+    """The bijection of ``with_permutation``, a subselect a step: columns of the source plus row_no."""
+    step = f"SELECT *, CAST(floor(sqrt(n::DOUBLE)) AS BIGINT) + 1 AS wide FROM {source}"
+    step = f"SELECT *, (n + wide - 1) // wide AS high FROM ({step})"
+    step = f"SELECT *, n - (high - 1) * wide AS last, orig_row_no % wide AS x, orig_row_no // wide AS y FROM ({step})"
+    for turn in range(2 * ROUNDS):
+        value = "x" if turn % 2 else "y"
+        step = f"SELECT *, ({value} * {SPREAD} + s + {turn * OTHER}) % {PRIME} AS t FROM ({step})"
+        step = f"SELECT * REPLACE ({mixed_sql('t')} AS t) FROM ({step})"
+        step = f"SELECT * REPLACE ({mixed_sql('t')} AS t) FROM ({step})"
+        moved = "(y + t) % (CASE WHEN x < last THEN high ELSE high - 1 END) AS y" if turn % 2 else "(x + t) % (CASE WHEN y = high - 1 THEN last ELSE wide END) AS x"
+        step = f"SELECT * EXCLUDE (t) REPLACE ({moved}) FROM ({step})"
+    return f"{out} AS MATERIALIZED (SELECT climate, member, pfi_var, perm, orig_row_no, y * wide + x AS row_no FROM ({step}))"
+
+
 FEATURES = views.SCORED_FEATURES
+_START = f"""v_start AS (
+  SELECT climate, member, pfi_var, CAST(perm AS INT) AS perm, row_no AS orig_row_no, n,
+         {mixed_sql(f"({mixed_sql('(fs + ks) % ' + str(PRIME))} + perm * {SPREAD}) % {PRIME}")} AS s
+  FROM (SELECT climate, member, row_no, count(*) OVER (PARTITION BY climate, member) AS n,
+               ('0x'||substr(md5(concat_ws(':', '0', climate, member)),1,15))::BIGINT % {PRIME} AS ks FROM v_frows),
+       (VALUES {', '.join(f"('{f}', {text_seed(0, f)}::BIGINT)" for f in FEATURES)}) v(pfi_var, fs), range(1, {PERMS + 1}) t(perm)),
+"""
 PERM = f"""WITH {views.FEATURE_ROWS_SQL},
 v_id AS MATERIALIZED (SELECT *, concat_ws(':', climate, member, row_no) AS gid FROM v_frows),
-v_move AS MATERIALIZED (
-  SELECT climate, member, pfi_var, CAST(perm AS INT) AS perm, row_no AS orig_row_no,
-         row_number() OVER (PARTITION BY climate, member, pfi_var, perm
-                            ORDER BY md5(concat_ws(':', '0', pfi_var, perm, row_no)), row_no) - 1 AS row_no
-  FROM v_frows, (VALUES {', '.join(f"('{f}')" for f in FEATURES)}) v(pfi_var), range(1, {PERMS + 1}) t(perm)),
+{_START}{permuted_sql("v_move", "v_start")},
 v_perm AS (
   SELECT m.climate, m.member, m.pfi_var, m.perm, m.row_no, m.orig_row_no, b.row_key, b.label,
          {', '.join(f"CASE WHEN m.pfi_var = '{f}' THEN d.{f} ELSE b.{f} END AS {f}" for f in FEATURES)}
@@ -222,10 +290,12 @@ SELECT {group}, band, perm, orig_row_no FROM v_set s WHERE rn = 1 AND band IN ('
 
 
 def _cases(rows, kind):
-    # rescoring is the expensive part and is read twice: for the bands and for the cases
-    outcomes = checkpointed(_outcomes(rows))
+    # rescoring is the expensive part and is read twice, for the bands and for the cases: stored with one cell in place of probability, label and class
+    cells = checkpointed(_outcomes(rows).select(*KEYS, "pfi_var", "perm", "row_no", "orig_row_no", V.forecast_cell().cast("byte").alias("cell")))
+    counted = cells.groupBy(*KEYS, "pfi_var", "perm", "cell").agg(F.count(F.lit(1)).alias("w"))
+    bands = _bands(V.evaluate_cells(counted, [*KEYS, "pfi_var", "perm"]))
+    outcomes = cells.withColumn("outcome", F.get(F.array(*[F.lit(o) for o in V.OUTCOMES]), F.col("cell") % 4))
     original = views.linear_scorer(rows).withColumn("outcome", V.outcome_class())
-    bands = _bands(P.permutation_scores(outcomes, KEYS))
     return P.permutation_cases(outcomes, bands, original, KEYS, kind)
 
 
