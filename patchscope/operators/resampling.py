@@ -8,23 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchscope.functions.arrays import inside
 from patchscope.functions.hashing import draw_below, draw_int
 from patchscope.functions.mixing import PRIME, combined, with_closed, with_draw
 from patchscope.operators import verification as V
-from patchscope.operators.quantiles import percentiles_of_replicates, split_points, with_value_bucket
-from patchscope.operators.relational import GROUP, group_keys, names, small_side, spread, with_group
+from patchscope.operators.quantiles import PARTS, SKETCH, percentiles_of_replicates, with_value_bucket
+from patchscope.operators.relational import GROUP, group_keys, keyed_join, names, small_side, spread, with_group
 
 # Interval reported by the median table, replicates of the published results.
 INTERVAL = (0.025, 0.975)
 PUBLISHED_REPS = 1000
 # draws made by one row of work
 STRETCH = 1 << 16
-SAMPLE_PATCHES = 1000
-# few, because every replicate meets each patch once per bucket it touches
-PATCH_SPLITS = 64
 
 
 def replicate_ids(start: int, n: int):
@@ -162,7 +161,7 @@ def bootstrap_medians(
 ) -> DataFrame:
     """Median over all pixels of the drawn patches, per replicate: keys, ``rep``, ``median``.
 
-    Patches enter as value histograms over sampled split points. They locate the two
+    Patches enter as value histograms over split points that a sketch gives. They locate the two
     buckets that hold the middle ranks of each replicate; only pixels of those buckets
     are then weighted and ordered. Exact for any split points.
     """
@@ -172,10 +171,7 @@ def bootstrap_medians(
     pixels = patches.select(GROUP, row_no, F.explode(values).alias("__v"))
     pixels = pixels.withColumn("__v", F.nanvl(F.col("__v").cast("double"), missing)).filter("__v IS NOT NULL")
     if splits is None:
-        # any split points give the exact result, so a sample of patches is enough
-        share = min(1.0, SAMPLE_PATCHES / max(df.count(), 1))
-        few = patches.sample(share, seed=0).select(F.explode(values).alias("__v"))
-        splits = split_points(few.filter(~F.isnan("__v")), "__v", PATCH_SPLITS)
+        splits = middle_splits(pixels)
     pixels = with_value_bucket(pixels, "__v", splits)
     counted = pixels.groupBy(GROUP, row_no, "__bucket").agg(F.count(F.lit(1)).alias("__c"))
     weights = with_group(bootstrap_weights(df, keys, row_no, reps, seed, first_rep), keys).select(GROUP, row_no, "rep", "w")
@@ -205,12 +201,45 @@ def bootstrap_medians(
     return medians.select(*group_keys(keys), "rep", ((F.col("__a") + F.col("__b")) / 2).alias("median"))
 
 
+def middle_splits(pixels: DataFrame, value: str = "__v") -> list[float]:
+    """Split points from sketches: coarse in the tails, 0.2 % of all values apart around the median, where the replicates' medians lie.
+
+    Pools the groups, as any split points give the exact result; a few hundred numbers reach the driver.
+    """
+    ranks = sorted({*np.round(np.linspace(0.02, 0.98, 49), 3).tolist(), *np.round(np.linspace(0.4, 0.6, 101), 3).tolist()})
+    part = F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("__part")
+    sketches = pixels.groupBy(part).agg(F.kll_sketch_agg_double(value, F.lit(SKETCH)).alias("__s"))
+    row = sketches.agg(F.kll_merge_agg_double("__s").alias("__s")).select(F.kll_sketch_get_n_double("__s").alias("n"), "__s")
+    found = row.filter("n > 0").select(F.kll_sketch_get_quantile_double("__s", F.array(*[F.lit(q) for q in ranks])).alias("q")).first()
+    return sorted({float(v) for v in (found["q"] if found else []) if abs(v) != float("inf")})
+
+
 def bootstrap_median_interval(df: DataFrame, keys, row_no, values, reps, seed=0, interval=INTERVAL, splits=None) -> DataFrame:
     """Percentile interval of the resampled median."""
     medians = bootstrap_medians(df, keys, row_no, values, reps, seed, splits=splits)
     return percentiles_of_replicates(medians, keys, "median", interval)
 
 
+def feature_median_intervals(
+    patches: DataFrame, scaler: DataFrame, keys, row_no: str, features: Sequence[str], reps: int = PUBLISHED_REPS, seed=0,
+    mask: str | None = None, grams: Sequence[str] = (), interval=INTERVAL,
+) -> DataFrame:
+    """Interval of the resampled median of each feature in physical units: keys, ``feature``, ``q2_5``, ``q97_5``.
+
+    Patches hold standardised arrays; with ``mask`` only pixels in storms count. The ends are mapped
+    back by the scaler (``feature``, ``mean``, ``std``), features in ``grams`` times 1000.
+    Each feature is resampled on its own.
+    """
+    keys = names(keys)
+    values = lambda f: inside(f, mask, None) if mask else F.col(f)
+    long = patches.select(*keys, row_no, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), values(f).alias("__values")) for f in features])))
+    ends = bootstrap_median_interval(long, [*keys, "feature"], row_no, "__values", reps, seed, interval)
+    ends = keyed_join(ends, scaler.select("feature", "mean", "std"), ["feature"])
+    unit = F.when(F.col("feature").isin(list(grams)), 1000.0).otherwise(1.0)
+    quantiles = [c for c in ends.columns if c not in (*keys, "feature", "mean", "std")]
+    return ends.select(*keys, "feature", *[((F.col(q) * F.col("std") + F.col("mean")) * unit).alias(q) for q in quantiles])
+
+
 def envelope(df: DataFrame, keys: str | Iterable[str], columns: Sequence[str], interval: Sequence[float] | None = None) -> DataFrame:
     """Minimum and maximum of each column over replicates, or percentile bounds."""
     aggregates = []

@@ -8,6 +8,7 @@ from patchscope.functions.mixing import ADD, OTHER, PRIME, ROUNDS, SPREAD, SQUAR
 from patchscope.operators import curves as C
 from patchscope.operators import importance as P
 from patchscope.operators import resampling as R
+from patchscope.operators import scaling
 from patchscope.operators import verification as V
 from patchscope.operators.ranking import seeded_rank
 from patchscope.plans import views
@@ -142,6 +143,21 @@ def bootstrap_median_interval(spark, sf):
     return R.bootstrap_median_interval(_numbered_patches(spark, sf), ["climate"], "row_no", "values", GATHERED)
 
 
+@query(f"""WITH {views.PATCHES_SQL},
+v_pr AS (SELECT patch_id, climate, row_number() OVER (PARTITION BY climate ORDER BY md5('0:'||patch_id), patch_id) - 1 AS row_no, count(*) OVER (PARTITION BY climate) AS n FROM v_patch),
+v_pd AS (SELECT climate, rep, feature, ('0x'||substr(md5(concat_ws(':', '0', rep, climate, feature, row_no)),1,15))::BIGINT % n AS row_no
+  FROM v_pr, range(1, {GATHERED + 1}) t(rep), (VALUES ('values'), ('mirror')) f(feature)),
+v_med AS (SELECT d.climate, d.feature, d.rep, median(CASE d.feature WHEN 'values' THEN x.v ELSE x.r * 1000 END) AS median
+  FROM v_pd d JOIN v_pr p USING (climate, row_no) JOIN v_px x ON x.patch_id = p.patch_id WHERE x.m GROUP BY ALL)
+SELECT climate, feature, {r('quantile_cont(median, 0.025)', 'q2_5')}, {r('quantile_cont(median, 0.975)', 'q97_5')} FROM v_med GROUP BY climate, feature""")
+def feature_median_intervals(spark, sf, reps=GATHERED):
+    """Resampled in-storm medians per climate and feature, from standardised arrays back to physical units."""
+    p = views.patches(spark, sf).select("patch_id", "climate", "values", "mirror", "mask")
+    scaler = scaling.fit_scaler(p, None, ["values", "mirror"])
+    numbered = seeded_rank(scaling.apply_scaler(p, scaler, ["values", "mirror"]), "patch_id", 0, by=["climate"], out="rk").withColumn("row_no", F.col("rk") - 1)
+    return R.feature_median_intervals(numbered, scaler, ["climate"], "row_no", ["values", "mirror"], reps, mask="mask", grams=["mirror"])
+
+
 # --- permutation importance ---------------------------------------------------------------
 
 
