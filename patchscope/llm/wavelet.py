@@ -13,6 +13,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -169,8 +170,8 @@ class PieceEncoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self.mark = self._plain(MARK)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = Recent(self._fill)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces = Recent(self._fill, 700_000)
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -188,14 +189,30 @@ class PieceEncoder:
                 out += [np.array(self._plain(x.decode()), "<u2").tobytes() for x in block]
         return out
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 16-bit integers."""
-        if not text:
-            return b""
-        data = text.encode()
-        if any(s in data for s in self.special):  # a special token can stand inside white space rules of its own
-            return np.array(self._plain(text), "<u2").tobytes()
-        return b"".join(self.pieces.look_up(data.split()))
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 16-bit integers; each distinct piece of all texts is looked up once."""
+        split = [(t or "").encode().split() for t in texts]
+        pieces = list(set().union(*split))
+        of = dict(zip(pieces, self.pieces.look_up(pieces))).__getitem__
+        out = [b"".join(map(of, own)) for own in split]
+        for i, text in enumerate(texts):
+            if text and any(s in text for s in self.special):  # a special token can stand inside white space rules of its own
+                out[i] = np.array(self._plain(text), "<u2").tobytes()
+        return out
+
+
+def in_blocks(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[str | None]]:
+    """Texts in order, in lists of about ``size`` characters."""
+    held, chars = [], 0
+    for value in texts:
+        text = value.as_py()
+        held.append(text)
+        chars += len(text or "")
+        if chars >= size:
+            yield held
+            held, chars = [], 0
+    if held:
+        yield held
 
 
 def piece_encoder(path: str) -> PieceEncoder:
@@ -223,8 +240,9 @@ def write(docs: DataFrame, path: str, end_id: int = 1, folder: str | None = None
                 "n_docs": pa.array([len(held)], pa.int64()), "n_tokens": pa.array([size], pa.int64()), "payload": pa.array([pack(held)], pa.binary())})
 
         for batch in batches:
-            for i, value in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = own.encode(value.as_py()) + end
+            encoded = (ids for block in in_blocks(batch.column("text")) for ids in own.encode(block))
+            for i, ids in zip(batch.column("doc_id").to_pylist(), encoded):
+                ids += end
                 held.append((i, ids))
                 size += len(ids) // 2
                 if size >= shard_tokens:
