@@ -17,14 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchscope.llm.common import attach
+from patchscope.llm.common import attach, release
 from patchscope.llm.hosts import host
 from patchscope.session import checkpointed
 
 #: Elements by name (fixed values of the HTML standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title noscript template iframe noembed noframes object svg math canvas audio video map datalist".split())
+UNSEEN = frozenset("head script style title noscript template iframe noembed noframes object svg canvas audio video map datalist".split())
 FURNITURE = frozenset("nav footer aside form button select textarea input dialog menu fieldset".split())
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
 header hgroup hr html li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul""".split())
@@ -44,13 +44,14 @@ comment comments disqus replies respond pagination pager skip""".split())
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WORDS = re.compile(r"[a-z]+")
-WHITE = re.compile(r"\s+")
 
 #: A subtree is a template if it is on this many pages of a host and on this share of them; hosts of fewer than twice as many pages need half of theirs, LEAST_PAGES at least.
 MIN_PAGES, MIN_SHARE = 10, 0.01
 LEAST_PAGES = 3
 #: The same inside an article, where copied passages recur too.
 INSIDE_PAGES, INSIDE_SHARE = 4, 0.8
+#: Pages (name and template lists) that are broadcast at most when they are parsed again.
+BROADCAST_PAGES = 20_000
 #: Kinds of candidates: outside the article, inside, and inside with a class that ends in a furniture word.
 OUTSIDE, INSIDE, MARKED = 0, 1, 2
 
@@ -168,7 +169,7 @@ def weigh(root: Element) -> None:
     for node in reversed(list(flat(root))):
         inner = [c for c in node.children if isinstance(c, Element)]
         seen = node.name not in UNSEEN
-        node.size = sum(c.size for c in inner) + sum(len(WHITE.sub(" ", c).strip()) for c in node.children if isinstance(c, str)) if seen else 0
+        node.size = sum(c.size for c in inner) + sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str)) if seen else 0
         node.main = seen and (node.name in ("article", "main", "h1") or any(c.main for c in inner))
 
 
@@ -210,17 +211,23 @@ def subtree_hashes(root: Element) -> dict[int, int]:
     """Hash of each element's subtree (names, marks and texts), by the element's identity."""
     out: dict[int, int] = {}
     for node in reversed(list(flat(root))):
-        parts = [f"{out[id(c)]:x}" if isinstance(c, Element) else WHITE.sub(" ", c).strip() for c in node.children]
+        parts = [f"{out[id(c)]:x}" if isinstance(c, Element) else " ".join(c.split()) for c in node.children]
         out[id(node)] = xxhash.xxh64_intdigest("\x1f".join([node.name, node.marks, *filter(None, parts)])) - (1 << 63)
     return out
 
 
-def candidates(page: str | None) -> list[tuple[int, int, int]]:
-    """(hash, kind, hash of the articles, or 0 outside) of the distinct subtrees that may be templates; inside the article blocks with text, but for what holds an h1 or most of the text."""
+def first_look(page: str | None) -> tuple[str, bool, list[tuple[int, int, int]]]:
+    """Text without any templates, whether all of the page is the main part, and the subtrees that may be templates, from one parse."""
     if not page:
-        return []
+        return "", True, []
     root = parse(page)
-    main, hashes = main_nodes(root), subtree_hashes(root)
+    main = main_nodes(root)
+    return _text(main, {}, set(), set()), main == [root], candidates(root, main)
+
+
+def candidates(root: Element, main: list[Element]) -> list[tuple[int, int, int]]:
+    """(hash, kind, hash of the articles, or 0 outside) of the distinct subtrees that may be templates; inside the article blocks with text, but for what holds an h1 or most of the text."""
+    hashes = subtree_hashes(root)
     tops = {id(m) for m in main if m is not root}
     around = set()
     for m in main:
@@ -280,7 +287,7 @@ def _text(mains: list[Element], hashes: dict[int, int], templates: set[int], ins
         return bool(known) and hashes[id(node)] in known and not (article and holds_main(node))
 
     def end():
-        text = WHITE.sub(" ", "".join(line)).strip()
+        text = " ".join("".join(line).split())
         if text:
             blocks.append(text)
         line.clear()
@@ -306,19 +313,40 @@ def _text(mains: list[Element], hashes: dict[int, int], templates: set[int], ins
     return "\n".join(blocks)
 
 
-def template_counts(pages: DataFrame) -> DataFrame:
-    """(host, hash, kind, n_pages) of candidate subtrees over all pages; equal rows count each, but equal articles once for what they hold."""
+def first_pass(pages: DataFrame) -> DataFrame:
+    """Every page parsed once: page_id, url, __host, __h (of the html), text, __whole, and the hashes of candidates in three lists with the articles' hash. Stored."""
 
     def run(batches):
+        release()
         for batch in batches:
-            found = [candidates(p.as_py()) for p in batch.column("html")]
-            hosts = [h for h, x in zip(batch.column("host").to_pylist(), found) for _ in x]
-            hashes, kinds, articles = ([c[k] for x in found for c in x] for k in (0, 1, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(kinds, pa.int32()), pa.array(articles, pa.int64())], ["host", "hash", "kind", "article"])
+            looks = [first_look(p.as_py()) for p in batch.column("html")]
+            lists = [[[h for h, k, _ in found if k == kind] for _, _, found in looks] for kind in (OUTSIDE, INSIDE, MARKED)]
+            articles = [next((a for _, k, a in found if k != OUTSIDE), 0) for _, _, found in looks]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("page_id", "url", "__host", "__h")), pa.array([t for t, _, _ in looks], pa.string()), pa.array([w for _, w, _ in looks]),
+                 *(pa.array(x, longs) for x in lists), pa.array(articles, pa.int64())], ["page_id", "url", "__host", "__h", "text", "__whole", *LISTS, "__article"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {kind}, url string, __host string, __h long, text string, __whole boolean, {', '.join(f'{c} array<long>' for c in LISTS)}, __article long"
+    return checkpointed(named(pages).mapInArrow(run, schema))
+
+
+def named(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, the host and a hash of the html: with the page_id the row's name; rows of one name are alike."""
+    return pages.select("page_id", "url", "html", host(F.col("url")).alias("__host"), F.xxhash64("url", "html").alias("__h"))
+
 
-    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, hash long, kind int, article long")
+#: Candidates outside the articles, inside, and inside with a furniture class.
+LISTS = ("__outer", "__inner", "__marked")
+
+
+def template_counts(looked: DataFrame) -> DataFrame:
+    """(host, hash, kind, n_pages) of candidate subtrees over all pages; equal rows count each, but equal articles once for what they hold."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("hashes")) for k, c in zip((OUTSIDE, INSIDE, MARKED), LISTS)])
+    rows = looked.select(F.col("__host").alias("host"), F.col("__article").alias("article"), F.inline(kinds)).select("host", "article", "kind", F.explode("hashes").alias("hash"))
     return rows.groupBy("host", "hash", "kind").agg(
-        F.count("*").alias("__all"), F.count_distinct("article").alias("__articles")).select(
+        F.count("*").alias("__all"), F.count_distinct(F.when(F.col("kind") != OUTSIDE, F.col("article"))).alias("__articles")).select(
         "host", "hash", "kind", F.when(F.col("kind") == OUTSIDE, F.col("__all")).otherwise(F.col("__articles")).alias("n_pages"))
 
 
@@ -331,10 +359,12 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     articles of a site share are text, not template, unless a class ends in a word of
     furniture; an h1 or most of the text never goes. NULL or empty html gives empty text;
     pages without host share the empty host. Repeated rows stay and count each; an empty
-    table gives none; other columns are not read.
+    table gives none; other columns are not read. Every page is parsed once; those that hold a
+    template of their host in the main part are read and parsed again.
     """
+    looked = first_pass(pages)
     sizes = pages.groupBy(host(F.col("url")).alias("host")).agg(F.count("*").alias("__rows"))
-    counts = template_counts(pages).where(F.col("n_pages") >= min(min_pages, LEAST_PAGES))
+    counts = template_counts(looked).where(F.col("n_pages") >= min(min_pages, LEAST_PAGES))
     # templates of a host: at most (subtrees of a page) / min_share
     n, rows = F.col("n_pages"), F.col("__rows")
     enough = F.greatest(F.least(F.lit(min_pages), F.ceil(rows / 2)), F.lit(min(min_pages, LEAST_PAGES)))
@@ -346,8 +376,18 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
         F.collect_list(F.when(kind == OUTSIDE, F.col("hash"))).alias("__templates"),
         F.collect_set(F.when(kind != OUTSIDE, F.col("hash"))).alias("__inside"), F.first("__rows").alias("__rows"))
     lists = checkpointed(lists)
-    rows = pages.select("page_id", "url", "html").withColumn("__host", host(F.col("url")))
-    rows = attach(rows, lists.withColumnRenamed("host", "__host"), ["__host"], "__rows", "page_id")
+    known = attach(looked, lists.withColumnRenamed("host", "__host"), ["__host"], "__rows", "page_id")
+    holds = lambda found, wanted: F.coalesce(F.arrays_overlap(found, wanted), F.lit(False))
+    changes = (F.col("__whole") & holds("__outer", "__templates")) | holds("__inner", "__inside") | holds("__marked", "__inside")
+    again = checkpointed(known.where(changes).select("page_id", "__h", "__templates", "__inside").distinct())
+    name = ["page_id", "__h"]
+    if not again.take(1):
+        return looked.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    same = lambda left: [left["page_id"].eqNullSafe(again["page_id"]), left["__h"] == again["__h"]]
+    again = F.broadcast(again) if again.count() <= BROADCAST_PAGES else again
+    settled = looked.join(again.select(*name), same(looked), "left_anti").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    source = named(pages)
+    rows = source.join(again, same(source)).select(source["page_id"], "url", "html", "__templates", "__inside")
 
     def run(batches):
         for batch in batches:
@@ -355,4 +395,4 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.select("page_id", "url", "html", "__templates", "__inside").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return settled.union(rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long"))
