@@ -32,8 +32,8 @@ TREE_SIZE = 2048
 FRONTIER = 1 << 20
 #: At a Jaccard similarity of 0.8 about 10 of 64 bits differ, with a deviation of about 3; this is far in the tail.
 WIDE_RADIUS = 24
-#: Documents sampled for common shingles, on average; how many of them hold a common one; how many are listed.
-SAMPLE_DOCS, COMMON_DOCS, COMMON = 20_000, 20, 100_000
+#: Documents sampled for common shingles: one in SAMPLE_SHARE, SAMPLE_DOCS at least; how many of them hold a common one; how many are listed at most (8 bytes each).
+SAMPLE_SHARE, SAMPLE_DOCS, COMMON_DOCS, COMMON = 50, 20_000, 3, 400_000
 #: Ids of candidates that are broadcast at most.
 BROADCAST_IDS = 500_000
 
@@ -240,6 +240,7 @@ def set_name(grams: np.ndarray) -> int:
 def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     """Shingles that many documents of a bounded sample hold; the choice steers the work and never changes the result."""
     total = docs.count()
+    wanted = max(SAMPLE_DOCS, total // SAMPLE_SHARE)
 
     def run(batches):
         release()
@@ -247,16 +248,30 @@ def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
             found = [shingles(t.as_py(), shingle) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["gram"])
 
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) * F.lit(float(total)) < float(SAMPLE_DOCS << 20)
-    counts = docs.select("doc_id", "text").where(drawn).select("text").mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n"))
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) * F.lit(float(total)) < float(wanted << 20)
+    drawn_texts = docs.select("doc_id", "text").where(drawn).select("text").distinct()  # copies of one text are one set
+    counts = drawn_texts.mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n"))
     rows = counts.where(F.col("n") >= COMMON_DOCS).orderBy(F.desc("n"), "gram").limit(COMMON).collect()
     return np.sort(np.array([r["gram"] for r in rows], np.int64).view(np.uint64))
 
 
+def commonest(group: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """For each row the label that most rows of its group have; groups come in order."""
+    order = np.lexsort((label, group))
+    g, own = group[order], label[order]
+    starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (own[1:] != own[:-1])])
+    counts = np.diff(np.r_[starts, len(g)])
+    best = np.lexsort((counts, g[starts]))  # the last run of each group is its longest
+    last = best[np.r_[g[starts][best][1:] != g[starts][best][:-1], True]]
+    return own[starts[last]][np.searchsorted(g[starts[last]], group)]
+
+
 def candidates(shared: DataFrame, similarity: float, radius: int, turn: int | None) -> DataFrame:
     """Distinct pairs (a, b) of unlike labels that share a key, lie within the radius and have sizes that allow the similarity.
 
     With a ``turn`` each member of a key meets only the first of its key, in the hash order of that turn.
+    Without, the members with the commonest label of a key wait in its tree and only the others ask, so a
+    group that is nearly one component costs its size times what is not joined yet.
     """
     partitions = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = F.xxhash64("node", F.lit(turn or 0))
@@ -279,7 +294,8 @@ def candidates(shared: DataFrame, similarity: float, radius: int, turn: int | No
                 forest = Forest(group[rows], fp[rows])
                 roots = np.zeros(len(starts), np.int64)
                 roots[group[rows][forest.roots]] = forest.roots
-                found = ((rows[q], rows[m]) for q, m in forest.search(fp[rows], roots[group[rows]], radius))
+                asking = rows[label[rows] != commonest(group[rows], label[rows])]
+                found = ((asking[q], rows[m]) for q, m in forest.search(fp[asking], roots[group[asking]], radius))
         kept = []
         for a, b in found:
             small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
@@ -329,7 +345,7 @@ def verified(docs: DataFrame, names: DataFrame, pairs: DataFrame, shingle: int,
     return both.where(F.size(F.array_intersect("__a", "__b")) >= least).select("a", "b")
 
 
-def similar_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, turns: int = 2) -> DataFrame:
+def similar_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, turns: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay if texts of a Jaccard similarity of ``similarity`` or more, on sets of shingles, are linked.
 
     Of each component those with its smallest doc_id stay; rows with the same id stay together.
@@ -370,7 +386,12 @@ def similar_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
         labelled = shared.join(moved.toDF("__node", "label"), F.col("node") == F.col("__node"), "left").drop("__node")
         labelled = labelled.withColumn("label", F.coalesce("label", "node"))
         pairs = checkpointed(candidates(labelled, similarity, radius, turn))
-        joined = joined.union(checkpointed(verified(docs, names, pairs, shingle, similarity)))
+        if not pairs.take(1):
+            continue
+        linked = checkpointed(verified(docs, names, pairs, shingle, similarity))
+        if not linked.take(1):
+            continue
+        joined = joined.union(linked)
         moved = checkpointed(components(joined))
     labels = names.join(moved, "node", "left").withColumn("label", F.coalesce("label", "node"))
     kept = labels.groupBy("label").agg(F.min("first").alias("__id")).select("__id").distinct()
