@@ -49,6 +49,21 @@ class Recent:
         return [new[k] for k in keys]
 
 
+    def hold(self, keys: set) -> dict:
+        """The values of ``keys``, which are distinct already; a table of its own, smaller than the memo."""
+        if len(self.new) >= self.limit:
+            self.old, self.new = self.new, {}
+        out = dict(zip(keys, map(self.new.get, keys)))
+        missing = [k for k, v in out.items() if v is None]
+        back = {k: v for k in missing if (v := self.old.get(k)) is not None}
+        lacking = [k for k in missing if k not in back]
+        if lacking:
+            back.update(zip(lacking, self.fill(lacking)))
+        self.new.update(back)
+        out.update(back)
+        return out
+
+
 _state: list = [None, None]
 
 

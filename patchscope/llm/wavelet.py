@@ -10,6 +10,7 @@ committed by Spark, live in any store Spark writes to, and one row is one readab
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -28,6 +29,12 @@ MAGIC = b"WVM1"
 BLOCK = 512
 SHARD_TOKENS = 1 << 19
 MARK = "\x00"
+#: Latin letters that normal form C keeps and whose lower case is one letter, with ASCII marks (no apostrophe) before and after.
+PLAIN = re.compile("([-.,;:!?|()*\"]*)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([-.,;:!?|()*\"]*)")
+#: Bytes as the printable characters of byte-level tokenizers: themselves where printable, else 256 and up in order.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {b: b if b in _SHOWN else 256 + sum(x not in _SHOWN for x in range(b)) for b in range(256)}
+SAMPLE = ("The", "résumé", "ÉTÉ", "straße", "ČESKÁ", "naïve", "Zażółć", "a", "I", "internationalization", "œuvre", "(end).", "what?!", "--x|")
 SHARD_SCHEMA = "part int, shard int, first_doc long, n_docs long, n_tokens long, payload binary"
 
 
@@ -170,6 +177,12 @@ class PieceEncoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self.mark = self._plain(MARK)
+        # the short way holds for tokenizers that lower-case, split at letters and map bytes; others fail this comparison
+        self.letters = False
+        sample = [w.encode() for w in SAMPLE]
+        whole = self._whole(sample)
+        self.letters = True
+        self.letters = self._fill(sample) == whole
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = Recent(self._fill, 700_000)
 
@@ -177,6 +190,28 @@ class PieceEncoder:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _fill(self, new: list[bytes]) -> list[bytes]:
+        """Words of plain letters, with marks around them, go to the model as the pre-tokenizer would hand them over, the others through the whole tokenizer."""
+        tokenize, known, others, marks = self.tokenizer.model.tokenize, {}, [], {"": b""}
+
+        def ids(word: str) -> bytes:
+            found = [t.id for t in tokenize(word)]
+            return struct.pack(f"<{len(found)}H", *found)
+
+        for piece in new:
+            found = PLAIN.fullmatch(piece.decode()) if self.letters else None
+            if found is None:
+                others.append(piece)
+                continue
+            before, word, after = found.groups()
+            for mark in (before, after):
+                if mark not in marks:
+                    marks[mark] = ids(mark)
+            word = word.lower()
+            known[piece] = marks[before] + ids(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LEVEL)) + marks[after]
+        known.update(zip(others, self._whole(others)))
+        return [known[k] for k in new]
+
+    def _whole(self, new: list[bytes]) -> list[bytes]:
         out = []
         for start in range(0, len(new), 20_000):
             block = new[start : start + 20_000]
@@ -192,8 +227,7 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 16-bit integers; each distinct piece of all texts is looked up once."""
         split = [(t or "").encode().split() for t in texts]
-        pieces = list(set().union(*split))
-        of = dict(zip(pieces, self.pieces.look_up(pieces))).__getitem__
+        of = self.pieces.hold(set().union(*split)).__getitem__
         out = [b"".join(map(of, own)) for own in split]
         for i, text in enumerate(texts):
             if text and any(s in text for s in self.special):  # a special token can stand inside white space rules of its own
