@@ -218,14 +218,33 @@ def _any(conditions: Sequence[Column]) -> Column:
     return result
 
 
+def _all(conditions: Sequence[Column]) -> Column:
+    result = conditions[0]
+    for c in conditions[1:]:
+        result = result & c
+    return result
+
+
 def apply_mask(patches: DataFrame, columns: Sequence[str], mask: str = "mask", fill=0.0) -> DataFrame:
     """Replace pixels outside the storm by ``fill`` (None: missing)."""
     return patches.withColumns({c: A.inside(c, mask, fill) for c in columns})
 
 
-def training_frame(sources: Sequence[DataFrame], features: Sequence[str], on: str = "patch_id") -> DataFrame:
-    """Concatenate variables per patch and remove incomplete rows; the label comes from one source."""
-    return drop_incomplete(assemble_environment(sources, on), features)
+def training_frame(sources: Sequence[DataFrame], features: Sequence[str], on: str = "patch_id", label: str | None = None) -> DataFrame:
+    """Concatenate variables per patch and remove incomplete rows.
+
+    With ``label`` every source carries it; the first one's is kept, and a patch whose
+    sources disagree (NULL against a value included) fails.
+    """
+    if label is None:
+        return drop_incomplete(assemble_environment(sources, on), features)
+    first, *rest = sources
+    others = [f"__{label}_{i}" for i in range(len(rest))]
+    frame = assemble_environment([first, *(s.withColumnRenamed(label, o) for s, o in zip(rest, others))], on)
+    unequal = F.raise_error(F.concat(F.lit("sources disagree on the label of "), F.col(on).cast("string"))).cast(first.schema[label].dataType)
+    if others:
+        frame = frame.withColumn(label, F.when(~_all([F.col(label).eqNullSafe(F.col(o)) for o in others]), unequal).otherwise(F.col(label)))
+    return drop_incomplete(frame.drop(*others), features)
 
 
 # --- features and extremes ------------------------------------------------------------

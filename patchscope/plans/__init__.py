@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("verification", "resampling", "split", "patch", "field", "model")
+FAMILIES = ("verification", "resampling", "split", "patch", "field", "model", "result")
 
 
 def all_queries():

@@ -37,16 +37,16 @@ def mixed_sql(t: str) -> str:
     return f"(((({t}) * ({t})) % {PRIME}) * {SQUARE} + {ADD}) % {PRIME}"
 
 
-def cell_boot_sql(cell: str, prob: str, label: str, reps: int) -> str:
-    """Draws on numbered cells: v_boot has climate, member, rep, cell, w, and prob and label of the cell."""
+def cell_boot_sql(cell: str, prob: str, label: str, reps: int, views_sql: str = f"WITH {views.FORECAST_SQL}", source: str = "v_forecast") -> str:
+    """Draws on numbered cells: v_boot has climate, member (the keys), rep, cell, w, and prob and label of the cell."""
     draws = f"""SELECT *, unnest(range(total)) AS slot FROM (
       SELECT *, {mixed_sql(f"({mixed_sql('ks')} + rep * {SPREAD}) % {PRIME}")} AS s
       FROM (SELECT DISTINCT climate, member, total, ('0x'||substr(md5(concat_ws(':', '0', climate, member)),1,15))::BIGINT % {PRIME} AS ks FROM v_cum), range(1, {reps + 1}) t(rep))"""
     draws = f"SELECT *, (slot % {PRIME} * {SPREAD} + s + {OTHER}) % {PRIME} AS h, (slot % {PRIME} * {OTHER} + s + {2 * OTHER}) % {PRIME} AS l FROM ({draws})"
     for _ in range(2):
         draws = f"SELECT * REPLACE ({mixed_sql('h')} AS h, {mixed_sql('l')} AS l) FROM ({draws})"
-    return f"""WITH {views.FORECAST_SQL},
-v_cells AS (SELECT climate, member, {cell} AS cell, count(*) AS n FROM v_forecast GROUP BY ALL),
+    return f"""{views_sql},
+v_cells AS (SELECT climate, member, {cell} AS cell, count(*) AS n FROM {source} GROUP BY ALL),
 v_cum AS (SELECT climate, member, cell, CAST(sum(n) OVER (PARTITION BY climate, member ORDER BY cell) AS BIGINT) - n AS lo,
                  CAST(sum(n) OVER (PARTITION BY climate, member) AS BIGINT) AS total FROM v_cells),
 v_drawn AS (SELECT climate, member, rep, (h * {1 << 31} + l) % total AS draw FROM ({draws})),
@@ -56,9 +56,11 @@ v_boot AS MATERIALIZED (SELECT *, {prob} AS prob, {label} AS label FROM (
 
 
 # cells: reliability bin * 4 + outcome (tp, fp, fn, tn)
-BOOT = cell_boot_sql(
+BIN_CELLS = (
     "least(CAST(floor(round(prob / 0.05::DOUBLE, 9)) AS INT), 20) * 4 + CASE WHEN prob >= 0.5 THEN 1 - label ELSE 3 - label END",
-    "(cell // 4) * 0.05::DOUBLE + 0.025::DOUBLE", "CAST(cell % 4 IN (0, 2) AS INT)", REPS)
+    # the centre of the bin, but just under 0.5 (in the same bin, by its slack) for what was not forecast there
+    "CASE WHEN cell // 4 = 10 AND cell % 4 >= 2 THEN 0.49999999999::DOUBLE ELSE (cell // 4) * 0.05::DOUBLE + 0.025::DOUBLE END", "CAST(cell % 4 IN (0, 2) AS INT)")
+BOOT = cell_boot_sql(*BIN_CELLS, REPS)
 
 
 def _threshold_cell_sql(n: int) -> str:
@@ -177,16 +179,22 @@ def permuted_sql(out: str, source: str) -> str:
 
 
 FEATURES = views.SCORED_FEATURES
-_START = f"""v_start AS (
+
+
+def start_sql() -> str:
+    """v_start: every (row, feature, permutation) of v_frows with its seed and the size of its key."""
+    return f"""v_start AS (
   SELECT climate, member, pfi_var, CAST(perm AS INT) AS perm, row_no AS orig_row_no, n,
          {mixed_sql(f"({mixed_sql('(fs + ks) % ' + str(PRIME))} + perm * {SPREAD}) % {PRIME}")} AS s
   FROM (SELECT climate, member, row_no, count(*) OVER (PARTITION BY climate, member) AS n,
                ('0x'||substr(md5(concat_ws(':', '0', climate, member)),1,15))::BIGINT % {PRIME} AS ks FROM v_frows),
        (VALUES {', '.join(f"('{f}', {text_seed(0, f)}::BIGINT)" for f in FEATURES)}) v(pfi_var, fs), range(1, {PERMS + 1}) t(perm)),
 """
+
+
 PERM = f"""WITH {views.FEATURE_ROWS_SQL},
 v_id AS MATERIALIZED (SELECT *, concat_ws(':', climate, member, row_no) AS gid FROM v_frows),
-{_START}{permuted_sql("v_move", "v_start")},
+{start_sql()}{permuted_sql("v_move", "v_start")},
 v_perm AS (
   SELECT m.climate, m.member, m.pfi_var, m.perm, m.row_no, m.orig_row_no, b.row_key, b.label,
          {', '.join(f"CASE WHEN m.pfi_var = '{f}' THEN d.{f} ELSE b.{f} END AS {f}" for f in FEATURES)}

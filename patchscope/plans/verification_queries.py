@@ -152,9 +152,9 @@ def member_means(spark, sf):
 
 
 @query(f"""{FC} SELECT climate, {r('Threshold', 'Threshold')}, {r('avg(POD)', 'POD')}, {r('avg(FAR)', 'FAR')}
-FROM (SELECT {K}, Threshold, {SWEEP_RAW} FROM ({sweep_sql('v_forecast', K, 1000)})) GROUP BY climate, Threshold""")
+FROM (SELECT {K}, Threshold, {SWEEP_RAW} FROM ({sweep_sql('v_forecast', K)})) GROUP BY climate, Threshold""")
 def curve_mean(spark, sf):
-    sweep = V.threshold_sweep(views.forecast(spark, sf), KEYS, n=1000)
+    sweep = V.threshold_sweep(views.forecast(spark, sf), KEYS)
     return C.curve_mean(sweep, ["climate", "Threshold"], ["POD", "FAR"])
 
 
@@ -168,12 +168,12 @@ _inv = lambda x: f"CASE WHEN {x} = 0 THEN NULL ELSE 1 / {x} END"
 
 @query(f"""{FC} SELECT climate, {r('Threshold', 'Threshold')}, {r('sr', 'success_ratio')}, {r('pod', 'POD')},
   {r(f"CASE WHEN ({_inv('sr')}) + ({_inv('pod')}) - 1 = 0 THEN NULL ELSE 1 / (({_inv('sr')}) + ({_inv('pod')}) - 1) END", 'csi')}, {r(div('pod', 'sr'), 'bias')},
-  Threshold <= 1 AND round(Threshold * 999) IN (900, 700, 500, 300, 100) AS marked
+  Threshold <= 1 AND round(Threshold * 9999) IN (9000, 7000, 5000, 3000, 1000) AS marked
 FROM (SELECT climate, Threshold, avg(1 - FAR) AS sr, avg(POD) AS pod
-      FROM (SELECT {K}, Threshold, {SWEEP_RAW} FROM ({sweep_sql('v_forecast', K, 1000)})) GROUP BY climate, Threshold)""")
+      FROM (SELECT {K}, Threshold, {SWEEP_RAW} FROM ({sweep_sql('v_forecast', K)})) GROUP BY climate, Threshold)""")
 def performance_diagram(spark, sf):
-    sweep = V.threshold_sweep(views.forecast(spark, sf), KEYS, n=1000)
-    return C.performance_diagram(sweep, ["climate"], n=1000)
+    sweep = V.threshold_sweep(views.forecast(spark, sf), KEYS)
+    return C.performance_diagram(sweep, ["climate"])
 
 
 @query(f"""{FC}, cur AS ({curve_sql('v_forecast', K)}),
@@ -185,7 +185,7 @@ def attributes_diagram(spark, sf):
     return C.attributes_diagram(V.reliability_curve(views.forecast(spark, sf), KEYS), ["climate"])
 
 
-@query(f"""{FC}, pts AS (SELECT climate, avg(1 - FAR) AS x, avg(POD) AS y FROM (SELECT {K}, Threshold, {SWEEP_RAW} FROM ({sweep_sql('v_forecast', K, 100)}))
+@query(f"""{FC}, pts AS (SELECT climate, avg(1 - FAR) AS x, avg(POD) AS y FROM (SELECT {K}, Threshold, {SWEEP_RAW} FROM ({sweep_sql('v_forecast', K)}))
         GROUP BY climate, Threshold),
 seg AS (SELECT climate, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, row_number() OVER w AS rn FROM pts WINDOW w AS (PARTITION BY climate ORDER BY x, y)),
 grid AS (SELECT i * 0.01::DOUBLE AS gx FROM range(0, 100) t(i))
@@ -193,7 +193,7 @@ SELECT climate, {r('gx', 'grid_x')}, {r('CASE WHEN x1 IS NULL OR gx <= x THEN y
 FROM grid, seg WHERE (gx >= x OR rn = 1) AND (gx < x1 OR x1 IS NULL)""")
 def interpolated_curve(spark, sf):
     """POD on an even grid of success ratios, clamped at the ends."""
-    sweep = V.threshold_sweep(views.forecast(spark, sf), KEYS, n=100)
+    sweep = V.threshold_sweep(views.forecast(spark, sf), KEYS)
     mean = sweep.groupBy("climate", "Threshold").agg(F.avg(1 - F.col("FAR")).alias("sr"), F.avg("POD").alias("pod"))
     return C.interpolate_curve(mean, ["climate"], "sr", "pod", 0.0, 1.0, 0.01)
 
