@@ -29,7 +29,7 @@ PAIRS = tuple(itertools.combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS))
 #: Fingerprints of a tree at most; larger shards become several trees, each searched by all of the shard.
 TREE_SIZE = 2048
 #: (query, node) pairs looked at in one numpy step.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 18
 #: At a Jaccard similarity of 0.8 about 10 of 64 bits differ, with a deviation of about 3; this is far in the tail.
 WIDE_RADIUS = 24
 #: Documents sampled for common shingles: one in SAMPLE_SHARE, SAMPLE_DOCS at least; how many of them hold a common one; how many are listed at most (8 bytes each).
@@ -255,6 +255,13 @@ def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(np.array([r["gram"] for r in rows], np.int64).view(np.uint64))
 
 
+def among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which values are in an ascending list."""
+    if not len(listed):
+        return np.zeros(len(values), bool)
+    return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
+
+
 def commonest(group: np.ndarray, label: np.ndarray) -> np.ndarray:
     """For each row the label that most rows of its group have; groups come in order."""
     order = np.lexsort((label, group))
@@ -277,7 +284,7 @@ def candidates(shared: DataFrame, similarity: float, radius: int, turn: int | No
     order = F.xxhash64("node", F.lit(turn or 0))
     dealt = shared.withColumn("__order", order).repartition(partitions, "key").sortWithinPartitions("key", "__order", "node").drop("__order")
 
-    def work(table: pa.Table) -> pa.RecordBatch:
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         key, node, fp, size, label = (table.column(c).to_numpy() for c in ("key", "node", "fp", "size", "label"))
         fp = fp.view(np.uint64)
         first = np.r_[True, key[1:] != key[:-1]]
@@ -296,14 +303,12 @@ def candidates(shared: DataFrame, similarity: float, radius: int, turn: int | No
                 roots[group[rows][forest.roots]] = forest.roots
                 asking = rows[label[rows] != commonest(group[rows], label[rows])]
                 found = ((asking[q], rows[m]) for q, m in forest.search(fp[asking], roots[group[asking]], radius))
-        kept = []
-        for a, b in found:
+        for a, b in found:  # each block of pairs goes on by itself, so a large key needs no room for all of its pairs
             small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
             fits = (label[a] != label[b]) & (small >= similarity * large - 1e-9) & (np.bitwise_count(fp[a] ^ fp[b]) <= radius)
             a, b = node[a[fits]], node[b[fits]]
-            kept.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
-        pairs = np.unique(np.concatenate(kept), axis=0) if kept else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def run(batches):
         release()
@@ -312,16 +317,16 @@ def candidates(shared: DataFrame, similarity: float, radius: int, turn: int | No
             key = batch.column("key").to_numpy()
             border = np.flatnonzero(key[1:] != key[:-1])
             if held and len(key) and held[-1].column("key")[-1].as_py() != key[0]:
-                yield work(pa.Table.from_batches(held))
+                yield from work(pa.Table.from_batches(held))
                 held = []
             if len(border):  # the last key may go on in the next batch
                 cut = int(border[-1]) + 1
-                yield work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                yield from work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held, batch = [], batch.slice(cut)
             if batch.num_rows:
                 held.append(batch)
         if held:
-            yield work(pa.Table.from_batches(held))
+            yield from work(pa.Table.from_batches(held))
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -367,7 +372,7 @@ def similar_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
                 n = len(grams)
                 ones = np.unpackbits(grams.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) if n else np.zeros(64, np.int64)
                 fp = int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
-                keys = grams[np.argsort(np.isin(grams, common), kind="stable")] if len(common) else grams
+                keys = grams[np.argsort(among(grams, common), kind="stable")]
                 keys = keys[: n - int(np.ceil(similarity * n - 1e-9)) + 1] if n else keys
                 rows.append((set_name(grams), fp, n, keys.view(np.int64)))
             node, fp, size, keys = zip(*rows) if rows else ((), (), (), ())
