@@ -13,10 +13,11 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchscope.llm.common import arrow_map, attach
+from patchscope.llm.common import arrow_map, attach, release
 from patchscope.session import checkpointed
 
 #: Two primes under 2**31 and a base for each (fixed values).
@@ -25,8 +26,10 @@ BASES = (911382323, 972663749)
 CHUNK = 1 << 16
 #: Texts longer than this (in characters) spread their chunks over tasks.
 HUGE = 1 << 22
-#: Rows of one group compared in one task at most.
-GROUP_ROWS = 1024
+#: Rows and bytes of one group compared in one task, about; a share holds one row at least.
+GROUP_ROWS, GROUP_BYTES = 128, 1 << 24
+#: Chunks in one Arrow batch.
+BATCH = 64
 
 
 @lru_cache(maxsize=4)
@@ -57,6 +60,41 @@ def fingerprint(data: bytes) -> int:
     return total[0] << 31 | total[1]
 
 
+def chunks(rows: DataFrame) -> DataFrame:
+    """One row per chunk of ``__text``: the other columns, ``__no`` (from 0) and ``__part`` (bytes).
+
+    A chunk is a view of the text's buffer, so cutting costs as much as the text is long. An
+    empty text gives one empty chunk. ``__text`` must not be NULL.
+    """
+    others = [c for c in rows.columns if c != "__text"]
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others)
+
+    def run(batches):
+        release()
+        for batch in batches:
+            rows_, numbers, parts = [], [], []
+
+            def flush() -> pa.RecordBatch:
+                columns = [batch.column(c).take(pa.array(rows_, pa.int64())) for c in others]
+                out = pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int32()), pa.array(parts, pa.binary())], [*others, "__no", "__part"])
+                for held in (rows_, numbers, parts):
+                    held.clear()
+                return out
+
+            for i, text in enumerate(batch.column("__text")):
+                data = text.as_buffer()
+                for no in range(max(1, -(-len(data) // CHUNK))):
+                    rows_.append(i)
+                    numbers.append(no)
+                    parts.append(data[no * CHUNK : (no + 1) * CHUNK].to_pybytes())
+                    if len(rows_) == BATCH:
+                        yield flush()
+            if rows_:
+                yield flush()
+
+    return rows.mapInArrow(run, f"{schema}, __no int, __part binary")
+
+
 def fingerprints(docs: DataFrame, huge: int = HUGE) -> DataFrame:
     """doc_id, n_bytes, fp and text_sha256 of every row; NULL text counts as empty.
 
@@ -74,12 +112,10 @@ def fingerprints(docs: DataFrame, huge: int = HUGE) -> DataFrame:
     short = arrow_map(rows.where(F.length("__text") <= huge), whole, f"doc_id {kind}, n_bytes long, fp long, text_sha256 string")
     # one row per repeated huge text is kept apart by its hash; equal rows fold and are unfolded by their count
     long = rows.where(F.length("__text") > huge).select("doc_id", "__text", F.sha2("__text", 256).alias("text_sha256"))
-    pieces = F.sequence(F.lit(0), F.ceil(F.length("__text") / CHUNK).cast("int") - 1)
-    cut = long.select("doc_id", "text_sha256", F.posexplode(F.transform(pieces, lambda i: F.substring(F.col("__text"), i * CHUNK + 1, F.lit(CHUNK)))).alias("__no", "__part"))
-    cut = cut.repartition("doc_id", "__no")
+    cut = chunks(long).repartition("doc_id", "__no")
 
     def parts(batch: dict[str, list]) -> dict[str, list]:
-        data = [t.encode() for t in batch["__part"]]
+        data = batch["__part"]
         return {"doc_id": batch["doc_id"], "text_sha256": batch["text_sha256"], "__no": batch["__no"], "__n": list(map(len, data)), "__fp": list(map(fingerprint, data))}
 
     hashed = arrow_map(cut, parts, f"doc_id {kind}, text_sha256 string, __no int, __n long, __fp long")
@@ -106,16 +142,17 @@ def unequal(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """Rows (doc_id, fp, n_bytes) whose text differs from that of ``keep_id`` with the same fingerprint.
 
     ``marked``: doc_id, fp, n_bytes, keep_id, group_size of the rows in groups. Chunks of a
-    group's members meet those of the row that stays; large groups are split by a hash of the
-    id, and the row that stays goes to every share.
+    group's members meet those of the row that stays; groups of many rows or bytes are split
+    by a hash of the id, and the row that stays goes to every share.
     """
-    keys = marked.select("doc_id", "fp", "n_bytes", "keep_id", F.ceil(F.col("group_size") / GROUP_ROWS).cast("int").alias("__shares")).distinct()
+    shares = F.greatest(F.ceil(F.col("group_size") / GROUP_ROWS), F.ceil(F.col("group_size") * F.least("n_bytes", F.lit(CHUNK)) / GROUP_BYTES))
+    keys = marked.select("doc_id", "fp", "n_bytes", "keep_id", shares.cast("int").alias("__shares")).distinct()
     text = docs.select(F.col("doc_id").alias("__id"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
     rows = keys.join(text, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.octet_length("__text") == F.col("n_bytes")))
-    pieces = F.sequence(F.lit(0), F.ceil(F.length("__text") / CHUNK).cast("int"))
-    cut = rows.select(
-        "doc_id", "fp", "n_bytes", "keep_id", "__shares",
-        F.posexplode(F.transform(pieces, lambda i: F.substring(F.col("__text"), i * CHUNK + 1, F.lit(CHUNK)))).alias("__no", "__part"))
+    rows = rows.select("doc_id", "fp", "n_bytes", "keep_id", "__shares", "__text")
+    # all of a group have the same bytes, so they take the same way
+    single = rows.where(F.col("n_bytes") <= CHUNK).withColumns({"__no": F.lit(0), "__part": F.col("__text").cast("binary")}).drop("__text")
+    cut = single.unionByName(chunks(rows.where(F.col("n_bytes") > CHUNK)))
     mine = cut.where("doc_id < keep_id").withColumn("__share", F.pmod(F.xxhash64("doc_id"), F.col("__shares")).cast("int"))
     kept = cut.where("doc_id = keep_id").withColumn("__share", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1)))
     kept = kept.groupBy("keep_id", "fp", "n_bytes", "__no", "__share").agg(F.min("__part").alias("__kept"))  # repeated rows once

@@ -63,21 +63,22 @@ def strength(groups: DataFrame, mean: str) -> Column:
 def reputation(outcomes: DataFrame, z: float = BOUND_Z) -> DataFrame:
     """Posterior of the bad rate of each host: host, n, bad, mean, bound.
 
-    ``outcomes``: host, bad (0/1; NULL is no outcome). An empty table gives no rows. Counts
-    are summed per host first; the levels above work on those.
+    ``outcomes``: host, bad (0/1; NULL is no outcome). A host without outcomes has the
+    posterior that its domain hands down, that without outcomes its suffix's, and so on. An
+    empty table gives no rows. Counts are summed per host first; the levels above work on those.
     """
-    counts = checkpointed(outcomes.where("bad IS NOT NULL").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")))
+    counts = checkpointed(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))
     counts = counts.withColumn("domain", domain(F.col("host"))).withColumn("suffix", suffix(F.col("domain")))
     root = counts.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("prior"))
 
     def level(groups: DataFrame, above: DataFrame, on: list[str], key: str) -> DataFrame:
-        """Posterior of each member of a level; a one-row table of strengths is joined to all of them."""
+        """Posterior of each member of a level, stored; a one-row table of strengths is joined to all of them."""
         priors = groups.join(above, on) if on else groups.join(F.broadcast(above), F.lit(True))
         k = priors.agg(strength(priors, "prior").alias("k"))
         # k is one row, whatever the input
         fitted = priors.join(F.broadcast(k), F.lit(True))
         a, b = F.col("prior") * F.col("k") + F.col("bad"), (1 - F.col("prior")) * F.col("k") + F.col("n") - F.col("bad")
-        return fitted.select(*[c for c in groups.columns], a.alias("__a"), b.alias("__b"), (a / (a + b)).alias("mean"))
+        return checkpointed(fitted.select(*groups.columns, a.alias("__a"), b.alias("__b"), (a / (a + b)).alias("mean")))
 
     by_suffix = level(counts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), root, [], "suffix")
     by_domain = level(
@@ -102,12 +103,12 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
     """One row per row of ``pages`` (page_id, url): page_id, host, path, rule, verdict, bad_rate, bound.
 
     ``outcomes``: page_id, bad. A url that is NULL or has no ``://`` has empty host and path
-    and is judged as the empty host. A host without outcomes has the verdict allow and NULL
-    rates. Several outcomes of a page count each; repeated pages count each. Empty tables
-    give no rows, or verdicts by rules only.
+    and is judged as the empty host. A host without outcomes is judged by what its domain or
+    suffix hands down. Several outcomes of a page count each; repeated pages count each. No
+    pages give no rows; without any outcome no bound passes a limit of a half.
     """
     rows = checkpointed(pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")))
-    known = rows.join(outcomes.select("page_id", "bad"), "page_id")
+    known = rows.join(outcomes.select("page_id", "bad"), "page_id", "left")
     sizes = rows.groupBy("host").agg(F.count("*").alias("__rows"))
     stats = checkpointed(sizes.join(reputation(known.select("host", "bad")), "host", "left"))
     out = attach(rows, stats, ["host"], "__rows", "page_id")
@@ -129,7 +130,7 @@ def _level_sql(key: str, above: str, on: str) -> str:
 
 SQL = rf"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-c AS (SELECT host, count(*) AS n, sum(1 - quality)::DOUBLE AS bad FROM u JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL GROUP BY host),
+c AS (SELECT host, count(quality) AS n, coalesce(sum(1 - quality), 0)::DOUBLE AS bad FROM u LEFT JOIN labels ON page_id = doc_id GROUP BY host),
 d AS (SELECT *, CASE WHEN regexp_matches(host, '\.({'|'.join(SECOND_LEVEL)})\.[^.][^.]$') THEN regexp_extract(host, '([^.]*\.[^.]*\.[^.]*)$', 1)
   WHEN contains(host, '.') THEN regexp_extract(host, '([^.]*\.[^.]*)$', 1) ELSE host END AS domain FROM c),
 host_g AS (SELECT *, CASE WHEN contains(domain, '.') THEN regexp_extract(domain, '^[^.]*\.(.*)$', 1) ELSE domain END AS suffix FROM d),

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from patchscope.llm import bpe, chat, fingerprint, hosts, html, langid, seeds, simhash, toxicity, wavelet
 
@@ -76,6 +77,18 @@ def test_decontamination_tolerates_substitutions(spark):
     assert seeds.contaminated(docs, bench.limit(0)).count() == 0 and seeds.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_and_unspaced_scripts_are_found(spark):
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(40))
+    items = [(1, "Who wrote the old book today"), (2, "Paris"), (3, han), (4, "one two three four five six seven eight nine ten"), (4, "one two three four five six seven eight nine ten"), (5, "")]
+    rows = [(1, "x who wrote, the OLD book today y"), (2, "who wrote the new book today"), (3, "paris!"), (4, "paris is large"), (5, f"abc{han[:20]}\u5FFF{han[21:]}"),
+        (6, "one two three four five six seven eight nine ten"), (None, "two three four five six seven eight nine ten one"), (6, "clean text of six words here"), (7, None)]
+    docs = spark.createDataFrame([(*r, "clash", 0) for r in rows], "doc_id long, text string, item_id string, place int")
+    bench = spark.createDataFrame([(*i, "clash") for i in items], "item_id long, text string, doc_id string")
+    for settings in ({}, {"broadcast_bytes": 0}):
+        got = sorted(map(tuple, seeds.overlaps(docs, bench, **settings).select("doc_id", "item_id", "place", "matches").collect()), key=str)
+        assert got == sorted([(1, 1, 1, 6), (3, 2, 0, 1), (5, 3, 1, 15), (6, 4, 0, 10)], key=str), settings
+
+
 def test_exact_dedup_and_composition(spark, docs):
     data = bytes(range(256)) * 700
     assert fingerprint.combine(tuple(divmod(fingerprint.fingerprint(data[:999]), 1 << 31)), 999, tuple(divmod(fingerprint.fingerprint(data[999:]), 1 << 31))) == tuple(divmod(fingerprint.fingerprint(data), 1 << 31))
@@ -87,6 +100,24 @@ def test_exact_dedup_and_composition(spark, docs):
     assert fingerprint.exact_groups(docs.limit(0)).count() == 0
 
 
+def test_chunks_of_bytes_join_to_the_text(spark):
+    text = "aé漢" * 50_000
+    rows = spark.createDataFrame([(1, text), (2, ""), (None, "ab")], "doc_id long, __text string")
+    got = sorted(fingerprint.chunks(rows).collect(), key=lambda r: (r["doc_id"] or 0, r["__no"]))
+    assert b"".join(bytes(r["__part"]) for r in got if r["doc_id"] == 1).decode() == text and max(len(r["__part"]) for r in got) == fingerprint.CHUNK
+    assert [(r["doc_id"], r["__no"], bytes(r["__part"])) for r in got if r["doc_id"] != 1] == [(None, 0, b"ab"), (2, 0, b"")]
+
+
+def test_equal_fingerprints_of_unlike_texts_are_told_apart(spark, monkeypatch):
+    long = "x" * (fingerprint.CHUNK + 9)
+    rows = [(1, "aa"), (2, "bb"), (3, "aa"), (4, long), (5, long[:-1] + "y"), (6, long), (None, "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = fingerprint.fingerprints
+    monkeypatch.setattr(fingerprint, "fingerprints", lambda d: whole(d).withColumn("fp", F.lit(1).cast("long")))
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in fingerprint.exact_groups(docs).collect()}
+    assert got == {1: (3, 3, False), None: (3, 3, False), 3: (3, 3, True), 2: (2, 1, True), 4: (6, 2, False), 6: (6, 2, True), 5: (5, 1, True)}
+
+
 def test_near_groups_equal_brute_force(spark):
     rng = random.Random(4)
     base = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randint(0, 50)) for _ in range(60)) for _ in range(12)]
@@ -149,6 +180,33 @@ def test_hosts_and_chat_on_odd_rows(spark):
     assert chat.rotate(turns.limit(0)).count() == 0
 
 
+def test_parts_of_a_dialogue_compose(spark):
+    rows = [(c, t, r, f"{r} says {t}") for c in (1, None) for t in range(30) for r in (["ann", "bob"][t % 2], *(["system"] if t == 0 else []))]
+    turns = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, part string, part_start long")
+    whole = {(r["conv_id"], r["speaker"]): r for r in chat.rotate(turns, part_turns=1000).collect()}
+    parts: dict = {}
+    for r in chat.rotate(turns, part_turns=8).collect():
+        parts.setdefault((r["conv_id"], r["speaker"]), []).append(r)
+    assert set(whole) == set(parts) == {(c, s) for c in (1, None) for s in ("ann", "bob")}
+    for key, found in parts.items():
+        found.sort(key=lambda r: r["part"])
+        assert len(found) == 4 and "".join(r["rendered"] for r in found) == whole[key]["rendered"]
+        moved = [f"{int(a) + r['part_start']}-{int(b) + r['part_start']}" for r in found for a, b in (s.split("-") for s in r["spans"].split(",") if s)]
+        assert ",".join(moved) == whole[key]["spans"]
+
+
+def test_bounds_block_hosts_and_are_handed_down(spark):
+    # bad.com has bad hosts only, fine.com good ones; new.bad.com has no outcome, one.fine.com a single bad page
+    urls = [f"http://{h}{i}.bad.com/" for i in range(20) for h in "ab"] * 5 + [f"http://{h}{i}.fine.com/" for i in range(20) for h in "ab"] * 5
+    urls += ["http://new.bad.com/x", "http://one.fine.com/x", "http://unseen.com/"]
+    pages = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string")
+    bad = [(i, int(".bad." in u)) for i, u in enumerate(urls[:-3])] + [(len(urls) - 2, 1), (len(urls) - 1, None)]
+    got = {r["page_id"]: r for r in hosts.judge(pages, spark.createDataFrame(bad, "page_id long, bad int")).collect()}
+    assert len(got) == len(urls) and all(got[i]["verdict"] == ("block" if ".bad." in u else "allow") for i, u in enumerate(urls[:-3]))
+    new, one, unseen = (got[len(urls) - k] for k in (3, 2, 1))
+    assert new["verdict"] == "block" and one["verdict"] == unseen["verdict"] == "allow" and new["bad_rate"] > unseen["bad_rate"] > one["bad_rate"]
+
+
 def test_near_copies_of_the_pipeline_equal_brute_force(spark):
     import corpus_pipeline
 
