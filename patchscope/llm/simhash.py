@@ -34,6 +34,8 @@ FRONTIER = 1 << 18
 WIDE_RADIUS = 24
 #: Documents sampled for common shingles: one in SAMPLE_SHARE, SAMPLE_DOCS at least; how many of them hold a common one; how many are listed at most (8 bytes each).
 SAMPLE_SHARE, SAMPLE_DOCS, COMMON_DOCS, COMMON = 50, 20_000, 3, 400_000
+#: 64-bit words of a parity sketch.
+SKETCH_WORDS = 16
 #: Ids of candidates that are broadcast at most.
 BROADCAST_IDS = 500_000
 
@@ -237,6 +239,21 @@ def set_name(grams: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63)
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """For each bin of hashes whether it holds an odd number of a set's members, as packed signed longs.
+
+    Where two sets differ in d members, the sketches differ in d bits at most.
+    """
+    bins = 64 * SKETCH_WORDS
+    odd = np.bincount((grams >> np.uint64(20) & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+def most_apart(similarity: float) -> float:
+    """The most members in one of two sets only, as a share of both sizes together, at a Jaccard similarity."""
+    return (1 - similarity) / (1 + similarity)
+
+
 def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     """Shingles that many documents of a bounded sample hold; the choice steers the work and never changes the result."""
     total = docs.count()
@@ -278,7 +295,8 @@ def candidates(shared: DataFrame, similarity: float, radius: int, turn: int | No
 
     With a ``turn`` each member of a key meets only the first of its key, in the hash order of that turn.
     Without, the members with the commonest label of a key wait in its tree and only the others ask, so a
-    group that is nearly one component costs its size times what is not joined yet.
+    group that is nearly one component costs its size times what is not joined yet; there a column ``sketch``
+    rules out, without loss, pairs whose sets differ in too many members.
     """
     partitions = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = F.xxhash64("node", F.lit(turn or 0))
@@ -286,6 +304,7 @@ def candidates(shared: DataFrame, similarity: float, radius: int, turn: int | No
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         key, node, fp, size, label = (table.column(c).to_numpy() for c in ("key", "node", "fp", "size", "label"))
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS) if turn is None else None
         fp = fp.view(np.uint64)
         first = np.r_[True, key[1:] != key[:-1]]
         group, starts = np.cumsum(first) - 1, np.flatnonzero(first)
@@ -306,7 +325,12 @@ def candidates(shared: DataFrame, similarity: float, radius: int, turn: int | No
         for a, b in found:  # each block of pairs goes on by itself, so a large key needs no room for all of its pairs
             small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
             fits = (label[a] != label[b]) & (small >= similarity * large - 1e-9) & (np.bitwise_count(fp[a] ^ fp[b]) <= radius)
-            a, b = node[a[fits]], node[b[fits]]
+            a, b = a[fits], b[fits]
+            if sketch is not None:
+                apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+                fits = apart <= most_apart(similarity) * (size[a] + size[b]) + 1e-9
+                a, b = a[fits], b[fits]
+            a, b = node[a], node[b]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -331,6 +355,14 @@ def candidates(shared: DataFrame, similarity: float, radius: int, turn: int | No
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def alike(pairs: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches allow the similarity."""
+    side = lambda end: names.select(F.col("node").alias(end), F.col("size").alias(f"__n{end}"), F.col("sketch").alias(f"__s{end}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    apart = F.aggregate(F.zip_with("__sa", "__sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return both.where(apart <= most_apart(similarity) * (F.col("__na") + F.col("__nb")) + 1e-9).select("a", "b")
+
+
 def verified(docs: DataFrame, names: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs whose sets of shingles have the Jaccard similarity, counted exactly; sets are made again from the texts."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(names, "node")
@@ -356,8 +388,9 @@ def similar_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
     Of each component those with its smallest doc_id stay; rows with the same id stay together.
     Two such sets share a member among the first (1 - similarity) n + 1 of each in any one
     order, here hash order with common shingles last; so these key the shards of the BK-trees,
-    and only the radius can lose a pair. Fingerprints within the radius are candidates,
-    and each candidate is checked on the sets themselves. The first turns try one candidate a
+    and only the radius can lose a pair. Fingerprints within the radius are candidates;
+    parity sketches rule out most that differ in too many members, and the others are checked
+    on the sets themselves. The first turns try one candidate a
     member and key; what they join is not compared again, so groups of copies stay linear.
     Texts without words are one set. NULL ids are as in ``near_groups``.
     """
@@ -374,14 +407,14 @@ def similar_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
                 fp = int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
                 keys = grams[np.argsort(among(grams, common), kind="stable")]
                 keys = keys[: n - int(np.ceil(similarity * n - 1e-9)) + 1] if n else keys
-                rows.append((set_name(grams), fp, n, keys.view(np.int64)))
-            node, fp, size, keys = zip(*rows) if rows else ((), (), (), ())
-            arrays = [pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "node", "fp", "size", "keys"])
+                rows.append((set_name(grams), fp, n, keys.view(np.int64), parity(grams)))
+            node, fp, size, keys, sketch = zip(*rows) if rows else ((), (), (), (), ())
+            arrays = [pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "node", "fp", "size", "keys", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = checkpointed(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, fp long, size int, keys array<long>"))
-    names = checkpointed(made.groupBy("node").agg(F.min("doc_id").alias("first")))
+    made = checkpointed(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, fp long, size int, keys array<long>, sketch array<long>"))
+    names = checkpointed(made.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
     keyed = made.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node", "fp", "size")
     many = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("__key"))
     shared = checkpointed(keyed.join(many, F.col("key") == F.col("__key"), "left_semi"))
@@ -390,7 +423,12 @@ def similar_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
     for turn in [*range(turns), None]:
         labelled = shared.join(moved.toDF("__node", "label"), F.col("node") == F.col("__node"), "left").drop("__node")
         labelled = labelled.withColumn("label", F.coalesce("label", "node"))
-        pairs = checkpointed(candidates(labelled, similarity, radius, turn))
+        if turn is None:  # sketches go only to keys that still hold several components
+            unsettled = labelled.groupBy("key").agg((F.min("label") != F.max("label")).alias("__open")).where("__open").select(F.col("key").alias("__key"))
+            labelled = labelled.join(unsettled, F.col("key") == F.col("__key"), "left_semi").join(names.select("node", "sketch"), "node")
+            pairs = checkpointed(candidates(labelled, similarity, radius, turn))
+        else:
+            pairs = checkpointed(alike(candidates(labelled, similarity, radius, turn), names, similarity))
         if not pairs.take(1):
             continue
         linked = checkpointed(verified(docs, names, pairs, shingle, similarity))
@@ -398,6 +436,6 @@ def similar_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
             continue
         joined = joined.union(linked)
         moved = checkpointed(components(joined))
-    labels = names.join(moved, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labels = names.select("node", "first").join(moved, "node", "left").withColumn("label", F.coalesce("label", "node"))
     kept = labels.groupBy("label").agg(F.min("first").alias("__id")).select("__id").distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
