@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import itertools
 import heapq
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchscope.operators.relational import names
-from patchscope.session import checkpointed
+from patchscope.operators.relational import keyed_join, names
+from patchscope.session import checkpointed, stored_tables
 
 # Intensity thresholds (dBZ) and object area limits (pixels).
 LOW_DBZ, HIGH_DBZ = 20.0, 40.0
@@ -71,13 +72,27 @@ def _grandparents(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(parents, [*keys, "obj"])
 
 
-def _settled(stepped: DataFrame) -> tuple[DataFrame, bool]:
-    """Materialise a round and tell whether it changed any label.
+def _until_settled(labels: DataFrame, step: Callable[[DataFrame, int], DataFrame], keys: list[str]) -> DataFrame:
+    """Repeat ``step`` until it changes no ``obj`` (``__old`` is the one before).
 
-    The flag column's file statistics let the check skip everything once nothing changes.
+    A slice that a round leaves as it was is done: it is written once and takes no part in
+    later rounds, so a round costs what still changes. A round is deleted once the next one
+    stands; the flag column's file statistics let the look for changes skip what has none.
     """
-    table = checkpointed(stepped.withColumn("__changed", F.col("obj") != F.col("__old")))
-    return table.drop("__old", "__changed"), not table.select("__changed").filter("__changed").take(1)
+    done, last = [], None
+    with stored_tables() as store:
+        for turn in itertools.count():
+            stepped = step(labels, turn)
+            table = checkpointed(stepped.withColumn("__changed", F.col("obj") != F.col("__old")).drop("__old"))
+            if last is not None:
+                store.drop(last)
+            # at most one row per slice
+            moving = checkpointed(table.filter("__changed").select(*keys).distinct())
+            if not moving.take(1):
+                done.append(store.hand_out(table))
+                return reduce(DataFrame.unionByName, done).drop("__changed")
+            done.append(store.hand_out(keyed_join(table, moving, keys, "left_anti")))
+            labels, last = keyed_join(table, moving, keys, "left_semi").drop("__changed"), table
 
 
 def connected_components(pixels: DataFrame, keys: Iterable[str], connectivity: int = 8) -> DataFrame:
@@ -86,11 +101,11 @@ def connected_components(pixels: DataFrame, keys: Iterable[str], connectivity: i
     Every pixel points to a pixel of its component with a smaller or equal id. A round
     takes the least grandparent of the neighbourhood and offers it both to the pixel and
     to the pixel's parent, so whole trees hook onto each other and rounds grow with the
-    logarithm of the object size. Stops when a round changes nothing.
+    logarithm of the object size. A slice leaves the loop when a round changes none of its labels.
     """
     keys = names(keys)
-    labels = pixels.withColumn("obj", F.col("id"))
-    for turn in itertools.count():
+
+    def hook(labels: DataFrame, turn: int) -> DataFrame:
         # all pixels are their own parents at first
         up = _grandparents(labels, keys) if turn else labels.withColumn("__up", F.col("obj"))
         sent = _to_neighbours(up, keys, connectivity, ["obj", "__up", "value"])
@@ -101,12 +116,11 @@ def connected_components(pixels: DataFrame, keys: Iterable[str], connectivity: i
             F.struct("id", F.least("__least", "__old").alias("offer"), "row", "col", "value", "__old"),
             F.struct(F.col("__old").alias("id"), F.col("__least").alias("offer"), *[F.lit(None).cast(t).alias(c) for c, t in OWN_COLUMNS]),
         )
-        merged = least.select(*keys, F.inline(offers)).groupBy(*keys, "id").agg(
+        return least.select(*keys, F.inline(offers)).groupBy(*keys, "id").agg(
             F.min("offer").alias("obj"), *[F.max(c).alias(c) for c, _ in OWN_COLUMNS]
         )
-        labels, done = _settled(merged)
-        if done:
-            return labels
+
+    return _until_settled(pixels.withColumn("obj", F.col("id")), hook, keys)
 
 
 def ascent_basins(pixels: DataFrame, keys: Iterable[str], connectivity: int = 8) -> DataFrame:
@@ -118,10 +132,8 @@ def ascent_basins(pixels: DataFrame, keys: Iterable[str], connectivity: int = 8)
         best.alias("__best"), F.max(F.when(F.col("own"), F.col("value"))).alias("value")
     ).filter("value IS NOT NULL")
     pointers = pointers.select(*keys, "row", "col", "value", pixel_id().alias("id"), (-F.col("__best.n")).alias("obj"))
-    while True:
-        pointers, done = _settled(_jump(_jump(pointers.withColumn("__old", F.col("obj")), keys, "obj"), keys, "obj"))
-        if done:
-            return pointers
+    climb = lambda labels, turn: _jump(_jump(labels.withColumn("__old", F.col("obj")), keys, "obj"), keys, "obj")
+    return _until_settled(pointers, climb, keys)
 
 
 def _keep(labelled: DataFrame, keys: list[str], high: float, min_area: int) -> DataFrame:
@@ -158,21 +170,23 @@ def storm_objects(
     df: DataFrame, keys: Iterable[str], method: str = "ws", value: str = "value", low: float = LOW_DBZ, high: float = HIGH_DBZ,
     min_area: int = MIN_AREA, max_area: int = MAX_AREA, connectivity: int = 8,
 ) -> DataFrame:
-    """Labelled storm pixels: keys, ``row``, ``col``, ``value``, ``obj`` (unique inside its slice)."""
+    """Labelled storm pixels: keys, ``row``, ``col``, ``value``, ``obj`` (unique inside its slice), as one stored table."""
     keys = names(keys)
     pixels = _active(df, keys, value, low)
-    if method == "hyst":
-        return _keep(connected_components(pixels, keys, connectivity), keys, high, min_area)
-    if method == "ws":
-        return _keep(ascent_basins(pixels, keys, connectivity), keys, high, min_area)
-    if method == "ew":
-        schema = T.StructType([*pixels.schema.fields, T.StructField("obj", T.LongType())])
-
-        # one slice per call: at most the pixels of one grid above the low threshold
-        def grow(slice_pixels: pd.DataFrame) -> pd.DataFrame:
-            columns = [slice_pixels[c].to_numpy() for c in ("row", "col", "value", "id")]
-            return slice_pixels.assign(obj=_grow_slice(*columns, high, max_area))
-
-        grown = pixels.groupBy(*keys).applyInPandas(grow, schema).filter("obj >= 0")
-        return _keep(grown, keys, high, min_area)
-    raise ValueError(f"unknown method {method!r}: use hyst, ws or ew")
+    with stored_tables() as store:
+        if method == "hyst":
+            labelled = connected_components(pixels, keys, connectivity)
+        elif method == "ws":
+            labelled = ascent_basins(pixels, keys, connectivity)
+        elif method == "ew":
+            schema = T.StructType([*pixels.schema.fields, T.StructField("obj", T.LongType())])
+
+            # one slice per call: at most the pixels of one grid above the low threshold
+            def grow(slice_pixels: pd.DataFrame) -> pd.DataFrame:
+                columns = [slice_pixels[c].to_numpy() for c in ("row", "col", "value", "id")]
+                return slice_pixels.assign(obj=_grow_slice(*columns, high, max_area))
+
+            labelled = checkpointed(pixels.groupBy(*keys).applyInPandas(grow, schema).filter("obj >= 0"))
+        else:
+            raise ValueError(f"unknown method {method!r}: use hyst, ws or ew")
+        return store.hand_out(_keep(labelled, keys, high, min_area))

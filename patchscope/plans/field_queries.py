@@ -255,10 +255,26 @@ def storm_objects_watershed(spark, sf):
     return OB.storm_objects(views.grid(spark, sf), ["ts"], "ws", low=LOW, high=HIGH)
 
 
-@query()
+# one claimed pixel a step: the strongest free neighbour of the object, else the highest free peak starts the next one
+MAX_PIXELS = 12
+GROWTH = f"""grid AS (SELECT vec_id AS ts, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+grow AS (
+  SELECT ts, v, list_transform(range(0, 64), lambda i: -1::BIGINT) AS own, -1::BIGINT AS cur, 0 AS area, 0 AS step, true AS going FROM grid
+  UNION ALL
+  SELECT ts, v, CASE WHEN pick IS NULL THEN own ELSE list_transform(range(0, 64), lambda i: CASE WHEN i = -pick.n THEN (CASE WHEN inside THEN cur ELSE -pick.n END) ELSE own[i + 1] END) END,
+    CASE WHEN pick IS NULL OR inside THEN cur ELSE -pick.n END, CASE WHEN inside THEN area + 1 ELSE 1 END, step + 1, pick IS NOT NULL
+  FROM (SELECT *, near IS NOT NULL AS inside, coalesce(near, list_max(list_transform(list_filter(range(0, 64), lambda i: own[i + 1] < 0 AND v[i + 1] >= {HIGH}), lambda i: {{'x': v[i + 1], 'n': -i}}))) AS pick
+    FROM (SELECT *, CASE WHEN cur >= 0 AND area < {MAX_PIXELS} THEN list_max(list_transform(list_filter(range(0, 64), lambda i: own[i + 1] < 0 AND v[i + 1] >= {LOW}
+        AND len(list_filter(range(0, 64), lambda j: own[j + 1] = cur AND abs(i // 8 - j // 8) <= 1 AND abs(i % 8 - j % 8) <= 1)) > 0), lambda i: {{'x': v[i + 1], 'n': -i}})) END AS near
+      FROM grow WHERE going)))"""
+
+
+@query(f"""WITH RECURSIVE {GROWTH}
+SELECT ts, CAST(i // 8 AS INT) AS row, CAST(i % 8 AS INT) AS col, {r('v[i + 1]', 'value')}, (own[i + 1] // 8) * 1048576 + own[i + 1] % 8 AS obj
+FROM (SELECT * FROM grow WHERE NOT going), range(0, 64) t(i) WHERE own[i + 1] >= 0""")
 def storm_objects_growth(spark, sf):
     """Peaks grown by their strongest neighbours to at most twelve pixels."""
-    return OB.storm_objects(views.grid(spark, sf), ["ts"], "ew", low=LOW, high=HIGH, max_area=12)
+    return OB.storm_objects(views.grid(spark, sf), ["ts"], "ew", low=LOW, high=HIGH, max_area=MAX_PIXELS)
 
 
 @query(f"""WITH RECURSIVE {views.GRID_SQL}, {COMPONENTS},

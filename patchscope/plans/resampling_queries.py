@@ -14,7 +14,7 @@ from patchscope.operators.ranking import seeded_rank
 from patchscope.plans import views
 from patchscope.plans.catalog import BRIER_COLUMNS, SCALAR_COLUMNS, SCALAR_RAW, brier_sql, counts_sql, curve_sql, query, r
 from patchscope.plans.verification_queries import CURVE_COLUMNS, SWEEP_RAW, sweep_sql
-from patchscope.session import checkpointed
+from patchscope.session import checkpointed, stored_tables
 
 KEYS = ["climate", "member"]
 K = "climate, member"
@@ -326,12 +326,14 @@ def _cases(rows, kind):
 @query(_case_sql("fn", "tp"))
 def permutation_misses(spark, sf):
     """Hits that turned into misses only in the best or only in the worst permutations."""
-    return _cases(_rows(spark, sf), "misses")
+    with stored_tables() as store:
+        return store.hand_out(_cases(_rows(spark, sf), "misses"))
 
 
 @query(_case_sql("fp", "tn"))
 def permutation_false_alarms(spark, sf):
-    return _cases(_rows(spark, sf), "false_alarms")
+    with stored_tables() as store:
+        return store.hand_out(_cases(_rows(spark, sf), "false_alarms"))
 
 
 @query(f"""WITH c AS ({_case_sql('fn', 'tp')}), {views.FEATURE_ROWS_SQL},
@@ -340,5 +342,6 @@ SELECT c.climate, c.member, c.pfi_var, c.metric, c.band, c.row_no, c.perm, c.ori
 FROM c JOIN v_id o ON o.gid = concat_ws(':', c.climate, c.member, c.row_no) JOIN v_id d ON d.gid = concat_ws(':', c.climate, c.member, c.orig_row_no)""")
 def permutation_case_rows(spark, sf):
     """The mined cases with their own and their donors' values."""
-    rows = _rows(spark, sf)
-    return P.case_patches(_cases(rows, "misses"), rows, KEYS, ["discount"])
+    with stored_tables() as store:
+        rows = _rows(spark, sf)
+        return store.hand_out(P.case_patches(_cases(rows, "misses"), rows, KEYS, ["discount"]))

@@ -216,3 +216,13 @@ FROM grid, vals JOIN tot USING (climate) GROUP BY climate, point, gx""")
 def density(spark, sf):
     """Gaussian kernel density of a feature per climate."""
     return C.kde(views.features(spark, sf), ["climate"], "quantity", 0.0, 60.0, 61, 2.0)
+
+
+@query(f"""WITH {views.STORMS_SQL}, vals AS (SELECT climate, year, max_uh AS v FROM v_storm),
+tot AS (SELECT climate, year, count(*) AS total FROM vals GROUP BY ALL),
+grid AS (SELECT CAST(i AS INT) AS point, 100.0::DOUBLE + i AS gx FROM range(0, 101) t(i))
+SELECT climate, year, point, {r('gx', 'grid')}, {r('sum(exp(-0.5 * ((gx - v) / 0.5::DOUBLE) * ((gx - v) / 0.5::DOUBLE))) / (any_value(total) * 0.5::DOUBLE * sqrt(2 * pi()))', 'density')}
+FROM grid, vals JOIN tot USING (climate, year) GROUP BY climate, year, point, gx""")
+def density_sparse(spark, sf):
+    """Density of peak rotation per climate and year on a grid that reaches far beyond the values, with a narrow kernel."""
+    return C.kde(views.storms(spark, sf), ["climate", "year"], "max_uh", 100.0, 200.0, 101, 0.5)

@@ -1,5 +1,6 @@
 """Rows that must not get lost: missing, sparse and out-of-range values, file layouts."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,28 @@ def test_density_has_every_grid_point(spark):
     assert curves.kde(df, None, "v", 0.0, 100.0, 101, 1.0).count() == 101
 
 
+@pytest.mark.parametrize("bandwidth", [0.3, 2.0, 40.0])
+def test_density_by_moments_is_exact_to_nine_digits(spark, bandwidth):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(30, 9, 700), rng.uniform(-500, 500, 300), [1e9, -1e9, 1e300]])
+    rows = [(float(v),) for v in values] + [(None,), (float("nan"),), (float("inf"),)]
+    got = curves.kde(spark.createDataFrame(rows, "v double"), None, "v", 0.0, 60.0, 61, bandwidth).orderBy("point").toPandas()
+    z = (np.linspace(0, 60, 61)[:, None] - values[None, :]) / bandwidth
+    # the infinite value counts and has no kernel
+    wanted = np.exp(-0.5 * z * z).sum(axis=1) / ((len(values) + 1) * bandwidth * np.sqrt(2 * np.pi))
+    assert len(got) == 61 and np.abs(got["density"] - wanted).max() < 1e-9 * max(1.0, 1 / bandwidth)
+
+
+def test_density_within_reach_only(spark):
+    df = spark.createDataFrame([("a", 10.2), ("b", None)], "k string, v double")
+    got = curves.kde(df, ["k"], "v", 0.0, 100.0, 101, 1.0, reach=3.0).toPandas()
+    assert set(got["k"]) == {"a"} and 6 <= len(got) <= 7 and got["density"].min() > 0
+
+
+def test_density_of_nothing(spark):
+    assert not curves.kde(spark.createDataFrame([], "v double"), None, "v", 0.0, 1.0, 11, 0.1).collect()
+
+
 def test_classifier_keeps_rows_with_missing_features(spark):
     rows = [(float(i), float(i % 3), i % 2) for i in range(20)]
     model = scoring.fit_classifier(spark.createDataFrame(rows, "a double, b double, label int"), ["a", "b"])
