@@ -155,6 +155,24 @@ def attach_field(pixels: DataFrame, field: DataFrame, on: Sequence[str], value:
     return pixels.join(used.select(*on, F.col(value).alias(out)), list(on), "left")
 
 
+def gather_bucketed(pixels: DataFrame, fields: Mapping[str, DataFrame], on: Sequence[str], value: str = "value") -> DataFrame:
+    """Attach several fields, all tables bucketed alike on ``on`` (see ``sinks.bucketed``): merged bucket by bucket, no exchange."""
+    for name, field in fields.items():
+        pixels = pixels.join(field.select(*on, F.col(value).alias(name)).hint("merge"), list(on), "left")
+    return pixels
+
+
+def with_coordinates(pixels: DataFrame, cells: DataFrame) -> DataFrame:
+    """Adds ``lat`` and ``lon`` of the cell; ``cells`` is the fixed domain (row, col, lat, lon)."""
+    return pixels.join(small_side(cells.select("row", "col", "lat", "lon")), ["row", "col"], "left")
+
+
+def label_pixels(pixels: DataFrame, value: str, threshold: float = ROTATION_THRESHOLD, key: str = "patch_id") -> DataFrame:
+    """Adds ``label`` to long patches: 1 where the patch has a value above the threshold; missing pixels count for nothing."""
+    top = F.max(F.nanvl(F.col(value), F.lit(None))).over(Window.partitionBy(key))
+    return pixels.withColumn("label", F.coalesce((top > threshold).cast("int"), F.lit(0)))
+
+
 def environment(pixels: DataFrame, fields: Mapping[str, DataFrame], on: Sequence[str], hour: str = "hour_idx", land: DataFrame | None = None) -> DataFrame:
     """Attach several fields to the pixels of three-hourly (and, with ``land``, land) patches."""
     kept = pixels.filter(is_step_index(hour))

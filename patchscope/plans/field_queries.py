@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from patchscope.functions import arrays as A
@@ -13,6 +15,8 @@ from patchscope.operators import objects as OB
 from patchscope.operators import patches as PA
 from patchscope.plans import views
 from patchscope.plans.catalog import query, r
+from patchscope.session import shared_folder
+from patchscope.sources.sinks import bucketed, write_clustered
 
 GRID = f"WITH {views.GRID_SQL}"
 LEV = f"WITH {views.LEVELS_SQL}"
@@ -310,6 +314,77 @@ def environment(spark, sf):
     return env.select("patch_id", "row", "col", "value", "w", "u")
 
 
+BUCKETS = 8
+
+
+@query(f"""WITH {views.GRID_SQL}, {views.LEVELS_SQL}
+SELECT g.ts, g.row, g.col, {r('g.value', 'value')}, {r('m.value', 'mirror')}, {r('l.w', 'w')} FROM v_grid g
+JOIN v_grid m ON m.ts = g.ts AND m.row = 7 - g.row AND m.col = 7 - g.col
+LEFT JOIN v_lev l ON l.ts = g.ts AND l.level = 1 AND l.row = g.row AND l.col = g.col WHERE g.ts % 3 = 0""")
+def environment_bucketed(spark, sf):
+    """Two fields gathered at every pixel of the three-hourly grids from matching buckets."""
+    grid = views.grid(spark, sf)
+    flipped = grid.select("ts", (7 - F.col("row")).alias("row"), (7 - F.col("col")).alias("col"), "value")
+    upward = O.at_level(views.levels(spark, sf), 1).select(*CELL, F.col("w").alias("value"))
+    fields = {name: bucketed(field, BUCKETS, CELL) for name, field in (("mirror", flipped), ("w", upward))}
+    return PA.gather_bucketed(bucketed(grid.filter(TI.is_step_index("ts")), BUCKETS, CELL), fields, CELL)
+
+
+@query(f"{GRID} SELECT ts, row, col, {r('value', 'value')} FROM v_grid WHERE ts >= 16 AND ts < 112 AND row >= 2 AND row < 5 AND col >= 1 AND col < 4")
+def clustered_crop(spark, sf):
+    """A box in time and space out of all grids, stored along a Z curve."""
+    path = f"{shared_folder(spark)}/clustered-{uuid.uuid4().hex}"
+    write_clustered(views.grid(spark, sf), path, CELL)
+    return O.crop(spark.read.parquet(path).filter("ts >= 16 AND ts < 112"), 2, 5, 1, 4)
+
+
+# level cells are twice as wide as those of the grid; the 8x8 domain spans the square of the polygons
+FINE = "row, col, 12.5::DOUBLE * row + 6.25 AS lat, 12.5::DOUBLE * col + 6.25 AS lon"
+LABEL_ABOVE = 0.002
+
+
+def _fine(field):
+    cells = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in (0, 1) for b in (0, 1)])
+    wide = field.select("ts", "row", "col", F.round("value", 6).alias("value"), F.inline(cells))
+    return wide.select("ts", (F.col("row") * 2 + F.col("dr")).alias("row"), (F.col("col") * 2 + F.col("dc")).alias("col"), "value")
+
+
+@query(f"""WITH RECURSIVE {views.GRID_SQL}, {COMPONENTS}, {views.POLYGONS_SQL},
+cen AS (SELECT ts, obj, CAST(floor(avg(row) + 0.5) AS INT) AS r0, CAST(floor(avg(col) + 0.5) AS INT) AS c0 FROM hyst GROUP BY ts, obj),
+pix AS (SELECT c.ts, c.obj, g.row - c.r0 + 2 AS y, g.col - c.c0 + 2 AS x, g.row, g.col, g.value, count(*) OVER (PARTITION BY c.ts, c.obj) AS n
+  FROM cen c JOIN v_grid g ON g.ts = c.ts AND g.row >= c.r0 - 2 AND g.row < c.r0 + 2 AND g.col >= c.c0 - 2 AND g.col < c.c0 + 2 WHERE c.ts % 3 = 0),
+cells AS (SELECT {FINE} FROM (SELECT CAST(a.i AS INT) AS row, CAST(b.i AS INT) AS col FROM range(0, 8) a(i), range(0, 8) b(i))),
+land AS (SELECT DISTINCT row, col FROM (
+  SELECT row, col, poly_id, count(*) FILTER ((y0 > lat) <> (y1 > lat) AND lon < (x1 - x0) * (lat - y0) / (y1 - y0) + x0) AS n
+  FROM cells JOIN v_edge ON lat BETWEEN least(y0, y1) AND greatest(y0, y1) GROUP BY ALL) WHERE n % 2 = 1),
+peak AS (SELECT ts, obj, row, col FROM (SELECT *, row_number() OVER (PARTITION BY ts, obj ORDER BY value DESC, y, x) AS rn FROM pix WHERE n = 16) WHERE rn = 1),
+uh25 AS ({_uh(2000, 5000)}), uh03 AS ({_uh(0, 3000)}),
+ctt AS ({LEV}, {CTT} SELECT k.ts, k.row, k.col, {r('x.t', 'value')} FROM (SELECT DISTINCT ts, row, col FROM v_lev) k LEFT JOIN x ON x.ts = k.ts AND x.row = k.row AND x.col = k.col),
+got AS (SELECT p.*, c.lat, c.lon, a.value AS uh25, b.value AS uh03, t.value AS ctt FROM pix p JOIN peak k USING (ts, obj) JOIN land d ON d.row = k.row AND d.col = k.col
+  JOIN cells c ON c.row = p.row AND c.col = p.col
+  LEFT JOIN uh25 a ON a.ts = p.ts AND a.row = p.row // 2 AND a.col = p.col // 2 LEFT JOIN uh03 b ON b.ts = p.ts AND b.row = p.row // 2 AND b.col = p.col // 2
+  LEFT JOIN ctt t ON t.ts = p.ts AND t.row = p.row // 2 AND t.col = p.col // 2)
+SELECT concat_ws(':', g.ts, g.obj) AS patch_id, g.ts, g.y, g.x, g.row, g.col, g.lat, g.lon, {r('g.value', 'value')}, coalesce(h.obj = g.obj, false) AS in_mask,
+  {r('g.uh25', 'uh25')}, {r('g.uh03', 'uh03')}, {r('g.ctt', 'ctt')}, g.ts AS start_hour, g.ts AS end_hour, 0 AS x_speed, 0 AS y_speed,
+  CAST(coalesce(max(g.uh25) OVER (PARTITION BY g.ts, g.obj) > {LABEL_ABOVE}, false) AS INT) AS label
+FROM got g LEFT JOIN hyst h ON h.ts = g.ts AND h.row = g.row AND h.col = g.col""")
+def storm_environment(spark, sf):
+    """The whole storm chain on whole grids: objects, patches, three-hourly land storms, coordinates, co-located rotation and cloud tops, label."""
+    grid, levels = views.grid(spark, sf), views.levels(spark, sf)
+    objects = OB.storm_objects(grid, ["ts"], "hyst", low=LOW, high=HIGH)
+    pixels = PA.extract_patches(objects, grid, ["ts"], radius=2)
+    axis = F.explode(F.sequence(F.lit(0), F.lit(7)))
+    cells = spark.range(1).select(axis.alias("row")).select("row", axis.alias("col"))
+    cells = cells.select("row", "col", (F.col("row") * 12.5 + 6.25).alias("lat"), (F.col("col") * 12.5 + 6.25).alias("lon"))
+    fields = {
+        "uh25": _fine(O.updraft_helicity(levels, ["ts"])), "uh03": _fine(O.updraft_helicity(levels, ["ts"], *O.UH03)),
+        "ctt": _fine(O.cloud_top_temperature(levels, CELL, 0.04, 0.06)),
+    }
+    env = PA.environment(pixels, fields, CELL, hour="ts", land=PA.land_cells(cells, views.polygons(spark, sf)))
+    labelled = PA.label_pixels(PA.with_hours(PA.with_coordinates(env, cells), "ts"), "uh25", LABEL_ABOVE)
+    return labelled.drop("obj")
+
+
 @query(f"""{LEV} SELECT ts, row, col, {r('max(u) FILTER (level = 1)', 'temp_1')}, {r('max(u) FILTER (level = 3)', 'temp_3')} FROM v_lev GROUP BY ts, row, col""")
 def attach_levels(spark, sf):
     """One variable attached at two levels."""
