@@ -114,7 +114,7 @@ def outlier_skill_loss(spark, sf, perms=PERMS):
     numbered = seeded_rank(top, "row_key", 0, out="rk").withColumn("row_no", F.col("rk") - 1).drop("rk", "row_key")
     numbered = checkpointed(numbered.withColumns({"climate": F.lit("outlier"), "member": F.lit(0)}))
     original = V.evaluate(views.linear_scorer(numbered), KEYS)
-    outcomes = P.permutation_outcomes(numbered, KEYS, "row_no", FEATURES, perms, views.linear_scorer)
+    outcomes = P.permutation_outcomes(numbered, KEYS, "row_no", FEATURES, perms, views.linear_scorer, donors=False)
     scores = P.permutation_scores(outcomes, KEYS).select(*KEYS, "pfi_var", "perm", "AUC", "CSI")
     loss = P.skill_loss(original, scores, ["climate"], ("AUC", "CSI"))
     return loss.select(F.col("climate").alias("series"), "pfi_var", "perm", "metric", "loss")

@@ -125,3 +125,42 @@ def test_rows_without_label_or_probability_do_not_count(spark):
     assert curve.agg(F.sum("Total_Freq"), F.sum("Positive_Freq")).first()[:] == (2, 1)
     assert V.brier_components(curve).first()["climo"] == 0.5
     assert V.evaluate(df.where("label is null"), []).first()["BS"] is None
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 12, 97, 1001])
+def test_arrays_permute_like_columns_and_back(spark, n):
+    df = M.with_grid(spark.range(n).withColumn("n", F.lit(n).cast("bigint")), "n").withColumn("seed", F.lit(M.PRIME - 1).cast("bigint"))
+    there = M.with_permutation(df, "id", "seed", "to")
+    rows = M.with_inverse(there, "to", "seed", "back").select("id", "to", "back", "seed", "__wide", "__high", "__last").orderBy("id").collect()
+    at, to, back, seed, *grid = (np.array(c, np.int64) for c in zip(*rows))
+    assert (back == at).all()
+    assert (M.permuted_array(at, seed, *grid) == to).all() and (M.unpermuted_array(to, seed, *grid) == at).all()
+
+
+def test_packed_copies_equal_copies_sent_as_rows(spark):
+    """NULL keys, values without a number, a number that two rows have, several blocks and messages a key."""
+    rng = np.random.default_rng(3)
+    rows = [(k, i, None if i % 7 == 0 else float(rng.random()), int(i % 5), [float(i)], f"{k}{i}") for k, n in (("a", 700), (None, 90)) for i in range(n)]
+    rows += [("twice", i, float(i), i, [0.0], "t") for i in (0, 1, 1, 3)]
+    df = spark.createDataFrame(rows, "k string, row_no int, a double, b int, v array<double>, text string")
+    moved = importance.permutations(df, ["k"], "row_no", ["a", "b"], 3, seed=4, first_rep=2, carry=True)
+    joined = importance.keyed_join(moved, df, ["k", "row_no"])
+    want = joined.withColumns({f: F.when(F.col("pfi_var") == f, F.col("donated")).otherwise(F.col(f)).cast(df.schema[f].dataType) for f in ("a", "b")}).drop("donated")
+    got = importance.permute_features(df, ["k"], "row_no", ["a", "b"], 3, seed=4, first_rep=2)
+    assert got.columns == want.columns
+    listed = lambda d: sorted(map(repr, d.collect()))
+    assert listed(got) == listed(want)
+    without = importance.permute_features(df, ["k"], "row_no", ["a", "b"], 3, seed=4, first_rep=2, donors=False)
+    assert without.columns == [c for c in want.columns if c != "orig_row_no"]
+    once = want.where("k is null or k <> 'twice'").select("k", "pfi_var", "perm", "row_no", "orig_row_no")
+    found = importance.with_donors(once.drop("orig_row_no"), df, ["k"], ["a", "b"], seed=4)
+    assert listed(found) == listed(once)
+
+
+def test_copies_are_not_shuffled_as_rows(spark):
+    """Packed, the exchange of the copies carries fewer records than there are copies."""
+    rows = Q._rows(spark, SMALL)
+    text = plan(Q._outcomes(rows))
+    assert "orig_row_no" not in text and "MapInArrow" in text
+    sent = text[text.index("Union"):]
+    assert "__sent" in sent and "explode" not in sent.lower()
