@@ -164,3 +164,22 @@ def test_copies_are_not_shuffled_as_rows(spark):
     assert "orig_row_no" not in text and "MapInArrow" in text
     sent = text[text.index("Union"):]
     assert "__sent" in sent and "explode" not in sent.lower()
+
+
+def test_draws_on_arrays_equal_draws_on_columns(spark):
+    df = spark.range(0, 5000, 7).withColumns({"seed": F.lit(M.PRIME - 1).cast("bigint"), "n": F.lit(3_000_000_019).cast("bigint")})
+    rows = M.with_draw(df, "id", "seed", "n", "draw").collect()
+    assert M.draw_array(np.array([r["id"] for r in rows]), M.PRIME - 1, 3_000_000_019).tolist() == [r["draw"] for r in rows]
+
+
+def test_draws_are_counted_in_arrays_not_row_by_row(spark):
+    df = spark.createDataFrame([(None, 0, 70_000), (None, 5, 1), ("a", 3, 2)], "k string, cell int, w long")
+    drawn = resampling.drawn_cells(df, ["k"], 4, 6)
+    assert "__slot" not in plan(drawn)
+    got = {(r["k"], r["rep"]): r["n"] for r in drawn.groupBy("k", "rep").agg(F.sum("w").alias("n")).collect()}
+    assert got == {(k, rep): n for k, n in ((None, 70_001), ("a", 2)) for rep in (1, 2, 3, 4)}
+
+
+def test_a_probability_is_drawn_once_a_row(spark):
+    text = plan(V.forecast_cells(views.forecast(spark, SMALL), Q.KEYS))
+    assert text.count("md5(") == 1
