@@ -109,3 +109,12 @@ def test_helicity_does_not_depend_on_tiles(spark):
     df = spark.createDataFrame(cells, "ts int, level int, row int, col int, u double, v double, w double, z double")
     got = [sorted(map(tuple, fields.updraft_helicity(df, ["ts"], tile=tile).select("ts", "row", "col", F.round("value", 9)).collect())) for tile in (2, 3, 64)]
     assert got[0] == got[1] == got[2] and len(got[0]) == 84
+
+
+def test_polygons_are_spread_before_their_cells_unfold(spark):
+    """A tiny polygon table must not unfold in the one task that adaptive execution merges it into."""
+    edges = spark.createDataFrame([(1, 0.0, 0.0, 4.0, 0.0), (1, 4.0, 0.0, 0.0, 4.0), (1, 0.0, 4.0, 0.0, 0.0)], "poly_id int, x0 double, y0 double, x1 double, y1 double")
+    points = spark.createDataFrame([("in", 1.0, 1.0), ("out", 3.0, 3.0)], "id string, px double, py double")
+    got = patches.points_in_polygons(points, edges, "id")
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [("in", 1)]
