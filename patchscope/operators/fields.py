@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patchscope.functions import arrays as A
-from patchscope.operators.relational import keyed_join, names, small_side
+from patchscope.operators.relational import keyed_join, names, small_side, spread
 
 # Heights of the interpolated fields, grid spacing, helicity layers, gravity.
 HEIGHTS_M = (1000, 3000, 5000, 7000)
@@ -156,7 +156,9 @@ def gaussian_smooth(df: DataFrame, keys, sigma: float = 1.0, value: str = "value
     sums = df.select(
         *keys, "row", "col", F.coalesce(v, F.lit(0.0)).alias("__wv"), v.isNotNull().cast("double").alias("__w"), F.lit(True).alias("__own"))
     line = F.array(*[F.struct(F.lit(d).alias("__d"), F.lit(f).alias("__f")) for d, f in gaussian_line(sigma).items()])
-    for axis in ("col", "row"):
+    for axis, line_of in (("col", "row"), ("row", "col")):
+        # a line lies in one task before its cells multiply, so the sums need no exchange of their own
+        sums = spread(sums, [*keys, line_of])
         sent = sums.select("*", F.inline(line)).withColumns({
             axis: F.col(axis) + F.col("__d"), "__wv": F.col("__wv") * F.col("__f"), "__w": F.col("__w") * F.col("__f"),
             "__own": F.col("__own") & (F.col("__d") == 0)})

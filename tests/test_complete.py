@@ -118,3 +118,9 @@ def test_polygons_are_spread_before_their_cells_unfold(spark):
     got = patches.points_in_polygons(points, edges, "id")
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in got.collect()] == [("in", 1)]
+
+
+def test_smoothing_does_not_exchange_multiplied_cells(spark):
+    df = spark.createDataFrame([(t, i // 4, i % 4, float(i)) for t in range(3) for i in range(16)], "ts int, row int, col int, value double")
+    text = fields.gaussian_smooth(df, ["ts"])._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 2 == text.count("REPARTITION_BY_NUM")
