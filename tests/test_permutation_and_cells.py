@@ -183,3 +183,28 @@ def test_draws_are_counted_in_arrays_not_row_by_row(spark):
 def test_a_probability_is_drawn_once_a_row(spark):
     text = plan(V.forecast_cells(views.forecast(spark, SMALL), Q.KEYS))
     assert text.count("md5(") == 1
+
+
+def test_messages_hold_values_alone(spark, monkeypatch):
+    """Both sides know the permutations, so a copy of a feature with few distinct values costs about a byte, not four."""
+    df = spark.range(20_000).selectExpr("id as row_no", "cast(id * 7 % 50 as double) as a", "cast(id * 13 % 11 as double) / 100 as b")
+    seen, kind = [], type(df)
+    laid = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *args: seen.append(self) or laid(self, *args))
+    moved = importance.permute_features(df, None, "row_no", ["a", "b"], 12)
+    monkeypatch.undo()
+    sent = next(d for d in seen if "__sent" in d.columns)
+    assert sent.agg(F.sum(F.length("__sent"))).first()[0] < 1.5 * 24 * 20_000
+    assert moved.count() == 24 * 20_000
+
+
+def test_packed_copies_of_many_distinct_values(spark):
+    """Blocks with more distinct values than codes, with and without missing ones; in one key a number is repeated and one has no row."""
+    df = spark.range(18_000).selectExpr(
+        "if(id < 9000, 'a', 'b') as k", "if(id = 17000, 1, id % 9000) as row_no",
+        "if(id % 9 = 0, null, cast(xxhash64(id) as double)) as a", "cast(xxhash64(id, 1) as double) as b")
+    moved = importance.permutations(df, ["k"], "row_no", ["a", "b"], 2, carry=True)
+    joined = importance.keyed_join(moved, df, ["k", "row_no"])
+    want = joined.withColumns({f: F.when(F.col("pfi_var") == f, F.col("donated")).otherwise(F.col(f)) for f in ("a", "b")}).drop("donated")
+    got = importance.permute_features(df, ["k"], "row_no", ["a", "b"], 2)
+    assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).count() == 0
