@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -28,6 +29,8 @@ from patchscope.session import shared_folder
 MAGIC = b"WVM1"
 BLOCK = 512
 SHARD_TOKENS = 1 << 19
+#: Bytes of text that are split into pieces at a time.
+BLOCK_BYTES = 1 << 21
 MARK = "\x00"
 #: Latin letters that normal form C keeps and whose lower case is one letter, with ASCII marks (no apostrophe) before and after.
 PLAIN = re.compile("([-.,;:!?|()*\"]*)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([-.,;:!?|()*\"]*)")
@@ -55,9 +58,10 @@ class WaveletMatrix:
             plane = np.packbits(bit, bitorder="little")
             planes.append(plane)
             ranks.append(cls.directory(plane))
-            low = ids[~bit]
+            # places, then take: random masks are slow to index by
+            low = np.flatnonzero(~bit)
             zeros.append(len(low))
-            ids = np.concatenate([low, ids[bit]])
+            ids = ids.take(np.concatenate([low, np.flatnonzero(bit)]))
         return cls(n, width, zeros, planes, ranks)
 
     @staticmethod
@@ -143,9 +147,9 @@ class WaveletMatrix:
         ids = np.zeros(self.n, np.uint16)
         for level in range(self.width - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            back, zeros = np.empty_like(ids), self.zeros[level]
-            back[~bit] = ids[:zeros]
-            back[bit] = ids[zeros:] | np.uint16(1 << (self.width - 1 - level))
+            back = np.empty_like(ids)
+            ids[self.zeros[level]:] |= np.uint16(1 << (self.width - 1 - level))
+            back[np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)])] = ids
             ids = back
         return ids
 
@@ -179,7 +183,8 @@ class PieceEncoder:
         self.mark = self._plain(MARK)
         # the short way holds for tokenizers that lower-case, split at letters and map bytes; others fail this comparison
         self.letters = False
-        sample = [w.encode() for w in SAMPLE]
+        sample = list(SAMPLE)
+        self.two = [i.to_bytes(2, "little") for i in range(1 << 16)]
         whole = self._whole(sample)
         self.letters = True
         self.letters = self._fill(sample) == whole
@@ -189,16 +194,15 @@ class PieceEncoder:
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _fill(self, new: list[bytes]) -> list[bytes]:
+    def _fill(self, new: list[str]) -> list[bytes]:
         """Words of plain letters, with marks around them, go to the model as the pre-tokenizer would hand them over, the others through the whole tokenizer."""
-        tokenize, known, others, marks = self.tokenizer.model.tokenize, {}, [], {"": b""}
+        tokenize, two, known, others, marks = self.tokenizer.model.tokenize, self.two, {}, [], {"": b""}
 
         def ids(word: str) -> bytes:
-            found = [t.id for t in tokenize(word)]
-            return struct.pack(f"<{len(found)}H", *found)
+            return b"".join([two[t.id] for t in tokenize(word)])
 
         for piece in new:
-            found = PLAIN.fullmatch(piece.decode()) if self.letters else None
+            found = PLAIN.fullmatch(piece) if self.letters else None
             if found is None:
                 others.append(piece)
                 continue
@@ -211,42 +215,51 @@ class PieceEncoder:
         known.update(zip(others, self._whole(others)))
         return [known[k] for k in new]
 
-    def _whole(self, new: list[bytes]) -> list[bytes]:
+    def _whole(self, new: list[str]) -> list[bytes]:
         out = []
         for start in range(0, len(new), 20_000):
             block = new[start : start + 20_000]
-            ids = np.array(self._plain(f" {MARK} ".join(b"\n".join(block).decode().split("\n"))), "<u2")
+            ids = np.array(self._plain(f" {MARK} ".join(block)), "<u2")
             cuts = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else np.zeros(0, int)
             if len(cuts) == len(block) - 1:
                 packed, at = ids.tobytes(), [0, *(2 * cuts + 2).tolist(), 2 * len(ids) + 2]
                 out += [packed[a : b - 2] for a, b in zip(at, at[1:])]
             else:
-                out += [np.array(self._plain(x.decode()), "<u2").tobytes() for x in block]
+                out += [np.array(self._plain(x), "<u2").tobytes() for x in block]
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 16-bit integers; each distinct piece of all texts is looked up once."""
-        split = [(t or "").encode().split() for t in texts]
-        of = self.pieces.hold(set().union(*split)).__getitem__
-        out = [b"".join(map(of, own)) for own in split]
-        for i, text in enumerate(texts):
-            if text and any(s in text for s in self.special):  # a special token can stand inside white space rules of its own
-                out[i] = np.array(self._plain(text), "<u2").tobytes()
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        numbered = split.flatten().dictionary_encode()
+        pieces = numbered.dictionary.to_pylist()
+        ids = list(self.pieces.hold(pieces).values())
+        flat, size = np.frombuffer(b"".join(ids), "<u2"), np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        start = np.cumsum(size) - size
+        number = numbered.indices.to_numpy()
+        count = size[number]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        packed = flat[np.repeat(start[number] - ends[:-1], count) + np.arange(ends[-1])].tobytes()
+        # the first text of a slice need not begin at piece 0
+        offsets = split.offsets.to_numpy()
+        cuts = (2 * ends[offsets - offsets[0]]).tolist()
+        out = [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+        for special in self.special:  # a special token can stand inside white space rules of its own
+            for i in np.flatnonzero(pc.fill_null(pc.match_substring(texts, special), False).to_numpy(zero_copy_only=False)):
+                out[i] = np.array(self._plain(texts[int(i)].as_py()), "<u2").tobytes()
         return out
 
 
-def in_blocks(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[str | None]]:
-    """Texts in order, in lists of about ``size`` characters."""
-    held, chars = [], 0
-    for value in texts:
-        text = value.as_py()
-        held.append(text)
-        chars += len(text or "")
-        if chars >= size:
-            yield held
-            held, chars = [], 0
-    if held:
-        yield held
+def in_blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[pa.Array]:
+    """Texts in order, in slices of about ``size`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    start = 0
+    while start < len(texts):
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size)) + 1
+        yield texts.slice(start, stop - start)
+        start = stop
 
 
 def piece_encoder(path: str) -> PieceEncoder:

@@ -264,3 +264,17 @@ def test_disguised_words_beside_others_are_restored():
     for text in ("such a i d i o t", "y o u i d i o t", "total-1d10t", "you_1d10t", "s t u p 1 d i d i o t"):
         assert "=idiot" in own.of(text), text
     assert "=stupid" in own.of("stuupid") and "=ass" in own.of("a 455") and "=you" in own.of("y o u i d i o t")
+
+
+def test_pieces_of_array_slices_equal_the_tokenizer():
+    """A block is a slice of the batch's texts; white space of every kind, NULL, empty and special texts."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    encoder, whole = wavelet.PieceEncoder(WORDS), Tokenizer.from_file(WORDS)
+    texts = ["left out", None, " \t a  b\n\x0b\x0cA b ", "", "Straße über   日本 語", f"x {encoder.special[0]} y" if encoder.special else "x", " ", "a b a"]
+    got = encoder.encode(pa.array(texts, pa.string()).slice(1))
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
+    blocks = list(wavelet.in_blocks(pa.array(texts, pa.string()), 10))
+    assert len(blocks) > 2 and [x.as_py() for b in blocks for x in b] == texts
