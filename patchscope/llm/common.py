@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +15,8 @@ from patchscope.session import checkpointed
 #: One key in HOT_SHARE rows counts as hot, so at most HOT_SHARE keys are, whatever the input.
 HOT_SHARE = 1000
 SALTS = 4096
+#: Rows of whole texts that a Python worker handles and gives out at a time.
+SLICE_ROWS = 512
 
 
 class Recent:
@@ -76,8 +80,19 @@ def worker_state(key: tuple, build: Callable[[], object]):
 
 
 def release() -> None:
-    """Drop what the worker keeps."""
+    """Drop what the worker keeps, and give the memory back to the system: an executor counts what its idle allocators hold."""
     _state[:] = [None, None]
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that what is made from whole texts stays small; an empty batch stays."""
+    for batch in batches:
+        for start in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(start, rows)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -94,7 +109,7 @@ def arrow_map(df: DataFrame, function: Callable[[dict[str, list]], dict[str, lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in batches:
+        for batch in slices(batches):
             out = function({name: batch.column(name).to_pylist() for name in batch.schema.names})
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
 

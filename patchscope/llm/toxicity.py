@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchscope.llm.common import Recent, held_out, release, worker_state
+from patchscope.llm.common import Recent, held_out, release, slices, worker_state
 from patchscope.session import checkpointed
 
 #: What a character may stand for besides itself (fixed values).
@@ -74,7 +74,7 @@ def count_trigrams(texts: list[str]) -> Counter:
     return total
 
 
-def trigram_counts(docs: DataFrame, block_chars: int = 1 << 21) -> DataFrame:
+def trigram_counts(docs: DataFrame, block_chars: int = 1 << 20) -> DataFrame:
     """(gram, n): character trigrams of all words of all rows."""
 
     def count(batches):
@@ -187,7 +187,7 @@ class Features:
         self.words = {f[1:]: i for f, i in (wanted or {}).items() if f[0] == "="}
         self.starts = {f[1:]: i for f, i in (wanted or {}).items() if f[0] == "^"}
         # an entry without a list of wanted features holds all names of a piece
-        one, limit = (self.numbers, 200_000) if wanted is not None else (self.names, 20_000)
+        one, limit = (self.numbers, 100_000) if wanted is not None else (self.names, 20_000)
         self.pieces = Recent(lambda new: [one(p) for p in new], limit)
 
     def names(self, piece: str) -> tuple[str, ...]:
@@ -288,7 +288,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches):
         own = features(lm, wanted)
-        for batch in batches:
+        for batch in slices(batches):
             z = [intercept + sum(weights[f] for f in sorted(own.of(t.as_py()))) for t in batch.column("text")]
             p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p)], ["doc_id", "held_out", "score"])
@@ -304,7 +304,7 @@ def keep_clean(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Da
 
     def run(batches):
         own = features(lm, wanted)
-        for batch in batches:
+        for batch in slices(batches):
             z = np.array([intercept + sum(weights[f] for f in sorted(own.of(t.as_py()))) for t in batch.column("text")], float)
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold))
 

@@ -278,3 +278,11 @@ def test_pieces_of_array_slices_equal_the_tokenizer():
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
     blocks = list(wavelet.in_blocks(pa.array(texts, pa.string()), 10))
     assert len(blocks) > 2 and [x.as_py() for b in blocks for x in b] == texts
+
+
+def test_whole_texts_are_handled_a_few_rows_at_a_time(spark):
+    """An executor's memory: what a worker makes of whole texts holds SLICE_ROWS of them, not an Arrow batch."""
+    from patchscope.llm import common
+
+    seen = common.arrow_map(spark.range(0, 3000, 1, 1), lambda b: {"n": [len(b["id"])] * len(b["id"])}, "n int")
+    assert seen.agg({"n": "max"}).first()[0] <= common.SLICE_ROWS and seen.count() == 3000
