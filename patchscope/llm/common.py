@@ -53,18 +53,20 @@ class Recent:
         return [new[k] for k in keys]
 
 
-    def hold(self, keys: set) -> dict:
-        """The values of ``keys``, which are distinct already; a table of its own, smaller than the memo."""
+    def hold(self, keys: list) -> list:
+        """The values of ``keys``, which are distinct already, in order."""
         if len(self.new) >= self.limit:
             self.old, self.new = self.new, {}
-        out = dict(zip(keys, map(self.new.get, keys)))
-        missing = [k for k, v in out.items() if v is None]
-        back = {k: v for k in missing if (v := self.old.get(k)) is not None}
-        lacking = [k for k in missing if k not in back]
-        if lacking:
-            back.update(zip(lacking, self.fill(lacking)))
-        self.new.update(back)
-        out.update(back)
+        out = list(map(self.new.get, keys))
+        missing = [i for i, v in enumerate(out) if v is None]
+        lacking = []
+        for i in missing:
+            out[i] = self.old.get(keys[i])
+            if out[i] is None:
+                lacking.append(i)
+        for i, v in zip(lacking, self.fill([keys[i] for i in lacking]) if lacking else ()):
+            out[i] = v
+        self.new.update((keys[i], out[i]) for i in missing)
         return out
 
 

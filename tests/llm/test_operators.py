@@ -280,6 +280,18 @@ def test_pieces_of_array_slices_equal_the_tokenizer():
     assert len(blocks) > 2 and [x.as_py() for b in blocks for x in b] == texts
 
 
+def test_a_word_goes_through_the_model_once_whatever_its_case_and_marks():
+    from tokenizers import Tokenizer
+
+    encoder, whole = wavelet.PieceEncoder(WORDS), Tokenizer.from_file(WORDS)
+    seen, model = [], encoder.words.fill
+    encoder.words.fill = lambda words: seen.extend(words) or model(words)
+    texts = ["Zebrafish zebrafish, (ZEBRAFISH)", "--zebrafish. x1y ÉTÉS étés! 日本", None, "zebrafish"]
+    got = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)]
+    assert encoder.letters and sorted(seen) == ["zebrafish", "étés"]
+    assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_whole_texts_are_handled_a_few_rows_at_a_time(spark):
     """An executor's memory: what a worker makes of whole texts holds SLICE_ROWS of them, not an Arrow batch."""
     from patchscope.llm import common
