@@ -11,7 +11,7 @@ Shards travel to tasks by shuffle, since broadcasting the trees of all data has
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,12 @@ FRONTIER = 1 << 18
 WIDE_RADIUS = 24
 #: Documents sampled for common shingles: one in SAMPLE_SHARE, SAMPLE_DOCS at least; how many of them hold a common one; how many are listed at most (8 bytes each).
 SAMPLE_SHARE, SAMPLE_DOCS, COMMON_DOCS, COMMON = 50, 20_000, 3, 400_000
+#: 64-bit words of a parity sketch at least and at most; in between, as many bits as the set has members.
+SKETCH_WORDS = (4, 64)
+#: Members of a key that are compared in all pairs at once; larger keys go member by member.
+SMALL_KEY = 8
+#: Shingles of the sets that are one share of a group of candidates; two shares meet in a task.
+SHARE_GRAMS = 1 << 20
 #: Ids of candidates that are broadcast at most.
 BROADCAST_IDS = 500_000
 
@@ -262,79 +268,148 @@ def among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
     return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
 
 
-def commonest(group: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """For each row the label that most rows of its group have; groups come in order."""
-    order = np.lexsort((label, group))
-    g, own = group[order], label[order]
-    starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (own[1:] != own[:-1])])
-    counts = np.diff(np.r_[starts, len(g)])
-    best = np.lexsort((counts, g[starts]))  # the last run of each group is its longest
-    last = best[np.r_[g[starts][best][1:] != g[starts][best][:-1], True]]
-    return own[starts[last]][np.searchsorted(g[starts[last]], group)]
+def parity(grams: np.ndarray) -> np.ndarray:
+    """For each bin of hashes whether it holds an odd number of a set's members, as packed unsigned longs.
 
-
-def candidates(shared: DataFrame, similarity: float, radius: int, turn: int | None) -> DataFrame:
-    """Distinct pairs (a, b) of unlike labels that share a key, lie within the radius and have sizes that allow the similarity.
-
-    With a ``turn`` each member of a key meets only the first of its key, in the hash order of that turn.
-    Without, the members with the commonest label of a key wait in its tree and only the others ask, so a
-    group that is nearly one component costs its size times what is not joined yet.
+    Where two sets differ in d members, the sketches differ in d bits at most. Halves of a longer
+    sketch, taken together by exclusive or, are the sketch of half the length.
+    """
+    words = SKETCH_WORDS[0]
+    while words < SKETCH_WORDS[1] and 64 * words < len(grams):
+        words *= 2
+    # the low bits: bins of half the length are the same ones modulo that length
+    odd = np.bincount((grams & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def most_apart(similarity: float, both: np.ndarray) -> np.ndarray:
+    """The most members in one of two sets only, at a Jaccard similarity, for both sizes together."""
+    return both * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+class Sketches:
+    """Parity sketches of many sets, of unlike lengths."""
+
+    def __init__(self, flat: np.ndarray, starts: np.ndarray, words: np.ndarray):
+        self.flat, self.starts, self.words = flat, starts, words
+
+    def _folded(self, rows: np.ndarray, words: int, to: int) -> np.ndarray:
+        whole = self.flat[self.starts[rows][:, None] + np.arange(words)]
+        return np.bitwise_xor.reduce(whole.reshape(len(rows), words // to, to), axis=1)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many bits two sketches differ at the length of the shorter one; the sets differ in as many members at least."""
+        out = np.zeros(len(a), np.int64)
+        lengths = self.words[a] * (SKETCH_WORDS[1] + 1) + self.words[b]
+        for length in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths == length)
+            wa, wb = divmod(length, SKETCH_WORDS[1] + 1)
+            to = min(wa, wb)
+            for at in range(0, len(rows), FRONTIER // to):
+                r = rows[at : at + FRONTIER // to]
+                out[r] = np.bitwise_count(self._folded(a[r], wa, to) ^ self._folded(b[r], wb, to)).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def joined(start: int, stop: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect the rows from start to stop as all pairs that are near would; pairs that are connected already are not asked for."""
+    label, parts, out = np.arange(stop - start), stop - start, []
+    for u in range(stop - start - 1):
+        if parts == 1:
+            break
+        rest = np.flatnonzero(label[u + 1 :] != label[u]) + u + 1
+        rest = rest[near(np.full(len(rest), u + start), rest + start)] if len(rest) else rest
+        if len(rest):
+            own, first = np.unique(label[rest], return_index=True)
+            label[np.isin(label, own)] = label[u]
+            parts -= len(own)
+            out += [(u + start, v + start) for v in rest[first].tolist()]
+    return out
+
+
+def alike(similarity: float, radius: int, fp: np.ndarray, size: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether pairs of rows lie within the radius and have sizes that allow the similarity."""
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        return (np.bitwise_count(fp[a] ^ fp[b]) <= radius) & (small >= similarity * large - 1e-9)
+
+    return near
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows that come in the order of ``keys``, in tables that cut no group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        if held and any(held[-1].column(k)[-1].as_py() != c[0] for k, c in zip(keys, columns)):
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        border = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+        if len(border):  # the last group may go on in the next batch
+            cut = int(border[-1]) + 1
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held, batch = [], batch.slice(cut)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The members of a column of lists one after the other, where each row's begin, and how many they are."""
+    column = table.column(name)
+    column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy().view(np.uint64), offsets[:-1], np.diff(offsets)
+
+
+def candidates(shared: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Links (a, b) that connect the nodes which could be similar: of each key, at most one link a member.
+
+    Two members of a key could be similar if they lie within the radius and if sizes and parity
+    sketches allow it; no pair that is similar within the radius fails this.
     """
     partitions = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = F.xxhash64("node", F.lit(turn or 0))
-    dealt = shared.withColumn("__order", order).repartition(partitions, "key").sortWithinPartitions("key", "__order", "node").drop("__order")
-
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, node, fp, size, label = (table.column(c).to_numpy() for c in ("key", "node", "fp", "size", "label"))
-        fp = fp.view(np.uint64)
-        first = np.r_[True, key[1:] != key[:-1]]
-        group, starts = np.cumsum(first) - 1, np.flatnonzero(first)
-        if turn is not None:
-            found = [(np.arange(len(key)), starts[group])]
-        else:
-            # groups of one label have nothing to find
-            differs = np.logical_or.reduceat(label != label[starts[group]], starts)[group]
-            rows = np.flatnonzero(differs)
-            if not len(rows):
-                found = []
-            else:
-                forest = Forest(group[rows], fp[rows])
-                roots = np.zeros(len(starts), np.int64)
-                roots[group[rows][forest.roots]] = forest.roots
-                asking = rows[label[rows] != commonest(group[rows], label[rows])]
-                found = ((asking[q], rows[m]) for q, m in forest.search(fp[asking], roots[group[asking]], radius))
-        for a, b in found:  # each block of pairs goes on by itself, so a large key needs no room for all of its pairs
-            small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-            fits = (label[a] != label[b]) & (small >= similarity * large - 1e-9) & (np.bitwise_count(fp[a] ^ fp[b]) <= radius)
-            a, b = node[a[fits]], node[b[fits]]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    dealt = shared.repartition(partitions, "key").sortWithinPartitions("key", "node")
+
+    def work(table: pa.Table) -> pa.RecordBatch:
+        key, node, fp, size = (table.column(c).to_numpy() for c in ("key", "node", "fp", "size"))
+        close, sketches = alike(similarity, radius, fp.view(np.uint64), size), Sketches(*lists(table, "sketch"))
+
+        def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            fits = close(a, b)
+            rows = np.flatnonzero(fits)
+            fits[rows] = sketches.apart(a[rows], b[rows]) <= most_apart(similarity, size[a[rows]] + size[b[rows]])
+            return fits
+
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        stops = np.r_[starts[1:], len(key)]
+        stop = np.repeat(np.where(stops - starts <= SMALL_KEY, stops, 0), stops - starts)
+        pairs = []
+        for step in range(1, SMALL_KEY):
+            a = np.flatnonzero(np.arange(len(key)) + step < stop)
+            a = a[near(a, a + step)]
+            pairs.append((a, a + step))
+        large = [link for g in np.flatnonzero(stops - starts > SMALL_KEY).tolist() for link in joined(int(starts[g]), int(stops[g]), near)]
+        if large:
+            pairs.append(tuple(np.array(large).T))
+        label = settle(len(key), iter(pairs))
+        moved = np.flatnonzero(label != np.arange(len(key)))
+        return pa.RecordBatch.from_arrays([pa.array(node[label[moved]]), pa.array(node[moved])], ["a", "b"])
 
     def run(batches):
         release()
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            key = batch.column("key").to_numpy()
-            border = np.flatnonzero(key[1:] != key[:-1])
-            if held and len(key) and held[-1].column("key")[-1].as_py() != key[0]:
-                yield from work(pa.Table.from_batches(held))
-                held = []
-            if len(border):  # the last key may go on in the next batch
-                cut = int(border[-1]) + 1
-                yield from work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held, batch = [], batch.slice(cut)
-            if batch.num_rows:
-                held.append(batch)
-        if held:
-            yield from work(pa.Table.from_batches(held))
+        for table in whole_groups(batches, ["key"]):
+            yield work(table)
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(docs: DataFrame, names: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles have the Jaccard similarity, counted exactly; sets are made again from the texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(names, "node")
-    ids = checkpointed(ids.select("node", F.col("first").alias("__id")))
+def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node and its set of shingles (grams), made again from the text of the row that ``nodes`` (node, first) names. Stored."""
+    ids = checkpointed(nodes.select("node", F.col("first").alias("__id")))
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("__id")))
 
     def run(batches):
@@ -344,21 +419,74 @@ def verified(docs: DataFrame, names: DataFrame, pairs: DataFrame, shingle: int,
             found = [(n, grams.view(np.int64)) for n, grams in found if set_name(grams) == n]  # several texts may have the id
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([g for _, g in found], pa.list_(pa.int64()))], ["node", "grams"])
 
-    sets = checkpointed(texts.select("node", "text").mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"]))
-    both = pairs.join(sets.toDF("a", "__a"), "a").join(sets.toDF("b", "__b"), "b")
-    least = F.ceil((F.size("__a") + F.size("__b")) * F.lit(similarity / (1 + similarity)) - 1e-9)
-    return both.where(F.size(F.array_intersect("__a", "__b")) >= least).select("a", "b")
+    return checkpointed(texts.select("node", "text").mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"]))
 
 
-def similar_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, turns: int = 3) -> DataFrame:
+def verified(sets: DataFrame, groups: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Links (a, b) that connect the nodes of each group as all its pairs within the radius whose sets have the Jaccard similarity, counted exactly.
+
+    ``groups`` has node, label, fp and size. A group's sets are cut into shares of about SHARE_GRAMS
+    shingles, and each two shares meet in a task, so a group of any size needs bounded room.
+    """
+    sizes = checkpointed(groups.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("__grams")))
+    dealt = attach(groups, sizes, ["label"], "n", "node").join(sets, "node")
+    dealt = dealt.withColumn("__shares", F.ceil((F.col("__grams") + 1) / SHARE_GRAMS).cast("int"))
+    dealt = dealt.withColumn("__own", F.pmod(F.xxhash64("node"), F.col("__shares")).cast("int"))
+    # a share meets itself where it is the only one
+    others = F.when(F.col("__shares") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("__shares") - 1), F.col("__own")))
+    dealt = dealt.withColumn("__other", F.explode(others))
+    dealt = dealt.select("label", F.least("__own", "__other").alias("i"), F.greatest("__own", "__other").alias("j"), "node", "fp", "size", "grams")
+    partitions = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(partitions, "label", "i", "j").sortWithinPartitions("label", "i", "j", "node")
+
+    def cell(table: pa.Table, start: int, stop: int) -> list[tuple[int, int]]:
+        part = table.slice(start, stop - start)
+        fp, size = part.column("fp").to_numpy().view(np.uint64), part.column("size").to_numpy()
+        close, (grams, starts, count) = alike(similarity, radius, fp, size), lists(part, "grams")
+        first = int(starts[0])
+        number = np.unique(grams[first : int(starts[-1] + count[-1])], return_inverse=True)[1]
+        own, held = starts - first, np.zeros(len(number), bool)
+
+        def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            fits = close(a, b)
+            rows = np.flatnonzero(fits)
+            if len(rows):
+                asked = number[own[a[0]] : own[a[0]] + count[a[0]]]  # one row asks
+                held[asked] = True
+                c = b[rows]
+                ends = np.cumsum(count[c])
+                place = np.arange(ends[-1]) - np.repeat(ends - count[c] - own[c], count[c])
+                shared = np.diff(np.r_[0, np.cumsum(held[number[place]])[ends - 1]])
+                held[asked] = False
+                least = np.ceil((size[a[rows]] + size[c]) * (similarity / (1 + similarity)) - 1e-9)
+                fits[rows] = shared >= least
+            return fits
+
+        return joined(0, stop - start, near)
+
+    def run(batches):
+        release()
+        for table in whole_groups(batches, ["label", "i", "j"]):
+            label, i, j, node = (table.column(c).to_numpy() for c in ("label", "i", "j", "node"))
+            starts = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(node)]):
+                pairs = np.array(cell(table, start, stop), np.int64).reshape(-1, 2)
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[start + pairs[:, 0]]), pa.array(node[start + pairs[:, 1]])], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS) -> DataFrame:
     """The rows of ``docs`` that stay if texts of a Jaccard similarity of ``similarity`` or more, on sets of shingles, are linked.
 
     Of each component those with its smallest doc_id stay; rows with the same id stay together.
     Two such sets share a member among the first (1 - similarity) n + 1 of each in any one
-    order, here hash order with common shingles last; so these key the shards of the BK-trees,
-    and only the radius can lose a pair. Fingerprints within the radius are candidates,
-    and each candidate is checked on the sets themselves. The first turns try one candidate a
-    member and key; what they join is not compared again, so groups of copies stay linear.
+    order, here hash order with common shingles last; so these are the keys under which texts meet,
+    and only the radius can lose a pair. Of the members of a key that could be similar by
+    fingerprint, size and parity sketch, only links that connect them leave the task, and of
+    each group of candidates thus connected only links that connect what the sets themselves
+    say; so no step gives more rows than its members have keys.
     Texts without words are one set. NULL ids are as in ``near_groups``.
     """
     common = common_shingles(docs, shingle)
@@ -374,30 +502,22 @@ def similar_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
                 fp = int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
                 keys = grams[np.argsort(among(grams, common), kind="stable")]
                 keys = keys[: n - int(np.ceil(similarity * n - 1e-9)) + 1] if n else keys
-                rows.append((set_name(grams), fp, n, keys.view(np.int64)))
-            node, fp, size, keys = zip(*rows) if rows else ((), (), (), ())
-            arrays = [pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "node", "fp", "size", "keys"])
+                rows.append((set_name(grams), fp, n, keys.view(np.int64), parity(grams).view(np.int64)))
+            node, fp, size, keys, sketch = zip(*rows) if rows else ((), (), (), (), ())
+            arrays = [pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(size, pa.int32()), *[pa.array(x, pa.list_(pa.int64())) for x in (keys, sketch)]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "node", "fp", "size", "keys", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = checkpointed(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, fp long, size int, keys array<long>"))
-    names = checkpointed(made.groupBy("node").agg(F.min("doc_id").alias("first")))
-    keyed = made.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node", "fp", "size")
+    made = checkpointed(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, fp long, size int, keys array<long>, sketch array<long>"))
+    names = checkpointed(made.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
+    keyed = made.select("node", "keys").dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node")
     many = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("__key"))
-    shared = checkpointed(keyed.join(many, F.col("key") == F.col("__key"), "left_semi"))
-    joined = names.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    moved = components(joined)
-    for turn in [*range(turns), None]:
-        labelled = shared.join(moved.toDF("__node", "label"), F.col("node") == F.col("__node"), "left").drop("__node")
-        labelled = labelled.withColumn("label", F.coalesce("label", "node"))
-        pairs = checkpointed(candidates(labelled, similarity, radius, turn))
-        if not pairs.take(1):
-            continue
-        linked = checkpointed(verified(docs, names, pairs, shingle, similarity))
-        if not linked.take(1):
-            continue
-        joined = joined.union(linked)
-        moved = checkpointed(components(joined))
+    shared = keyed.join(many, F.col("key") == F.col("__key"), "left_semi").join(names.drop("first"), "node")
+    groups = names.drop("sketch").join(components(checkpointed(candidates(shared, similarity, radius))), "node")
+    groups = checkpointed(groups)
+    sets = sets_of(docs, groups, shingle)
+    moved = components(checkpointed(verified(sets, groups.select("node", "label", "fp", "size"), similarity, radius)))
+    names = names.select("node", "first")
     labels = names.join(moved, "node", "left").withColumn("label", F.coalesce("label", "node"))
     kept = labels.groupBy("label").agg(F.min("first").alias("__id")).select("__id").distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")

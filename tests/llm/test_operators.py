@@ -298,3 +298,70 @@ def test_whole_texts_are_handled_a_few_rows_at_a_time(spark):
 
     seen = common.arrow_map(spark.range(0, 3000, 1, 1), lambda b: {"n": [len(b["id"])] * len(b["id"])}, "n int")
     assert seen.agg({"n": "max"}).first()[0] <= common.SLICE_ROWS and seen.count() == 3000
+
+
+def near_copies(seed: int, groups: int, copies: int) -> list[str | None]:
+    """Texts of 20 to 400 words and their copies with up to a seventh of the words changed; few words, none and NULL too."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(3000)]
+    texts: list[str | None] = [None, "", "one", "one", "one two", "One  Two"]
+    for _ in range(groups):
+        base = rng.choice(words, rng.integers(20, 400)).tolist()
+        for _ in range(copies):
+            text = list(base)
+            for place in rng.integers(0, len(text), rng.integers(0, max(2, len(text) // 35))):
+                text[place] = str(rng.choice(words))
+            texts.append(" ".join(text))
+    return texts
+
+
+def kept_by_all_pairs(texts: list[str | None], similarity: float = 0.8) -> list[int]:
+    sets = [simhash.shingles(t, 5) for t in texts]
+    fps = [simhash.fingerprint(t, 5) for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            shared = len(np.intersect1d(sets[a], sets[b]))
+            whole = len(sets[a]) + len(sets[b]) - shared
+            if (shared >= similarity * whole - 1e-9 if whole else True) and (fps[a] ^ fps[b]).bit_count() <= simhash.WIDE_RADIUS:
+                label = [label[b] if x == label[a] else x for x in label]
+    return sorted({min(i for i, x in enumerate(label) if x == y) for y in label})
+
+
+@pytest.mark.parametrize("share", [None, 500])
+def test_similar_dedup_links_as_all_pairs_would(spark, monkeypatch, share):
+    """Also where a group's sets are cut into shares that meet two by two."""
+    if share:
+        monkeypatch.setattr(simhash, "SHARE_GRAMS", share)
+    texts = near_copies(5, 8, 12)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in simhash.similar_dedup(docs).select("doc_id").collect())
+    assert kept == kept_by_all_pairs(texts) and 8 < len(kept) < len(texts) - 10
+
+
+def test_near_dedup_makes_at_most_one_row_a_member(spark):
+    """Neither candidates nor links grow with the square of a group, whether or not its texts turn out to be similar."""
+    sets = [np.unique(np.r_[np.arange(70), np.arange(1000 + 30 * i, 1030 + 30 * i)]).astype(np.uint64) for i in range(200)]
+    rows = [(k, i, 0, len(g), [0] * 4) for i, g in enumerate(sets) for k in (1, 2)]
+    shared = spark.createDataFrame(rows, "key long, node long, fp long, size int, sketch array<long>")
+    found = simhash.candidates(shared, 0.8, simhash.WIDE_RADIUS)
+    assert len(sets) - 1 <= found.count() <= len(rows)
+    held = spark.createDataFrame([(i, g.astype(np.int64).tolist()) for i, g in enumerate(sets)], "node long, grams array<long>")
+    groups = spark.createDataFrame([(i, 0, 0, len(g)) for i, g in enumerate(sets)], "node long, label long, fp long, size int")
+    assert simhash.verified(held, groups, 0.8, simhash.WIDE_RADIUS).count() == 0
+    assert simhash.verified(held, groups, 0.5, simhash.WIDE_RADIUS).count() == len(sets) - 1
+
+
+def test_parity_sketches_never_differ_in_more_bits_than_the_sets_in_members():
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (0, 1, 40, 300, 310, 700, 5000):
+        base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        sets += [np.unique(base), np.unique(np.r_[base[n // 10 :], rng.integers(0, 1 << 63, 9).astype(np.uint64)])]
+    made = [simhash.parity(g) for g in sets]
+    words = np.array([len(x) for x in made])
+    sketches = simhash.Sketches(np.concatenate(made), np.cumsum(words) - words, words)
+    a, b = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    apart = sketches.apart(a, b)
+    assert all(d <= len(np.setxor1d(sets[x], sets[y])) for d, x, y in zip(apart.tolist(), a, b))
+    assert len(set(words.tolist())) > 3 and apart[(words[a] != words[b])].any()
