@@ -30,7 +30,7 @@ PAIRS = tuple(itertools.combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS))
 TREE_SIZE = 2048
 #: (query, node) pairs looked at in one numpy step.
 FRONTIER = 1 << 18
-#: At a Jaccard similarity of 0.8 about 10 of 64 bits differ, with a deviation of about 3; this is far in the tail.
+#: At a Jaccard similarity of 0.8 about 10 of 64 bits differ, with a deviation of about 3; this is far in the tail. Pairs within it are asked first.
 WIDE_RADIUS = 24
 #: Documents sampled for common shingles: one in SAMPLE_SHARE, SAMPLE_DOCS at least; how many of them hold a common one; how many are listed at most (8 bytes each).
 SAMPLE_SHARE, SAMPLE_DOCS, COMMON_DOCS, COMMON = 50, 20_000, 3, 400_000
@@ -311,10 +311,13 @@ class Sketches:
         return out
 
 
-def joined(start: int, stop: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect the rows from start to stop as all pairs that are near would; pairs that are connected already are not asked for."""
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def joined(start: int, stop: int, *turns: Near) -> list[tuple[int, int]]:
+    """Links that connect the rows from start to stop as all pairs that are near in any turn would; pairs that are connected already are not asked for."""
     label, parts, out = np.arange(stop - start), stop - start, []
-    for u in range(stop - start - 1):
+    for near, u in itertools.product(turns, range(stop - start - 1)):
         if parts == 1:
             break
         rest = np.flatnonzero(label[u + 1 :] != label[u]) + u + 1
@@ -327,14 +330,24 @@ def joined(start: int, stop: int, near: Callable[[np.ndarray, np.ndarray], np.nd
     return out
 
 
-def alike(similarity: float, radius: int, fp: np.ndarray, size: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Whether pairs of rows lie within the radius and have sizes that allow the similarity."""
+def sized(similarity: float, size: np.ndarray) -> Near:
+    """Whether the sizes of pairs of rows allow the similarity."""
+    return lambda a, b: np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
+
+
+def by_fingerprint(radius: int, fp: np.ndarray, near: Near) -> tuple[Near, Near]:
+    """``near`` in two turns: of the pairs within the radius, which connect nearly all that belongs together, and of those beyond it."""
+
+    def turn(within: bool) -> Near:
+        def asked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            found = (np.bitwise_count(fp[a] ^ fp[b]) <= radius) == within
+            rows = np.flatnonzero(found)
+            found[rows] = near(a[rows], b[rows])
+            return found
 
-    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-        return (np.bitwise_count(fp[a] ^ fp[b]) <= radius) & (small >= similarity * large - 1e-9)
+        return asked
 
-    return near
+    return turn(True), turn(False)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -368,18 +381,18 @@ def lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def candidates(shared: DataFrame, similarity: float, radius: int) -> DataFrame:
     """Links (a, b) that connect the nodes which could be similar: of each key, at most one link a member.
 
-    Two members of a key could be similar if they lie within the radius and if sizes and parity
-    sketches allow it; no pair that is similar within the radius fails this.
+    Two members of a key could be similar if sizes and parity sketches allow it; no pair that is
+    similar fails this. In large keys those within the radius are asked first.
     """
     partitions = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = shared.repartition(partitions, "key").sortWithinPartitions("key", "node")
 
     def work(table: pa.Table) -> pa.RecordBatch:
         key, node, fp, size = (table.column(c).to_numpy() for c in ("key", "node", "fp", "size"))
-        close, sketches = alike(similarity, radius, fp.view(np.uint64), size), Sketches(*lists(table, "sketch"))
+        allowed, sketches = sized(similarity, size), Sketches(*lists(table, "sketch"))
 
         def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            fits = close(a, b)
+            fits = allowed(a, b)
             rows = np.flatnonzero(fits)
             fits[rows] = sketches.apart(a[rows], b[rows]) <= most_apart(similarity, size[a[rows]] + size[b[rows]])
             return fits
@@ -392,7 +405,8 @@ def candidates(shared: DataFrame, similarity: float, radius: int) -> DataFrame:
             a = np.flatnonzero(np.arange(len(key)) + step < stop)
             a = a[near(a, a + step)]
             pairs.append((a, a + step))
-        large = [link for g in np.flatnonzero(stops - starts > SMALL_KEY).tolist() for link in joined(int(starts[g]), int(stops[g]), near)]
+        turns = by_fingerprint(radius, fp.view(np.uint64), near)
+        large = [link for g in np.flatnonzero(stops - starts > SMALL_KEY).tolist() for link in joined(int(starts[g]), int(stops[g]), *turns)]
         if large:
             pairs.append(tuple(np.array(large).T))
         label = settle(len(key), iter(pairs))
@@ -423,7 +437,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
 
 
 def verified(sets: DataFrame, groups: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """Links (a, b) that connect the nodes of each group as all its pairs within the radius whose sets have the Jaccard similarity, counted exactly.
+    """Links (a, b) that connect the nodes of each group as all its pairs whose sets have the Jaccard similarity, counted exactly; those within the radius first.
 
     ``groups`` has node, label, fp and size. A group's sets are cut into shares of about SHARE_GRAMS
     shingles, and each two shares meet in a task, so a group of any size needs bounded room.
@@ -442,13 +456,13 @@ def verified(sets: DataFrame, groups: DataFrame, similarity: float, radius: int)
     def cell(table: pa.Table, start: int, stop: int) -> list[tuple[int, int]]:
         part = table.slice(start, stop - start)
         fp, size = part.column("fp").to_numpy().view(np.uint64), part.column("size").to_numpy()
-        close, (grams, starts, count) = alike(similarity, radius, fp, size), lists(part, "grams")
+        allowed, (grams, starts, count) = sized(similarity, size), lists(part, "grams")
         first = int(starts[0])
         number = np.unique(grams[first : int(starts[-1] + count[-1])], return_inverse=True)[1]
         own, held = starts - first, np.zeros(len(number), bool)
 
         def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            fits = close(a, b)
+            fits = allowed(a, b)
             rows = np.flatnonzero(fits)
             if len(rows):
                 asked = number[own[a[0]] : own[a[0]] + count[a[0]]]  # one row asks
@@ -462,7 +476,7 @@ def verified(sets: DataFrame, groups: DataFrame, similarity: float, radius: int)
                 fits[rows] = shared >= least
             return fits
 
-        return joined(0, stop - start, near)
+        return joined(0, stop - start, *by_fingerprint(radius, fp, near))
 
     def run(batches):
         release()
@@ -483,10 +497,11 @@ def similar_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
     Of each component those with its smallest doc_id stay; rows with the same id stay together.
     Two such sets share a member among the first (1 - similarity) n + 1 of each in any one
     order, here hash order with common shingles last; so these are the keys under which texts meet,
-    and only the radius can lose a pair. Of the members of a key that could be similar by
-    fingerprint, size and parity sketch, only links that connect them leave the task, and of
-    each group of candidates thus connected only links that connect what the sets themselves
-    say; so no step gives more rows than its members have keys.
+    and no pair is lost. The SimHash fingerprints decide which pairs are asked first, those within
+    the radius, and no result. Of the members of a key that could be similar by size and parity
+    sketch, only links that connect them leave the task, and of each group of candidates thus
+    connected only links that connect what the sets themselves say; so no step gives more rows
+    than its members have keys.
     Texts without words are one set. NULL ids are as in ``near_groups``.
     """
     common = common_shingles(docs, shingle)
